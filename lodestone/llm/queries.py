@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.llm import exact, shards
+import public_tokenizers
+
+from lodestone.llm import exact, packing, shards, tokens
 from lodestone.llm.common import table
 
 QUERIES = {}
@@ -29,6 +31,16 @@ FROM d JOIN g USING (text_sha256)
 """
 
 
+@query
+def op4_token_files(spark, sf_dir):
+    return tokens.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query
 def op7_sharding(spark, sf_dir):
     return shards.sharded(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_packing(spark, sf_dir):
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
