@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from lodestone.llm import exact, packing, shards, tokens
+from lodestone.llm import exact, packing, shards, tokens, wordbpe
 from lodestone.llm.common import table
 
 QUERIES = {}
@@ -41,6 +41,11 @@ def op7_sharding(spark, sf_dir):
     return shards.sharded(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_bpe(spark, sf_dir):
+    return wordbpe.coded(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query
 def op10_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
