@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import string
 import tempfile
 import uuid
+import zipfile
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +43,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application, so that it needn't be installed there."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="lodestone-"), "lodestone.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for d, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(d, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
+
+
+def mapped(df: DataFrame, f, schema) -> DataFrame:
+    """mapInArrow with this package at hand."""
+    ship(df.sparkSession)
+    return df.mapInArrow(f, schema)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z only; other letters stay as they are."""
     plain = F.octet_length(text) == F.char_length(text)

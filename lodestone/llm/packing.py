@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import settled
+from lodestone.llm.common import mapped, settled
 
 CAPACITY = 1024
 #: Bins with at most so many free places are final.
@@ -52,7 +52,7 @@ def _cutter(vocabulary: str, capacity: int):
 def cut(df: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of at most `capacity` ids of every text (null: empty), the end id included."""
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(_cutter(vocabulary, capacity), PIECE_SCHEMA)
+    return mapped(rows, _cutter(vocabulary, capacity), PIECE_SCHEMA)
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -127,7 +127,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_part: int = 8192)
         groups = -(-parts // width)
         last = groups == 1
         spread = todo.repartition(groups, F.floor(F.col("part") / width))
-        level = settled(spread.mapInArrow(_packer(capacity, width, last), BIN_SCHEMA))
+        level = settled(mapped(spread, _packer(capacity, width, last), BIN_SCHEMA))
         done.append(level.where("final"))
         if last:
             break

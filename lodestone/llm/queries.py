@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from lodestone.llm import exact, packing, shards, tokens, wordbpe
+from lodestone.llm import exact, packing, repeats, shards, tokens, wordbpe
 from lodestone.llm.common import table
 
 QUERIES = {}
@@ -16,6 +16,11 @@ def query(f):
     return f
 
 
+@query
+def op1_repeats(spark, sf_dir):
+    return repeats.report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_exact_dedup(spark, sf_dir):
     return exact.exact_groups(table(spark, sf_dir, "documents"))

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import new_path
+from lodestone.llm.common import mapped, new_path
 
 FILE_IDS = 4 << 20
 FILE_SCHEMA = "part int, number int, first long, n_docs long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
@@ -66,7 +66,7 @@ def write_tokens(df: DataFrame, path: str, vocabulary: str, id_col: str = "doc_i
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_encoder(vocabulary), FILE_SCHEMA).write.parquet(path)
+    mapped(ordered, _encoder(vocabulary), FILE_SCHEMA).write.parquet(path)
 
 
 def _decoder(batches):
@@ -91,7 +91,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.schema(FILE_SCHEMA).parquet(path)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    rows = files.select("part", "first", "doc_ids", "lengths", "payload").mapInArrow(_decoder, BACK_SCHEMA)
+    rows = mapped(files.select("part", "first", "doc_ids", "lengths", "payload"), _decoder, BACK_SCHEMA)
     return rows.join(parts, "part").select("doc_id", (F.col("base") + F.col("own_start")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.bytebpe import byte_signs
+from lodestone.llm.common import mapped
 from lodestone.llm.pieces import LONG, PieceTable, byte_classes, chunks, cut_words, flat_bytes, hashes, odd_texts
 
 CHUNK = 1 << 20
@@ -225,4 +226,4 @@ def coded(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     Rows that repeat others give repeated rows, null ids stay null, no rows give none; other columns play no part.
     """
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(_coder(vocabulary), SCHEMA)
+    return mapped(rows, _coder(vocabulary), SCHEMA)
