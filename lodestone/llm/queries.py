@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from lodestone.llm import exact, packing, repeats, shards, tokens, wordbpe
+from lodestone.llm import exact, neardup, packing, repeats, shards, tokens, wordbpe
 from lodestone.llm.common import table
 
 QUERIES = {}
@@ -21,6 +21,11 @@ def op1_repeats(spark, sf_dir):
     return repeats.report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_near_dedup(spark, sf_dir):
+    return neardup.near_groups(table(spark, sf_dir, "documents")).drop("th")
+
+
 @query
 def op3_exact_dedup(spark, sf_dir):
     return exact.exact_groups(table(spark, sf_dir, "documents"))
