@@ -2,7 +2,7 @@
 
 A noisy channel turns words into digits and signs for letters, letters set apart, and letters repeated. Tokens that may
 be disguised become a lattice of letters; the Viterbi path under the channel's costs and a character model of the whole corpus is the restored word. Restored words
-stand beside the others in the text that is scored: a logistic regression on hashed words and five-letter strings,
+stand beside the others in the text that is scored: a logistic regression on hashed words and beginnings of words,
 learnt from at most TRAIN_ROWS labelled documents.
 """
 
@@ -25,7 +25,11 @@ FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 #: Labelled documents that the regression is fitted on at most, and bits of the feature table.
 TRAIN_ROWS, BITS = 8000, 20
-GRAM = 5
+MASK = (1 << BITS) - 1
+#: Bytes of a word's beginning that are a feature.
+BEGINNINGS = (4, 5, 6, 7)
+#: Features in use at most, how many standard errors their log odds lie from none, and the pull of weights to zero.
+CHOSEN, SURE, PULL = 3000, 3.0, 1.0
 
 #: Letters that a sign may stand for, with the channel's cost.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "2": "z", "6": "gb", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
@@ -111,7 +115,7 @@ _WORD[97:123] = _WORD[48:58] = _WORD[128:] = True
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct features (words and GRAM bytes in a row of a word with its ends) of each text, and n+1 offsets."""
+    """Sorted distinct features of each text, and n+1 offsets: its words and beginnings of words, and whether they come once, twice, four or eight times."""
     data = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
     size = np.array([len(t) + 1 for t in texts], np.int64)
     offsets = np.concatenate([[0], np.cumsum(size)])
@@ -120,61 +124,73 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     lead = np.flatnonzero(data[:-1] == 0xC3) + 1
     data[lead[(data[lead] >= 0x80) & (data[lead] <= 0x9E)]] += 32
     word = _WORD[data]
-    data[~word] = 32
     edge = np.diff(np.concatenate([[False], word, [False]]).astype(np.int8))
     a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(a):
         return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+    sums, owner = _sums(data, 0), (np.searchsorted(offsets, a, "right") - 1) << BITS
     shift = np.uint64(64 - BITS)
-    words = (_digests(_sums(data, 0), a, b) >> shift).astype(np.int64)
-    owner = np.searchsorted(offsets, a, "right") - 1
-    parts = [(owner << BITS) | words]
-    n = len(data) - GRAM + 1
-    if n > 0:
-        gram = np.zeros(n, np.uint64)
-        inner = np.zeros(n, np.int64)
-        for i in range(GRAM):
-            gram = (gram << np.uint64(8)) | data[i : n + i]
-        for i in range(1, GRAM - 1):
-            inner += word[i : n + i]
-        at = np.flatnonzero(inner == GRAM - 2)
-        parts.append(((np.searchsorted(offsets, at + 1, "right") - 1) << BITS) | (_mixed(gram[at]) >> shift).astype(np.int64))
-    both = np.sort(np.concatenate(parts))
+    parts = [owner | (_digests(sums, a, b) >> shift).astype(np.int64)]
+    for k in BEGINNINGS:
+        long = b - a > k
+        parts.append(owner[long] | (_mixed(_digests(sums, a[long], a[long] + k)) >> shift).astype(np.int64))
+    every = np.sort(np.concatenate(parts))
+    first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+    times = np.diff(np.append(first, len(every)))
+    once = every[first]
+    levels = [once]
+    for n in (2, 4, 8):
+        many = once[times >= n]
+        levels.append((many >> BITS << BITS) | (_mixed((many & MASK).astype(np.uint64) + np.uint64(n << 32)) >> shift).astype(np.int64))
+    both = np.sort(np.concatenate(levels))
     both = both[np.append(True, both[1:] != both[:-1])]
-    return both & ((1 << BITS) - 1), np.searchsorted(both >> BITS, np.arange(len(texts) + 1))
+    return both & MASK, np.searchsorted(both >> BITS, np.arange(len(texts) + 1))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 8, decay: float = 2e-4) -> np.ndarray:
-    """Weights of a logistic regression on present features; the last one is the constant. Steps are scaled per feature."""
+def fit(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Weights of a logistic regression on the features that tell the labels apart best; the last one is the constant."""
     weights = np.zeros((1 << BITS) + 1)
-    if not len(rows):
+    y = labels.astype(np.float64)
+    if not 0 < y.sum() < len(y):
         return weights
-    weights[-1] = np.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1))
-    scale = np.full(len(weights), 1e-6)
-    rng = np.random.default_rng(5)
-    norm = [1 / np.sqrt(max(1, len(r))) for r in rows]
-    for epoch in range(epochs):
-        for i in rng.permutation(len(rows)):
-            r = rows[i]
-            z = weights[r].sum() * norm[i] + weights[-1]
-            g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[i]
-            step = g * norm[i] + decay * weights[r]
-            scale[r] += step * step
-            weights[r] -= 0.3 * step / np.sqrt(scale[r])
-            scale[-1] += g * g
-            weights[-1] -= 0.3 * g / np.sqrt(scale[-1])
+    flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    with_, all_ = (np.bincount(flat, weights=w, minlength=1 << BITS) for w in (y[owner], np.ones(len(flat))))
+    n1, n0 = y.sum(), len(y) - y.sum()
+    c1, c0 = with_ + 0.5, all_ - with_ + 0.5
+    odds = np.log(c1 / (n1 - with_ + 0.5)) - np.log(c0 / (n0 - (all_ - with_) + 0.5))
+    sure = np.abs(odds) / np.sqrt(1 / c1 + 1 / (n1 - with_ + 0.5) + 1 / c0 + 1 / (n0 - (all_ - with_) + 0.5))
+    best = np.argsort(-sure, kind="stable")[:CHOSEN]
+    best = best[(sure[best] >= SURE) & (all_[best] > 2)]
+    number = np.full(1 << BITS, -1)
+    number[best] = np.arange(len(best))
+    col = number[flat]
+    col, row = col[col >= 0], owner[col >= 0]
+    w, b = np.zeros(len(best)), np.log(n1 / n0)
+    balance = np.where(y == 1, len(y) / n1, len(y) / n0) / 2
+    memory_w, memory_b = np.full(len(best), 1e-8), 1e-8
+    for _ in range(400):
+        z = np.bincount(row, weights=w[col], minlength=len(y)) + b
+        g = balance * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
+        gw = np.bincount(col, weights=g[row], minlength=len(best)) + PULL * w
+        memory_w += gw * gw
+        memory_b += g.sum() ** 2
+        w -= 0.2 * gw / np.sqrt(memory_w)
+        b -= 0.2 * g.sum() / np.sqrt(memory_b)
+    weights[best], weights[-1] = w, b
     return weights
 
 
 def calibrated(rows: list[np.ndarray], labels: np.ndarray, share: float) -> np.ndarray:
-    """Weights fitted on three quarters of the rows, then scaled and shifted to fit the other quarter at the labels' true share."""
+    """Weights fitted on all rows, then scaled and shifted by what four fits that each leave out a quarter say of that quarter, at the labels' true share."""
+    if not 0 < labels.sum() < len(labels):
+        return fit(rows, labels)
     order = np.random.default_rng(6).permutation(len(rows))
-    rest, held = order[len(order) // 4 :], order[: len(order) // 4]
-    weights = fit([rows[i] for i in rest], labels[rest])
-    y = labels[held]
-    if not 0 < y.sum() < len(y):
-        return weights
-    z = np.array([weights[rows[i]].sum() / np.sqrt(max(1, len(rows[i]))) + weights[-1] for i in held])
+    z = np.zeros(len(rows))
+    for q in range(4):
+        rest, held = order[np.arange(len(order)) % 4 != q], order[q::4]
+        own = fit([rows[i] for i in rest], labels[rest])
+        z[held] = [own[rows[i]].sum() + own[-1] for i in held]
+    y = labels
     share = min(max(share, 1e-3), 1 - 1e-3)
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     line = np.array([1.0, 0.0])
@@ -187,15 +203,14 @@ def calibrated(rows: list[np.ndarray], labels: np.ndarray, share: float) -> np.n
         line = line - step * min(1, 2 / np.abs(step).max())
         if np.abs(step).max() < 1e-6:
             break
-    weights *= line[0]
+    weights = fit(rows, labels) * line[0]
     weights[-1] += line[1]
     return weights
 
 
 def score(weights: np.ndarray, found: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     sums = np.concatenate([[0], np.cumsum(weights[found])])
-    n = np.maximum(1, np.diff(offsets))
-    z = (sums[offsets[1:]] - sums[offsets[:-1]]) / np.sqrt(n) + weights[-1]
+    z = sums[offsets[1:]] - sums[offsets[:-1]] + weights[-1]
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
