@@ -3,8 +3,8 @@
 Every string of LENGTH bytes has an anchor: the leftmost of its ANCHOR-byte strings with the least hash. Neighbouring
 strings with the same anchor form a stretch; equal strings have equal anchors, so a string occurs twice only within
 stretches that share an anchor. Stretches equal as a whole are repeats throughout. Where stretches share an anchor and
-differ, one of each kind is suffix-sorted with the others (bwt.py) in collections of whole anchors of about BATCH bytes; an anchor
-with more than MANY kinds is settled by digests of its strings instead, which are counted with partial sums.
+differ, one of each kind is suffix-sorted with the others (bwt.py) in collections of whole anchors of about BATCH bytes. The
+kinds of an anchor with more than MANY of them are parted by longer anchors, up to the whole string, where kinds can't differ any more.
 
 Anchors with a large part of all stretches are named by a frequent-items sketch, and are counted by partial sums and
 joined by (anchor, stretch), so that no task gets all of one anchor.
@@ -25,11 +25,13 @@ LENGTH = 200
 ANCHOR = 48
 #: Kinds of one anchor that are sorted together at most.
 MANY = 256
+#: Longer anchors by which the kinds of such an anchor are parted, as shares of the string.
+FINER = (0.75, 0.96)
 #: Bytes of one collection.
 BATCH = 96 << 10
 HOT_COUNTERS, HOT_NAMED = 4096, 256
 
-_TABLES = [np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64) for seed in (11, 12)]
+_TABLES = [np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)]
 _POSITION = np.uint64((1 << 24) - 1)
 #: Strings that are handled in one go where a text is very long.
 SEGMENT = 8 << 20
@@ -170,19 +172,27 @@ def _sorter(length: int, limit: int):
     return run
 
 
-DIGEST_SCHEMA = "d1 long, d2 long, doc_id long, th long, start int"
+FINE_SCHEMA = "doc_id long, th long, start int, n int, anchor long, whole long, piece binary"
 
 
-def _digester(length: int):
+def _refiner(length: int, anchor: int):
+    """Pieces (doc_id, th, start, piece) -> their stretches by longer anchors, with their bytes."""
+
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for doc, th, start, piece in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                data = np.frombuffer(piece, np.uint8)
-                at = np.arange(len(data) - length + 1)
-                d = [_digests(_sums(data, which), at, at + length).view(np.int64) for which in (0, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(d[0]), pa.array(d[1]), pa.array([doc] * len(at), pa.int64()), pa.array([th] * len(at), pa.int64()), pa.array(at + start, pa.int32())], names=["d1", "d2", "doc_id", "th", "start"])
+            data, offsets = flat_bytes(batch.column(3))
+            for i, j in chunks(offsets):
+                own, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                piece, start, n, key, whole = _stretches(own, at, length, anchor)
+                if not len(piece):
+                    continue
+                who, first = pa.array(piece + i), at[piece] + start
+                raw = own.tobytes()
+                cut = [raw[f : f + k + length - 1] for f, k in zip(first.tolist(), n.tolist())]
+                begin = batch.column(2).to_numpy(zero_copy_only=False)[piece + i] + start
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(who), batch.column(1).take(who), pa.array(begin, pa.int32()), pa.array(n, pa.int32()), pa.array(key), pa.array(whole), pa.array(cut, pa.binary())], names=["doc_id", "th", "start", "n", "anchor", "whole", "piece"])
 
     return run
 
@@ -226,12 +236,24 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     with_text = docs.join(wanted, _same_doc(docs, wanted)).select(docs["doc_id"], docs["th"], "text", "wanted")
     pieces = stored(mapped(with_text, _piece_cutter(length), CUT_SCHEMA), "pieces")
     few = pieces.where("NOT many").select("anchor", "doc_id", "th", "start", "piece")
+    todo = pieces.where("many").select("doc_id", "th", "start", "piece")
+    for finer in sorted({int(part * length) for part in FINER} | {length}):
+        if finer <= anchor or todo.isEmpty():
+            continue
+        rows = stored(mapped(todo, _refiner(length, finer), FINE_SCHEMA), "finer")
+        same = rows.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "th", "start")).alias("least"))
+        same = settled(same)
+        per_anchor = same.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+        same = same.join(per_anchor, "anchor", "left").where("copies > 1 OR kinds > 1")
+        lead = (F.col("kinds") > 1) & F.struct("doc_id", "th", "start").eqNullSafe(F.col("least"))
+        rows = stored(rows.join(same, ["anchor", "whole"]).select("doc_id", "th", "start", "n", "anchor", "copies", "kinds", F.when(lead, F.col("piece")).alias("piece")), "refined")
+        whole = whole.unionByName(rows.where("copies > 1").select("doc_id", "th", "start", "n"))
+        leads = rows.where("piece IS NOT NULL")
+        few = few.unionByName(leads.where(F.col("kinds") <= many).select("anchor", "doc_id", "th", "start", "piece"))
+        todo = leads.where(F.col("kinds") > many).select("doc_id", "th", "start", "piece")
     few = few.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "anchor").sortWithinPartitions("anchor")
     spans = mapped(few, _sorter(length, BATCH), SPAN_SCHEMA)
-    digests = mapped(pieces.where("many").select("doc_id", "th", "start", "piece"), _digester(length), DIGEST_SCHEMA)
-    twice = digests.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    strings = digests.join(twice, ["d1", "d2"], "left_semi").select("doc_id", "th", "start", F.lit(1).alias("n"))
-    found = whole.unionByName(spans).unionByName(strings)
+    found = whole.unionByName(spans)
     return found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
 
 
