@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def usage_stream(spark: SparkSession, path: str, schema, late: str = "1 hour") -> DataFrame:
     """Counts by hour and event type; an hour is final once the watermark has passed it."""
-    rows = spark.readStream.schema(schema).parquet(path).withWatermark("ts", late)
+    rows = spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return rows.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("hour"), "event_type", "n")
 
 
