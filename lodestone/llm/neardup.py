@@ -7,9 +7,9 @@ of them with probability (1 - 0.8 ** ROWS) ** BANDS, below one in a million.
 
 Equal sets are one node. In each band bucket every node is paired with the least and the greatest node. Pairs whose
 estimated similarity, corrected for chance collisions, is in reach of the threshold are confirmed on the full sets, and confirmed links
-give components. A bucket that then holds several components is searched whole: its nodes outside the first component
-against all its nodes of other components, in blocks, first with the likeliest partners only and then with all that the estimate
-lets through. So within a bucket no pair that could still join two components is left out, and pairs inside a component are never listed.
+give components. A bucket that then holds several components is searched whole, in blocks: its nodes outside the first component
+against all its nodes of other components, on the full sets where the estimate lets a pair through. So within a bucket no pair that
+could still join two components is left out, pairs inside a component are never listed, and only links come out.
 """
 
 from __future__ import annotations
@@ -34,8 +34,6 @@ COLLISION = (1 / 3) / (1 << MANTISSA)
 SLACK = 5
 #: Nodes of a block when a bucket is searched whole.
 BLOCK = 1024
-#: Partners that a node is first tried with there.
-FIRST = 3
 
 _RNG = np.random.default_rng(7)
 _A, _B = (_RNG.integers(1, 2**32, REGISTERS, dtype=np.uint32) | np.uint32(1) for _ in range(2))
@@ -166,6 +164,12 @@ def _estimator(floor: float):
     return run
 
 
+def _alike(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= threshold * (len(a) + len(b) - shared)
+
+
 def _confirmer(k: int, threshold: int):
     """Pairs (u, v, text of u, text of v) whose full sets are alike enough."""
 
@@ -188,10 +192,7 @@ def _confirmer(k: int, threshold: int):
                         flat, at = shingle_sets(*flat_bytes(part.column(2 + c).take(pa.array([r for _, r in own]))), k)
                         sets |= {node: flat[at[t] : at[t + 1]] for t, (node, _) in enumerate(own)}
                 for x, y in zip(u, v):
-                    a, b = sets[x], sets[y]
-                    both = np.sort(np.concatenate([a, b]), kind="stable")
-                    shared = int((both[1:] == both[:-1]).sum())
-                    if 100 * shared >= threshold * (len(a) + len(b) - shared):
+                    if _alike(sets[x], sets[y], threshold):
                         found.append((x, y))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["u", "v"])
@@ -199,36 +200,52 @@ def _confirmer(k: int, threshold: int):
     return run
 
 
-def _searcher(floor: float, most: int | None):
-    """Rows (key, i, j, outer, node, comp, sig) in the order of (key, i, j): likely pairs of an outer node with one of another component."""
+def _searcher(k: int, threshold: int, floor: float):
+    """Rows (key, i, j, inner, outer, node, comp, sig, text) in the order of (key, i, j) -> confirmed links that join components.
+
+    Each outer node meets the inner nodes of other components, likeliest first. What a link joins counts as one component
+    from then on, and a pair is looked at in the first of the bands it shares only.
+    """
 
     def search(rows):
-        sig = np.frombuffer(b"".join(r[6] for r in rows), np.uint16).reshape(-1, REGISTERS)
-        comp, node = np.array([r[5] for r in rows]), np.array([r[4] for r in rows])
-        outer = np.array([r[3] for r in rows])
-        inner = np.flatnonzero(~outer)
-        for t in np.flatnonzero(outer).tolist():
+        key = np.int64(rows[0][0])
+        inner, outer = (np.flatnonzero([r[c] for r in rows]) for c in (3, 4))
+        node, comp = (np.array([r[c] for r in rows], np.int64) for c in (5, 6))
+        sig = np.frombuffer(b"".join(r[7] for r in rows), np.uint16).reshape(-1, REGISTERS)
+        keys = band_keys(sig).view(np.int64)
+        sets: dict[int, np.ndarray] = {}
+
+        def of(r: int) -> np.ndarray:
+            if r not in sets:
+                raw = np.frombuffer(rows[r][8].encode(), np.uint8)
+                sets[r] = shingle_sets(raw, np.array([0, len(raw)]), k)[0]
+            return sets[r]
+
+        for t in outer.tolist():
             others = inner[comp[inner] != comp[t]]
-            if not len(others):
-                continue
             est = estimated(sig[others], sig[t])
-            good = np.flatnonzero(est >= floor)
-            if most is not None and len(good) > most:
-                good = good[np.argsort(-est[good], kind="stable")[:most]]
-            for x in node[others[good]].tolist():
-                yield min(x, int(node[t])), max(x, int(node[t]))
+            good = est >= floor
+            others, est = others[good], est[good]
+            same = keys[others] == keys[t]
+            first = same.argmax(axis=1) if len(others) else np.zeros(0, np.int64)
+            here = keys[t][first] == key
+            others, est = others[here], est[here]
+            for r in others[np.argsort(-est, kind="stable")].tolist():
+                if comp[r] != comp[t] and _alike(of(r), of(t), threshold):
+                    yield min(int(node[r]), int(node[t])), max(int(node[r]), int(node[t]))
+                    comp[comp == comp[r]] = comp[t]
 
     def run(batches):
         import pyarrow as pa
 
         def out(rows):
-            found = sorted(set(search(rows)))
+            found = list(search(rows))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["u", "v"])
 
         rows = []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in range(7))):
+            for row in zip(*(batch.column(c).to_pylist() for c in range(9))):
                 if rows and row[:3] != rows[-1][:3]:
                     yield from out(rows)
                     rows = []
@@ -298,23 +315,21 @@ def near_groups(df: DataFrame, shingle: int = 2, threshold: int = 80, id_col: st
     if not rest.isEmpty():
         comps = joined(confirmed(rest))
 
-    for most in (FIRST, None):
-        marked = buckets.join(comps, "node", "left").select("key", "node", "low", F.coalesce("comp", "node").alias("comp"))
-        mixed = marked.groupBy("key").agg(F.min("comp").alias("first"), F.max("comp").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last AND n > 3")
-        open_ = stored(marked.join(mixed.select("key", "first", "n"), "key"), "open")
-        if open_.isEmpty():
-            break
+    marked = buckets.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    mixed = marked.groupBy("key").agg(F.min("comp").alias("first"), F.max("comp").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last AND n > 3")
+    open_ = stored(marked.join(mixed.select("key", "first", "n"), "key"), "open")
+    if not open_.isEmpty():
         outer_n = open_.groupBy("key").agg(F.count_if(F.col("comp") != F.col("first")).alias("n_outer"))
-        rows = open_.join(outer_n, "key").join(sig, "node")
-        spread = rows.select("key", "node", "comp", "sig", "first", F.ceil(F.col("n") / BLOCK).cast("int").alias("jn"), F.ceil(F.col("n_outer") / BLOCK).cast("int").alias("in"))
-        block = lambda count: F.pmod(F.xxhash64("node"), count).cast("int")
+        rows = open_.join(outer_n, "key").select("key", "node", "comp", (F.col("comp") != F.col("first")).alias("minor"), F.ceil(F.col("n") / BLOCK).cast("int").alias("jn"), F.ceil(F.col("n_outer") / BLOCK).cast("int").alias("in"))
+        rows = rows.withColumns({c: F.pmod(F.xxhash64("node"), F.col(n)).cast("int") for c, n in (("own_i", "in"), ("own_j", "jn"))})
         every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-        inner = spread.select("key", every("in").alias("i"), block(F.col("jn")).alias("j"), F.lit(False).alias("outer"), "node", "comp", "sig")
-        outer = spread.where("comp <> first").select("key", block(F.col("in")).alias("i"), every("jn").alias("j"), F.lit(True).alias("outer"), "node", "comp", "sig")
-        blocks = inner.unionByName(outer).repartition(width, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-        found = stored(mapped(blocks, _searcher(floor, most), "u long, v long").distinct(), "found")
+        inner = rows.select("key", every("in").alias("i"), F.col("own_j").alias("j"), "node", "comp", "minor", "own_i").select("key", "i", "j", F.lit(True).alias("inner"), (F.col("minor") & (F.col("i") == F.col("own_i"))).alias("outer"), "node", "comp")
+        outer = rows.where("minor AND jn > 1").select("key", F.col("own_i").alias("i"), every("jn").alias("j"), "node", "comp", "own_j").where("j <> own_j").select("key", "i", "j", F.lit(False).alias("inner"), F.lit(True).alias("outer"), "node", "comp")
+        blocks = inner.unionByName(outer).join(texts, "node").select("key", "i", "j", "inner", "outer", "node", "comp", "sig", "text")
+        blocks = blocks.repartition(width, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+        found = stored(mapped(blocks, _searcher(shingle, threshold, floor), "u long, v long"), "found")
         if not found.isEmpty():
-            comps = joined(confirmed(found))
+            comps = joined(found)
 
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id"))["doc_id"].alias("component_id")
     heads = nodes.join(comps, "node").groupBy("comp").agg(least)
