@@ -24,7 +24,7 @@ from lodestone.llm.repeats import _digests, _mixed, _sums
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 #: Labelled documents that the regression is fitted on at most, and bits of the feature table.
-TRAIN_ROWS, BITS = 8000, 20
+TRAIN_ROWS, BITS = 4000, 20
 MASK = (1 << BITS) - 1
 #: Bytes of a word's beginning that are a feature.
 BEGINNINGS = (4, 5, 6, 7)
@@ -37,9 +37,9 @@ SUBSTITUTED, DROPPED_SIGN, KEPT_DOUBLE, DROPPED_REPEAT = 1.0, 0.5, 0.7, 0.3
 GAPS = " .-_*~'"
 
 _SPACED = r"(?<![^\W_])[A-Za-z0-9@$!](?:[ .\-_*~]{1,2}[A-Za-z0-9@$!](?![^\W_])){2,}"
-_LEET = r"[A-Za-z]*[0-9@$!|+(€£¡]+[A-Za-z][A-Za-z0-9@$!|+(€£¡]*|[A-Za-z]+[0-9@$!|+(€£¡]+(?=[A-Za-z])[A-Za-z0-9@$!|+(€£¡]*"
-_GAPPED = r"[A-Za-z]+(?:[*._~\-]+[A-Za-z]+)+"
-_REPEATED = r"[A-Za-z]*([A-Za-z])\1\1[A-Za-z]*"
+_LEET = r"(?<![A-Za-z0-9])[A-Za-z]*[0-9@$!|+(€£¡]+[A-Za-z][A-Za-z0-9@$!|+(€£¡]*"
+_GAPPED = r"(?<![A-Za-z])[A-Za-z]+(?:[*._~\-]+[A-Za-z]+)+"
+_REPEATED = r"(?<![A-Za-z])[A-Za-z]*?([A-Za-z])\1\1[A-Za-z]*"
 SUSPECT = re.compile("|".join(f"(?:{x})" for x in (_SPACED, _LEET, _GAPPED, _REPEATED)))
 
 
@@ -153,18 +153,21 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     y = labels.astype(np.float64)
     if not 0 < y.sum() < len(y):
         return weights
-    flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    with_, all_ = (np.bincount(flat, weights=w, minlength=1 << BITS) for w in (y[owner], np.ones(len(flat))))
+    with_, all_ = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for r, label in zip(rows, y):  # a row's features are distinct
+        all_[r] += 1
+        if label:
+            with_[r] += 1
     n1, n0 = y.sum(), len(y) - y.sum()
     c1, c0 = with_ + 0.5, all_ - with_ + 0.5
     odds = np.log(c1 / (n1 - with_ + 0.5)) - np.log(c0 / (n0 - (all_ - with_) + 0.5))
     sure = np.abs(odds) / np.sqrt(1 / c1 + 1 / (n1 - with_ + 0.5) + 1 / c0 + 1 / (n0 - (all_ - with_) + 0.5))
     best = np.argsort(-sure, kind="stable")[:CHOSEN]
     best = best[(sure[best] >= SURE) & (all_[best] > 2)]
-    number = np.full(1 << BITS, -1)
+    number = np.full(1 << BITS, -1, np.int32)
     number[best] = np.arange(len(best))
-    col = number[flat]
-    col, row = col[col >= 0], owner[col >= 0]
+    kept = [c[c >= 0] for c in (number[r] for r in rows)]
+    col, row = np.concatenate(kept), np.repeat(np.arange(len(kept)), [len(c) for c in kept])
     w, b = np.zeros(len(best)), np.log(n1 / n0)
     balance = np.where(y == 1, len(y) / n1, len(y) / n0) / 2
     memory_w, memory_b = np.full(len(best), 1e-8), 1e-8
@@ -219,7 +222,7 @@ def _texts(column, restorer: Restorer):
     _, offsets = flat_bytes(column)
     for i, j in chunks(offsets, 1 << 20):
         own = column.slice(i, j - i).to_pylist()
-        yield i, [(t + " " + " ".join(restorer.words(t))).encode() for t in own]
+        yield i, [" ".join([t, *restorer.words(t)]).encode() for t in own]
 
 
 @lru_cache(maxsize=2)
@@ -276,7 +279,7 @@ def with_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     training, known = training_rows(docs, labels, "toxic", FOLDS, HELD_OUT, TRAIN_ROWS)
     sample = mapped(training, _sampler(model), "label int, features binary").toPandas()
     y = sample["label"].to_numpy().astype(np.float64)
-    found = [np.frombuffer(x, "<i4").astype(np.int64) for x in sample["features"]]
+    found = [np.frombuffer(x, "<i4") for x in sample["features"]]
     fitted = calibrated(found, y, known.agg(F.avg("label")).first()[0] or 0.0)
     weights = spark.sparkContext.broadcast(fitted.astype(np.float32).tobytes())
     schema = T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())])
