@@ -273,8 +273,9 @@ def near_groups(df: DataFrame, shingle: int = 2, threshold: int = 80, id_col: st
     nodes = signed.where("d1 IS NOT NULL").groupBy("d1", "d2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("least"), F.first("sig").alias("sig"))
     nodes = stored(nodes.select("d1", "d2", F.monotonically_increasing_id().alias("node"), "least.doc_id", "least.th", "sig"), "nodes")
 
-    banded = mapped(nodes.select("node", "sig"), _bander, "key long, node long").repartition(width, "key")
-    ends = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    banded = mapped(nodes.select("node", "sig"), _bander, "key long, node long")
+    # what is counted by key is written before it is joined by key: then the join can be split where a bucket is large
+    ends = stored(banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high"), "ends")
     buckets = stored(banded.join(ends, "key"), "buckets")
     pairs = buckets.select(F.col("low").alias("u"), F.col("node").alias("v")).unionByName(buckets.select(F.col("node").alias("u"), F.col("high").alias("v"))).where("u < v").distinct()
     members = buckets.select("node").distinct()
@@ -317,9 +318,10 @@ def near_groups(df: DataFrame, shingle: int = 2, threshold: int = 80, id_col: st
 
     marked = buckets.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     mixed = marked.groupBy("key").agg(F.min("comp").alias("first"), F.max("comp").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last AND n > 3")
-    open_ = stored(marked.join(mixed.select("key", "first", "n"), "key"), "open")
+    mixed = stored(mixed.select("key", "first", "n"), "mixed")
+    open_ = stored(marked.join(mixed, "key"), "open")
     if not open_.isEmpty():
-        outer_n = open_.groupBy("key").agg(F.count_if(F.col("comp") != F.col("first")).alias("n_outer"))
+        outer_n = stored(open_.groupBy("key").agg(F.count_if(F.col("comp") != F.col("first")).alias("n_outer")), "outer")
         rows = open_.join(outer_n, "key").select("key", "node", "comp", (F.col("comp") != F.col("first")).alias("minor"), F.ceil(F.col("n") / BLOCK).cast("int").alias("jn"), F.ceil(F.col("n_outer") / BLOCK).cast("int").alias("in"))
         rows = rows.withColumns({c: F.pmod(F.xxhash64("node"), F.col(n)).cast("int") for c, n in (("own_i", "in"), ("own_j", "jn"))})
         every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
