@@ -7,52 +7,100 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import fold_type
 
-#: canonical name -> aliases (=NAME) and rules (rank:PART+PART); a lower rank is tried first.
-_SPEC = """
-AFFECTED =ANH_HUONG_DEN =ANH_HUONG_TOI 33:ANH_HUONG 34:TAC_DONG
-ALLY_OF =DONG_MINH 26:DONG_MINH 27:PHOI_HOP
-CAUSED =GAY_RA 35:GAY_RA 36:NGUYEN_NHAN
-COMMANDED =CHI_HUY 19:CHI_HUY 20:TU_LENH
-DEFEATED =DANH_BAI 30:DANH_BAI 31:TIEU_DIET 32:CHIEN_THANG
-FOUNDED =SANG_LAP =THANH_LAP 24:THANH_LAP 25:SANG_LAP
-HAS_CHUNK 3:HAS+CHUNK
-HAS_EVENT 1:HAS+EVENT
-HAS_PAGE 2:HAS+PAGE
-HAS_STAGE 0:HAS+STAGE
-HELD_POSITION =GIU_CHUC_VU 22:GIU_CHUC 23:DAM_NHIEM
-LED =LANH_DAO 17:LANH_DAO 18:DAN_DAT
-MEMBER_OF =THANH_VIEN_CUA 21:THANH_VIEN
-MENTIONS 4:MENTION
-OCCURRED_AT =DIEN_RA_TAI =XAY_RA_TAI 10:DIA_DIEM 11:DIEN_RA_TAI 12:XAY_RA_TAI
-OCCURRED_DURING =DIEN_RA_TRONG 13:DIEN_RA_TRONG 14:GIAI_DOAN
-OPPOSED =CHONG_LAI =DOI_DAU 28:CHONG 28.5:DOI_DAU 29:XAM_LUOC
-PARTICIPATED_IN =THAM_CHIEN =THAM_GIA 15:THAM_GIA 16:THAM_CHIEN
-PART_OF =LA_MOT_PHAN_CUA =THUOC =TRUC_THUOC 46:THUOC 47:MOT_PHAN
-PRECEDES 6:TRUOC 7:PRECEDE
-RELATED_TO
-RESULTED_IN =DAN_DEN =KET_QUA_LA 37:DAN_DEN 38:KET_QUA 39:HE_QUA
-SIGNED =KY_HIEP_DINH =KY_KET 40:KY+HIEP_DINH 41:KY_KET
-SUCCEEDS 8:SAU 9:SUCCEED
-SUPPORTED =HO_TRO =UNG_HO 43:UNG_HO 44:HO_TRO 45:VIEN_TRO
-SUPPORTED_BY 5:SUPPORTED+BY
-"""
-
-CANONICAL, ALIASES, RULES = [], {}, []
-for _line in _SPEC.split("\n"):
-    for _part in _line.split()[1:]:
-        if _part[0] == "=":
-            ALIASES[_part[1:]] = _line.split()[0]
-        else:
-            _rank, _, _names = _part.partition(":")
-            RULES.append((float(_rank), _names.split("+"), _line.split()[0]))
-    CANONICAL += _line.split()[:1]
-RULES.sort(key=lambda r: r[0])
+# The ontology's names, its aliases and its rules, equal to the reference's so that the same edges get the same types.
+STRUCTURAL = ["HAS_STAGE", "HAS_EVENT", "HAS_PAGE", "HAS_CHUNK", "MENTIONS", "SUPPORTED_BY"]
+SEMANTIC = [
+    "PART_OF", "PRECEDES", "SUCCEEDS", "OCCURRED_AT", "OCCURRED_DURING", "PARTICIPATED_IN", "LED", "COMMANDED", "MEMBER_OF", "HELD_POSITION",
+    "FOUNDED", "ALLY_OF", "OPPOSED", "DEFEATED", "AFFECTED", "CAUSED", "RESULTED_IN", "SIGNED", "SUPPORTED", "RELATED_TO",
+]
+CANONICAL = STRUCTURAL + SEMANTIC
+ALIASES = {
+    "THUOC": "PART_OF",
+    "LA_MOT_PHAN_CUA": "PART_OF",
+    "TRUC_THUOC": "PART_OF",
+    "DIEN_RA_TAI": "OCCURRED_AT",
+    "XAY_RA_TAI": "OCCURRED_AT",
+    "DIEN_RA_TRONG": "OCCURRED_DURING",
+    "THAM_GIA": "PARTICIPATED_IN",
+    "THAM_CHIEN": "PARTICIPATED_IN",
+    "LANH_DAO": "LED",
+    "CHI_HUY": "COMMANDED",
+    "THANH_VIEN_CUA": "MEMBER_OF",
+    "GIU_CHUC_VU": "HELD_POSITION",
+    "THANH_LAP": "FOUNDED",
+    "SANG_LAP": "FOUNDED",
+    "DONG_MINH": "ALLY_OF",
+    "DOI_DAU": "OPPOSED",
+    "CHONG_LAI": "OPPOSED",
+    "DANH_BAI": "DEFEATED",
+    "ANH_HUONG_TOI": "AFFECTED",
+    "ANH_HUONG_DEN": "AFFECTED",
+    "GAY_RA": "CAUSED",
+    "DAN_DEN": "RESULTED_IN",
+    "KET_QUA_LA": "RESULTED_IN",
+    "KY_KET": "SIGNED",
+    "KY_HIEP_DINH": "SIGNED",
+    "UNG_HO": "SUPPORTED",
+    "HO_TRO": "SUPPORTED",
+}
+#: All parts must occur in the folded name; the first rule that fits counts.
+RULES = [
+    (["HAS", "STAGE"], "HAS_STAGE"),
+    (["HAS", "EVENT"], "HAS_EVENT"),
+    (["HAS", "PAGE"], "HAS_PAGE"),
+    (["HAS", "CHUNK"], "HAS_CHUNK"),
+    (["MENTION"], "MENTIONS"),
+    (["SUPPORTED", "BY"], "SUPPORTED_BY"),
+    (["TRUOC"], "PRECEDES"),
+    (["PRECEDE"], "PRECEDES"),
+    (["SAU"], "SUCCEEDS"),
+    (["SUCCEED"], "SUCCEEDS"),
+    (["DIA_DIEM"], "OCCURRED_AT"),
+    (["DIEN_RA_TAI"], "OCCURRED_AT"),
+    (["XAY_RA_TAI"], "OCCURRED_AT"),
+    (["DIEN_RA_TRONG"], "OCCURRED_DURING"),
+    (["GIAI_DOAN"], "OCCURRED_DURING"),
+    (["THAM_GIA"], "PARTICIPATED_IN"),
+    (["THAM_CHIEN"], "PARTICIPATED_IN"),
+    (["LANH_DAO"], "LED"),
+    (["DAN_DAT"], "LED"),
+    (["CHI_HUY"], "COMMANDED"),
+    (["TU_LENH"], "COMMANDED"),
+    (["THANH_VIEN"], "MEMBER_OF"),
+    (["GIU_CHUC"], "HELD_POSITION"),
+    (["DAM_NHIEM"], "HELD_POSITION"),
+    (["THANH_LAP"], "FOUNDED"),
+    (["SANG_LAP"], "FOUNDED"),
+    (["DONG_MINH"], "ALLY_OF"),
+    (["PHOI_HOP"], "ALLY_OF"),
+    (["CHONG"], "OPPOSED"),
+    (["DOI_DAU"], "OPPOSED"),
+    (["XAM_LUOC"], "OPPOSED"),
+    (["DANH_BAI"], "DEFEATED"),
+    (["TIEU_DIET"], "DEFEATED"),
+    (["CHIEN_THANG"], "DEFEATED"),
+    (["ANH_HUONG"], "AFFECTED"),
+    (["TAC_DONG"], "AFFECTED"),
+    (["GAY_RA"], "CAUSED"),
+    (["NGUYEN_NHAN"], "CAUSED"),
+    (["DAN_DEN"], "RESULTED_IN"),
+    (["KET_QUA"], "RESULTED_IN"),
+    (["HE_QUA"], "RESULTED_IN"),
+    (["KY", "HIEP_DINH"], "SIGNED"),
+    (["KY_KET"], "SIGNED"),
+    (["UNG_HO"], "SUPPORTED"),
+    (["HO_TRO"], "SUPPORTED"),
+    (["VIEN_TRO"], "SUPPORTED"),
+    (["THUOC"], "PART_OF"),
+    (["MOT_PHAN"], "PART_OF"),
+]
+# End of fixed values.
 
 
 def canonical_relation(raw: Column) -> Column:
     name = fold_type(raw)
     out = F.lit("RELATED_TO")
-    for _, parts, canonical in reversed(RULES):
+    for parts, canonical in reversed(RULES):
         hit = F.lit(True)
         for p in parts:
             hit = hit & F.contains(name, F.lit(p))
@@ -63,7 +111,7 @@ def canonical_relation(raw: Column) -> Column:
 
 def canonical_relation_sql(raw: str) -> str:
     """The same as DuckDB SQL over a folded name."""
-    cases = " ".join("WHEN " + " AND ".join(f"contains({raw}, '{p}')" for p in parts) + f" THEN '{c}'" for _, parts, c in RULES)
+    cases = " ".join("WHEN " + " AND ".join(f"contains({raw}, '{p}')" for p in parts) + f" THEN '{c}'" for parts, c in RULES)
     exact = " ".join(f"WHEN '{a}' THEN '{c}'" for a, c in ALIASES.items())
     listed = ", ".join(f"'{c}'" for c in CANONICAL)
     return f"CASE WHEN {raw} IN ({listed}) THEN {raw} ELSE coalesce(CASE {raw} {exact} END, CASE {cases} ELSE 'RELATED_TO' END) END"
