@@ -35,6 +35,8 @@ _TABLES = [np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)]
 _POSITION = np.uint64((1 << 24) - 1)
 #: Strings that are handled in one go where a text is very long.
 SEGMENT = 8 << 20
+#: Bytes of texts that a worker hashes at once, and rows that it turns into Python objects at once.
+PART, ROWS_AT_ONCE = 1 << 20, 512
 
 
 def _sums(data: np.ndarray, which: int) -> np.ndarray:
@@ -99,7 +101,7 @@ def _finder(length: int, anchor: int):
 
         for batch in batches:
             data, offsets = flat_bytes(batch.column(2))
-            for i, j in chunks(offsets):
+            for i, j in chunks(offsets, PART):
                 own, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 for a in range(0, max(1, len(own) - length + 1), SEGMENT) if len(own) > 2 * SEGMENT else [0]:
                     if len(own) > 2 * SEGMENT:  # one long text
@@ -115,6 +117,12 @@ def _finder(length: int, anchor: int):
     return run
 
 
+def _slices(batches):
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(i, ROWS_AT_ONCE)
+
+
 CUT_SCHEMA = "anchor long, whole long, many boolean, doc_id long, th long, start int, piece binary"
 
 
@@ -122,7 +130,7 @@ def _piece_cutter(length: int):
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for doc, th, text, wanted in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 raw = text.encode()
@@ -183,7 +191,7 @@ def _refiner(length: int, anchor: int):
 
         for batch in batches:
             data, offsets = flat_bytes(batch.column(3))
-            for i, j in chunks(offsets):
+            for i, j in chunks(offsets, PART):
                 own, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 piece, start, n, key, whole = _stretches(own, at, length, anchor)
                 if not len(piece):
@@ -217,7 +225,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     same, group = Window.partitionBy("anchor", "whole").orderBy("doc_id", "th", "start"), Window.partitionBy("anchor")
     cold = found.where(~is_hot).withColumn("nth", F.row_number().over(same)).withColumn("copies", F.count(F.lit(1)).over(Window.partitionBy("anchor", "whole"))).withColumn("mixed", F.min("whole").over(group) != F.max("whole").over(group))
     cold = cold.where("copies > 1 OR mixed").select("doc_id", "th", "start", "n", "anchor", "whole", "copies", F.expr("mixed AND nth = 1").alias("lead"))
-    rows = cold
+    rows = stored(cold, "shared")
     if hot:
         least = F.min(F.struct("doc_id", "th", "start")).alias("least")
         kinds = found.where(is_hot).groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("copies"), least)
@@ -226,8 +234,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
         kinds = kinds.join(mixed, "anchor")
         warm = found.where(is_hot).join(kinds, ["anchor", "whole"])
         warm = warm.select("doc_id", "th", "start", "n", "anchor", "whole", "copies", (F.col("mixed") & F.struct("doc_id", "th", "start").eqNullSafe(F.col("least"))).alias("lead"))
-        rows = rows.unionByName(warm.where("copies > 1 OR lead"))
-    rows = stored(rows, "shared")
+        rows = rows.unionByName(stored(warm.where("copies > 1 OR lead"), "shared"))  # written by itself, so that its join can be split
     whole = rows.where("copies > 1").select("doc_id", "th", "start", "n")
 
     leads = rows.where("lead").select("doc_id", "th", "start", "n", "anchor", "whole")
@@ -275,7 +282,7 @@ def _reporter(length: int):
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in _slices(batches):
             out = []
             for doc, text, spans in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 raw = text.encode()
@@ -310,7 +317,7 @@ def _remover(length: int):
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in _slices(batches):
             texts = []
             for text, spans in zip(batch.column("__text").to_pylist(), batch.column("__spans").to_pylist()):
                 raw = text.encode()
