@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import fold_key, words
+from lodestone.operators.joins import small
 
 K1, B = 1.2, 0.75
 #: Weights of channels in the fusion, and the rank offset.
@@ -104,12 +105,12 @@ def lexical_score(asked: Column, head: Column, text: Column) -> Column:
 def published_top(records: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     """The k best records (doc_id, title, body) of each stated question (query_id, text) by lexical_score.
 
-    Keys are made once a row, before the questions meet the records; a question's words that occur in a record decide which pairs are looked at.
+    Keys are made once a row, before the questions meet the records.
     """
     keys = records.select("doc_id", fold_key(F.col("title")).alias("head"), fold_key(F.concat_ws(" ", "title", "body")).alias("key"))
     asked = questions.select("query_id", words(F.col("text")).alias("asked"))
     keys, asked = (df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.columns[0]) for df in (keys, asked))
-    scored = keys.join(F.broadcast(asked.limit(10_000)), F.lit(True)).select("query_id", "doc_id", lexical_score(F.col("asked"), F.col("head"), F.col("key")).alias("score"))
+    scored = keys.join(small(asked), F.lit(True)).select("query_id", "doc_id", lexical_score(F.col("asked"), F.col("head"), F.col("key")).alias("score"))
     return ranked(scored.where("score > 0"), k, F.desc("score"), F.col("doc_id"))
 
 
@@ -126,7 +127,7 @@ def composite(items: DataFrame, k: int) -> DataFrame:
 def in_windows(records: DataFrame, windows: DataFrame, per_window: int) -> DataFrame:
     """Records (id, y0, y1, score) that overlap windows (window_id, start, end); an unknown bound overlaps. The best per window, with their rank."""
     hit = (F.coalesce("y0", "start") <= F.col("end")) & (F.coalesce("y1", "y0", "end") >= F.col("start"))
-    met = records.join(F.broadcast(windows.limit(1000)), hit)
+    met = records.join(small(windows), hit)
     return ranked(met, per_window, F.desc("score"), F.col("id"), by="window_id")
 
 

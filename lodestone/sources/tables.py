@@ -38,27 +38,30 @@ def page_text(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", title.alias("title"), body.alias("body"))
 
 
-ELIGIBLE = r"^(periods\.json|periods/.*events\.json|persons/[^/]+/[^/]+\.json)$"
-MOST_BYTES = 8 << 20
+ELIGIBLE = r"^(periods\.json|periods/(.*/)?events\.json|persons/[^/]+/[^/]+\.json)$"
+MOST_BYTES = 8_000_000
+MANIFEST_SCHEMA = "contentVersion string, files map<string, struct<url string, sha256 string>>"
 
 
 def published(spark: SparkSession, root: str) -> DataFrame:
-    """(path, record) of the published records under root that manifest.json lists.
+    """(version, path, record) of the published records under root that manifest.json lists.
 
-    The manifest has {"files": [{"path", "sha256", "size"}]}. Files that aren't eligible or are too large are left out; a listed file that is missing or whose
-    bytes differ from its digest fails the whole load. A file holds one record or a list of them; those with status `published` stay.
+    The manifest has {"contentVersion", "files": {path: {"url", "sha256"}}}, with urls relative to root. Files that aren't eligible, or have no url or digest, are left
+    out; a listed file that is missing, too large, or whose bytes differ from its digest fails the whole load. A file holds one record or a list of
+    them; those with status `published` stay.
     """
-    manifest = spark.read.option("multiLine", True).schema("files array<struct<path string, sha256 string, size long>>").json(f"{root}/manifest.json")
-    listed = manifest.select(F.explode("files").alias("f")).select("f.*").where(F.col("path").rlike(ELIGIBLE) & ~F.col("path").endswith("/index.json") & (F.coalesce("size", F.lit(0)) <= MOST_BYTES))
+    manifest = spark.read.option("multiLine", True).schema(MANIFEST_SCHEMA).json(f"{root}/manifest.json")
+    listed = manifest.select("contentVersion", F.explode("files").alias("path", "f")).select(F.col("contentVersion").alias("version"), "path", "f.url", "f.sha256")
+    listed = listed.where(F.col("path").rlike(ELIGIBLE) & ~F.col("path").endswith("/index.json") & (F.coalesce("url", F.lit("")) != "") & (F.coalesce("sha256", F.lit("")) != ""))
     base = root.rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(root)
-    files = files.select(F.expr(f"substring(path, instr(path, '{base}') + {len(base)})").alias("path"), "content")
-    joined = listed.join(files, "path", "left")
-    sound = F.coalesce(F.sha2("content", 256) == F.lower("sha256"), F.lit(False))
-    checked = joined.select("path", F.when(sound, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("published file differs from its manifest: "), "path"))).alias("content"))
+    files = files.select(F.expr(f"substring(path, instr(path, '{base}') + {len(base)})").alias("url"), "length", "content")
+    joined = listed.join(files, "url", "left")
+    sound = F.coalesce((F.sha2("content", 256) == F.lower("sha256")) & (F.col("length") <= MOST_BYTES), F.lit(False))
+    checked = joined.select("version", "path", F.when(sound, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("published file differs from its manifest: "), "path"))).alias("content"))
     text = F.trim(F.col("content").cast("string"))
     variant = F.parse_json(F.when(text.startswith("["), text).otherwise(F.concat(F.lit("["), text, F.lit("]"))))
-    rows = checked.select("path", F.explode(F.variant_get(variant, "$", "array<variant>")).alias("record"))
+    rows = checked.select("version", "path", F.explode(F.variant_get(variant, "$", "array<variant>")).alias("record"))
     return rows.where(F.try_variant_get("record", "$.status", "string") == "published")
 
 

@@ -61,8 +61,8 @@ def write_published(root, tamper=False):
     record = json.dumps([{"id": 1, "status": "published", "title": "A"}, {"id": 2, "status": "draft", "title": "B"}]).encode()
     (root / "periods" / "x").mkdir(parents=True)
     (root / "periods" / "x" / "events.json").write_bytes(record + (b" " if tamper else b""))
-    files = [{"path": "periods/x/events.json", "sha256": hashlib.sha256(record).hexdigest(), "size": len(record)}, {"path": "other/x.json", "sha256": "0", "size": 1}]
-    (root / "manifest.json").write_text(json.dumps({"files": files}))
+    files = {"periods/x/events.json": {"url": "periods/x/events.json", "sha256": hashlib.sha256(record).hexdigest()}, "other/x.json": {"url": "other/x.json", "sha256": "0"}}
+    (root / "manifest.json").write_text(json.dumps({"contentVersion": "v1", "files": files}))
 
 
 def test_published_content(spark, tmp_path):
