@@ -23,6 +23,11 @@ def _accent_table() -> tuple[str, str]:
 
 
 _ACCENTED, _PLAIN = _accent_table()
+# Folded words that full-text queries, and scores of published records, leave out; and the signs of a query's words.
+QUERY_STOP = ["ai", "bao", "biet", "cac", "cho", "co", "cua", "duoc", "gi", "hay", "khi", "la", "minh", "mot", "nam", "nay", "nhung", "noi", "o", "the", "thi", "toi", "trong", "tu", "va", "ve"]
+RECORD_STOP = ["ai", "bao", "cac", "cho", "cua", "duoc", "gi", "hay", "khi", "la", "nao", "noi", "o", "ra", "tai", "the", "thoi", "vao", "va", "ve", "vay"]
+QUERY_WORD = "[0-9A-Za-zÀ-ỹĐđ_-]+"
+# End of fixed values.
 _EDGES = " \t\n\r.,;:!?()[]{}\"'"
 
 
@@ -56,9 +61,10 @@ def content_hash(x: Column) -> Column:
     return F.sha2(F.lower(collapsed(F.coalesce(x, F.lit("")))), 256)
 
 
-def words(x: Column) -> Column:
-    """Distinct words of the search key with two letters at least, in order of appearance."""
-    return F.array_distinct(F.filter(F.split(fold_key(x), " "), lambda w: F.length(w) >= 2))
+def words(x: Column, stop: list[str] | None = None) -> Column:
+    """Distinct words of the search key with two letters at least that aren't in the stop list, in order of appearance."""
+    telling = (lambda w: (F.length(w) >= 2) & ~w.isin(stop)) if stop else (lambda w: F.length(w) >= 2)
+    return F.array_distinct(F.filter(F.split(fold_key(x), " "), telling))
 
 
 def word_count(x: Column) -> Column:
@@ -119,11 +125,12 @@ def dice(a: Column, b: Column) -> Column:
     return F.when(total == 0, F.lit(0.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / total)
 
 
-def capped_search_terms(x: Column, stop: list[str], most: int = 14) -> Column:
-    """Distinct lower-case words for a full-text query: two folded letters at least, not in the stop list, the first `most`."""
-    raw = F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit(r"([0-9\p{L}_-]+)"), 1)
+def capped_search_terms(x: Column, stop: list[str] | None = None, most: int = 14) -> Column:
+    """Distinct lower-case words for a full-text query: two folded letters at least, not in the stop list once folded, the first `most`."""
+    stop = QUERY_STOP if stop is None else stop
+    raw = F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit(f"({QUERY_WORD})"), 1)
     trimmed = F.transform(raw, lambda w: F.btrim(w, F.lit("_-")))
-    kept = F.filter(trimmed, lambda w: (F.length(w) >= 2) & ~w.isin(stop))
+    kept = F.filter(trimmed, lambda w: (F.length(fold_key(w)) >= 2) & ~fold_key(w).isin(stop))
     return F.slice(F.array_distinct(kept), 1, most)
 
 

@@ -11,11 +11,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import fold_key, words
+from lodestone.functions.text import RECORD_STOP, fold_key, words
 from lodestone.operators.joins import small
 
 K1, B = 1.2, 0.75
 #: Weights of channels in the fusion, and the rank offset.
+OFFICIAL_BONUS = 0.002
 WEIGHTS, OFFSET = {"exact": 4.0, "entity": 2.5, "vector": 1.0, "lexical": 1.0}, 60
 
 
@@ -30,12 +31,14 @@ def inverted_index(docs: DataFrame) -> DataFrame:
     return tokens.select("doc_id", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("term")).groupBy("term", "doc_id", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(docs: DataFrame, questions: DataFrame, k: int) -> DataFrame:
-    """query_id, doc_id, score, rank of the k best documents for each question (query_id, text).
+def bm25(docs: DataFrame, questions: DataFrame, k: int, most: int | None = None, stop: list[str] | None = None) -> DataFrame:
+    """query_id, doc_id, score, rank of the k best documents for each question (query_id, text), by its first `most` words that aren't in the stop list.
 
     Only postings of the questions' terms leave the scan: tokens are filtered by a semi-join on terms before they are counted.
     """
-    terms = questions.select("query_id", F.explode(words(F.col("text"))).alias("term"))
+    asked = words(F.col("text"), stop)
+    asked = asked if most is None else F.slice(asked, 1, most)
+    terms = questions.select("query_id", F.explode(asked).alias("term"))
     tokens = docs.select("doc_id", F.filter(F.split(fold_key(F.col("text")), " "), lambda w: F.length(w) >= 2).alias("tokens"))
     sizes = tokens.select("doc_id", F.size("tokens").alias("doc_len"))
     wanted = terms.select("term").distinct()
@@ -81,36 +84,45 @@ def key_hits(entities: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return ranked(hits, k, F.col("doc_id")).select("query_id", "doc_id", F.lit(1.0).alias("score"), "rank")
 
 
-def fused(channels: dict[str, DataFrame], k: int, bonus: DataFrame | None = None) -> DataFrame:
-    """Weighted reciprocal ranks over channels: query_id, doc_id, score (1 for the best), channels, direct, rank."""
-    parts = [df.select("query_id", "doc_id", "rank", F.lit(name).alias("channel"), F.lit(WEIGHTS[name]).alias("weight")) for name, df in channels.items()]
+def fused(channels: dict[str, DataFrame], k: int, official: DataFrame | None = None) -> DataFrame:
+    """Weighted reciprocal ranks over channels: query_id, doc_id, score (1 for the best), channels, direct, rank.
+
+    Documents of the official table (doc_id) come a little earlier; their score isn't raised. Then vector scores decide, then ids.
+    """
+    vector = lambda name: F.col("score") if name == "vector" else F.lit(None).cast("double")
+    parts = [df.select("query_id", "doc_id", "rank", vector(name).alias("vector"), F.lit(name).alias("channel"), F.lit(WEIGHTS[name]).alias("weight")) for name, df in channels.items()]
     rows = reduce(DataFrame.unionByName, parts)
     share = F.col("weight") / (OFFSET + F.col("rank"))
-    by_item = rows.groupBy("query_id", "doc_id").agg(F.round(F.sum(share), 9).alias("rrf"), F.array_join(F.sort_array(F.collect_set("channel")), ",").alias("channels"), F.max(F.col("channel") == "exact").alias("direct"))
+    by_item = rows.groupBy("query_id", "doc_id").agg(F.round(F.sum(share), 9).alias("rrf"), F.array_join(F.sort_array(F.collect_set("channel")), ",").alias("channels"), F.max(F.col("channel") == "exact").alias("direct"), F.coalesce(F.max("vector"), F.lit(0.0)).alias("vector"))
     best = F.max("rrf").over(Window.partitionBy("query_id"))
     by_item = by_item.withColumn("score", F.round(F.col("rrf") / best, 6))
-    return ranked(by_item, k, F.desc("rrf"), F.col("doc_id")).drop("rrf")
+    if official is not None:
+        trusted = official.select("doc_id", F.lit(OFFICIAL_BONUS).alias("bonus")).dropDuplicates(["doc_id"])
+        by_item = by_item.join(trusted, "doc_id", "left").withColumn("rrf", F.round(F.col("rrf") + F.coalesce("bonus", F.lit(0.0)), 9)).drop("bonus")
+    return ranked(by_item, k, F.desc("rrf"), F.desc("vector"), F.col("doc_id")).select("query_id", "doc_id", "channels", "direct", "score", "rank")
 
 
-def lexical_score(asked: Column, head: Column, text: Column) -> Column:
-    """Published-content score from distinct question words and the search keys of title and whole text: covered words, by substring, with shares for the title and the opening words; 0 below two hits."""
+def lexical_score(asked: Column, head: Column, text: Column, context: Column | None = None) -> Column:
+    """Published-content score from distinct question words and the search keys of title, whole text and context: covered words, by substring, with shares for the title, the context and the opening words; 0 below two hits."""
     hits = F.size(F.filter(asked, lambda w: F.contains(text, w)))
     title_hits = F.size(F.filter(asked, lambda w: F.contains(head, w)))
     n = F.greatest(F.size(asked), F.lit(1))
     opening = F.when(F.contains(text, F.array_join(F.slice(asked, 1, 5), " ")), 0.12).otherwise(0.0)
-    score = F.least(F.lit(1.0), 0.72 * (hits / n) + 0.20 * title_hits / n + opening)
+    context_hits = F.lit(0) if context is None else F.size(F.filter(asked, lambda w: F.contains(context, w)))
+    score = F.least(F.lit(1.0), 0.72 * (hits / n) + 0.20 * title_hits / n + 0.12 * context_hits / n + opening)
     return F.round(F.when((hits < 2) | (hits / n < 0.28), 0.0).otherwise(score), 6)
 
 
-def published_top(records: DataFrame, questions: DataFrame, k: int) -> DataFrame:
-    """The k best records (doc_id, title, body) of each stated question (query_id, text) by lexical_score.
+def published_top(records: DataFrame, questions: DataFrame, k: int, stop: list[str] | None = None) -> DataFrame:
+    """The k best records (doc_id, title, body, and context if there is one) of each stated question (query_id, text) by lexical_score.
 
     Keys are made once a row, before the questions meet the records.
     """
-    keys = records.select("doc_id", fold_key(F.col("title")).alias("head"), fold_key(F.concat_ws(" ", "title", "body")).alias("key"))
-    asked = questions.select("query_id", words(F.col("text")).alias("asked"))
+    context = fold_key(F.col("context")) if "context" in records.columns else F.lit("")
+    keys = records.select("doc_id", context.alias("context"), fold_key(F.col("title")).alias("head"), fold_key(F.concat_ws(" ", "title", "body")).alias("key"))
+    asked = questions.select("query_id", words(F.col("text"), RECORD_STOP if stop is None else stop).alias("asked"))
     keys, asked = (df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.columns[0]) for df in (keys, asked))
-    scored = keys.join(small(asked), F.lit(True)).select("query_id", "doc_id", lexical_score(F.col("asked"), F.col("head"), F.col("key")).alias("score"))
+    scored = keys.join(small(asked), F.lit(True)).select("query_id", "doc_id", lexical_score(F.col("asked"), F.col("head"), F.col("key"), F.col("context")).alias("score"))
     return ranked(scored.where("score > 0"), k, F.desc("score"), F.col("doc_id"))
 
 

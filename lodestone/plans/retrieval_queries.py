@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.operators import retrieval as R
+from lodestone.operators.models import known_names
 from lodestone.plans.registry import query
 from lodestone.plans.text_queries import fold_sql, words_sql
 from lodestone.sources.tables import page_text, table
@@ -66,15 +67,39 @@ def exact_phrase_hits(spark, d):
 @query(
     "hybrid_retrieval",
     f"""WITH {_BM25}, {_VECTOR}, {_PHRASE},
- a AS (SELECT query_id, doc_id, rank, 'exact' AS channel, 4.0::DOUBLE AS weight FROM exact UNION ALL SELECT query_id, doc_id, rank, 'vector', 1.0 FROM vector UNION ALL SELECT query_id, doc_id, rank, 'lexical', 1.0 FROM lexical),
- g AS (SELECT query_id, doc_id, round(sum(weight / (60 + rank)), 9) AS rrf, string_agg(DISTINCT channel, ',' ORDER BY channel) AS channels, bool_or(channel = 'exact') AS direct FROM a GROUP BY 1, 2),
- r AS (SELECT *, round(rrf / max(rrf) OVER (PARTITION BY query_id), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, doc_id) AS rank FROM g)
+ a AS (SELECT query_id, doc_id, rank, 'exact' AS channel, 4.0::DOUBLE AS weight, NULL::DOUBLE AS cosine FROM exact UNION ALL SELECT query_id, doc_id, rank, 'vector', 1.0, score FROM vector UNION ALL SELECT query_id, doc_id, rank, 'lexical', 1.0, NULL FROM lexical),
+ g AS (SELECT query_id, doc_id, round(sum(weight / (60 + rank)), 9) AS rrf, coalesce(max(cosine), 0) AS cosine, string_agg(DISTINCT channel, ',' ORDER BY channel) AS channels, bool_or(channel = 'exact') AS direct FROM a GROUP BY 1, 2),
+ r AS (SELECT *, round(rrf / max(rrf) OVER (PARTITION BY query_id), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, cosine DESC, doc_id) AS rank FROM g)
  SELECT query_id, doc_id, channels, direct, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 8""",
 )
 def hybrid_retrieval(spark, d):
     return R.fused({"exact": exact(spark, d), "vector": vector(spark, d), "lexical": lexical(spark, d)}, 8)
 
 
+_NAMED = f"""en AS (SELECT item_id AS query_id, array_to_string(({words_sql('text')})[4:5], ' ') AS name FROM benchmark),
+ eh AS (SELECT query_id, doc_id FROM en JOIN ek ON name <> '' AND contains(concat(' ', k, ' '), concat(' ', name, ' '))),
+ entity AS (SELECT query_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM eh) WHERE rank <= 10)"""
+
+
+@query(
+    "hybrid_four_channels",
+    f"""WITH {_BM25}, {_VECTOR}, {_PHRASE}, {_NAMED},
+ a AS (SELECT query_id, doc_id, rank, 'exact' AS channel, 4.0::DOUBLE AS weight, NULL::DOUBLE AS cosine FROM exact UNION ALL SELECT query_id, doc_id, rank, 'entity', 2.5, NULL FROM entity UNION ALL SELECT query_id, doc_id, rank, 'vector', 1.0, score FROM vector UNION ALL SELECT query_id, doc_id, rank, 'lexical', 1.0, NULL FROM lexical),
+ g AS (SELECT query_id, doc_id, round(sum(weight / (60 + rank)), 9) AS rrf, coalesce(max(cosine), 0) AS cosine, string_agg(DISTINCT channel, ',' ORDER BY channel) AS channels, bool_or(channel = 'exact') AS direct FROM a GROUP BY 1, 2),
+ z AS (SELECT *, round(rrf / max(rrf) OVER (PARTITION BY query_id), 6) AS score, round(rrf + CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 0.002 ELSE 0 END, 9) AS lifted FROM g),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lifted DESC, cosine DESC, doc_id) AS rank FROM z)
+ SELECT query_id, doc_id, channels, direct, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 24""",
+)
+def hybrid_four_channels(spark, d):
+    """All four channels, names of entities being two words of the question, with well-labelled documents as official ones."""
+    name = F.array_join(F.slice(F.filter(F.split(X.fold_key(F.col("text")), " "), lambda w: F.length(w) >= 2), 4, 2), " ")
+    wanted = questions(spark, d).select("query_id", name.alias("search_key")).where("search_key <> ''")
+    found = known_names(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), wanted.select("search_key").distinct().withColumns({"kind": F.lit("NAME"), "canonical_name": F.col("search_key")}))
+    entity = R.key_hits(found.select(F.col("chunk_id").alias("doc_id"), F.col("name").alias("search_key")), wanted, 10)
+    official = table(spark, d, "labels").where("quality = 1")
+    return R.fused({"exact": exact(spark, d), "entity": entity, "vector": vector(spark, d), "lexical": lexical(spark, d)}, 24, official)
+
+
 @query(
     "entity_channel",
     f"""WITH k AS (SELECT DISTINCT p_partkey AS doc_id, {fold_sql('p_name')} AS search_key FROM part), w AS (SELECT DISTINCT p_brand AS query_id, {fold_sql('p_name')} AS search_key FROM part WHERE p_partkey < 20),
@@ -111,7 +136,7 @@ def temporal_gate(spark, d):
     return R.temporal_gate(items).select("id", "y0")
 
 
-_ASKED = f"array_to_string(({words_sql('q.text')}), ' ')"
+_STOP = ", ".join(f"'{w}'" for w in X.RECORD_STOP)
 
 
 @query(
@@ -119,7 +144,7 @@ _ASKED = f"array_to_string(({words_sql('q.text')}), ' ')"
     rf"""WITH p AS (SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title,
       trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS body FROM pages),
     k AS (SELECT page_id, {fold_sql("concat_ws(' ', title, body)")} AS k, {fold_sql('title')} AS h FROM p),
-    q AS (SELECT item_id AS query_id, u.t AS t, u.i FROM (SELECT item_id, unnest(list_transform(range(1, len(w) + 1), lambda i: {{'t': w[i], 'i': i}})) AS u FROM (SELECT item_id, {words_sql('text')} AS w FROM benchmark WHERE item_id < 20))),
+    q AS (SELECT item_id AS query_id, u.t AS t, u.i FROM (SELECT item_id, unnest(list_transform(range(1, len(w) + 1), lambda i: {{'t': w[i], 'i': i}})) AS u FROM (SELECT item_id, list_filter({words_sql('text')}, lambda t: t NOT IN ({_STOP})) AS w FROM benchmark WHERE item_id < 20))),
     u AS (SELECT query_id, t, min(i) AS i FROM q GROUP BY 1, 2), o AS (SELECT query_id, list(t ORDER BY i) AS w FROM u GROUP BY 1),
     c AS (SELECT query_id, page_id, len(w) AS n, len(list_filter(w, lambda t: contains(k, t))) AS hits, len(list_filter(w, lambda t: contains(h, t))) AS title_hits, contains(k, array_to_string(w[1:5], ' ')) AS opening FROM o, k),
     s AS (SELECT query_id, page_id, round(CASE WHEN hits < 2 OR hits / n < 0.28 THEN 0.0 ELSE least(1.0, 0.72 * (hits / n) + 0.20 * title_hits / n + CASE WHEN opening THEN 0.12 ELSE 0.0 END) END, 6) AS score FROM c),

@@ -96,7 +96,7 @@ def text_distinct_words(spark, d):
 
 @query(
     "text_search_terms",
-    """WITH w AS (SELECT item_id, list_filter(list_transform(regexp_extract_all(lower(text), '[0-9\\p{L}_-]+'), lambda w: trim(w, '_-')), lambda w: length(w) >= 2 AND w NOT IN ('the', 'of', 'and')) AS w FROM benchmark),
+    f"""WITH w AS (SELECT item_id, list_filter(list_transform(regexp_extract_all(lower(text), '{X.QUERY_WORD}'), lambda w: trim(w, '_-')), lambda w: length({fold_sql('w')}) >= 2 AND {fold_sql('w')} NOT IN ('the', 'of', 'and')) AS w FROM benchmark),
     u AS (SELECT item_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM w), f AS (SELECT item_id, t, min(i) AS i FROM u GROUP BY 1, 2),
     r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY i) AS n FROM f) SELECT item_id, string_agg(t, ' ' ORDER BY n) AS terms FROM r WHERE n <= 14 GROUP BY 1""",
 )
