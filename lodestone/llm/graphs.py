@@ -1,15 +1,17 @@
-"""Connected components of an edge table by alternating large-star and small-star steps."""
+"""Connected components of an edge table: by alternating large-star and small-star steps, and by pointer jumping where the edges are a forest."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import settled
+from lodestone.llm.common import settled, stored
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+def _step(edges: DataFrame, *marks) -> tuple[DataFrame, tuple]:
+    """edges written once, and marks taken of what was written."""
+    out = stored(edges, "edges")
+    return out, tuple(out.agg(*marks).first())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,17 +19,28 @@ def components(edges: DataFrame) -> DataFrame:
 
     Minima are taken with partial sums and joined back, so a node with very many edges is nowhere gathered.
     """
-    now = settled(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = _mark(now)
+    marks = (F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")))
+    now, mark = _step(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), *marks)
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = settled(large)
+        large = stored(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = settled(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        before, mark = mark, _mark(now)
+        before = mark
+        now, mark = _step(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), *marks)
         if before == mark:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+
+
+def forest(edges: DataFrame) -> DataFrame:
+    """(node, comp) as components(), for edges (u, v) with u < v and one edge for each v: every node jumps to its parent's parent until none moves."""
+    now = settled(edges.select(F.col("v").alias("node"), F.col("u").alias("comp")))
+    moved = 1
+    while moved:
+        up = now.select(F.col("node").alias("comp"), F.col("comp").alias("above"))
+        jumped = now.join(up, "comp", "left").select("node", F.coalesce("above", "comp").alias("comp"), F.col("above").isNotNull().alias("went"))
+        now, (moved,) = _step(jumped, F.count_if(F.col("went")))
+        now = now.select("node", "comp")
+    return now.unionByName(now.select(F.col("comp").alias("node"), "comp").distinct())

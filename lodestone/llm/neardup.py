@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import mapped, settled, stored
-from lodestone.llm.graphs import components
+from lodestone.llm.graphs import components, forest
 from lodestone.llm.pieces import chunks, flat_bytes
 from lodestone.llm.repeats import _digests, _mixed, _sums
 
@@ -296,7 +296,7 @@ def near_groups(df: DataFrame, shingle: int = 2, threshold: int = 80, id_col: st
     # each node with its likeliest partner first: what that joins needs no further look
     by_node = Window.partitionBy("v").orderBy(F.desc("est"), "u")
     best = near.withColumn("nth", F.row_number().over(by_node)).where("nth = 1").select("u", "v")
-    comps = settled(components(confirmed(best)))
+    comps = settled(forest(confirmed(best)))
 
     def across(pairs: DataFrame) -> DataFrame:
         """Those of pairs that lie in different components, with the components."""

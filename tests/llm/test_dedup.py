@@ -94,6 +94,13 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(31)}, 100: 100, 101: 100, 103: 100}
 
 
+def test_forest(spark):
+    edges = [(i, i + 1) for i in range(0, 30)] + [(100, v) for v in range(101, 140)] + [(120, 200)]
+    got = dict(map(tuple, graphs.forest(spark.createDataFrame(edges, "u long, v long")).collect()))
+    assert got == {**{i: 0 for i in range(31)}, **{i: 100 for i in [*range(100, 140), 200]}}
+    assert graphs.forest(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
 def test_suffix_order_and_common_prefixes():
     import random
 
