@@ -21,7 +21,7 @@ def _counter(batches):
     total = np.zeros(SIGNS**4, np.int64)
     for batch in batches:
         data, offsets = flat_bytes(batch.column(0))
-        for i, j in chunks(offsets):
+        for i, j in chunks(offsets, 1 << 19):
             own, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             code = np.zeros(len(own) + 3 * (j - i) + 3, np.int64)  # three ends of word before each text
             code[np.arange(len(own)) + 3 * (np.repeat(np.arange(j - i), np.diff(at)) + 1)] = _CODE[own]

@@ -101,7 +101,7 @@ class Restorer:
             token = m[0]
             word = self.known.get(token)
             if word is None:
-                if len(self.known) > 500_000:
+                if len(self.known) > 100_000:
                     self.known.clear()
                 word = restore(token, self.model)
                 self.known[token] = word
@@ -220,7 +220,7 @@ def score(weights: np.ndarray, found: np.ndarray, offsets: np.ndarray) -> np.nda
 def _texts(column, restorer: Restorer):
     """Yields (first, texts in UTF-8 with their restored words)."""
     _, offsets = flat_bytes(column)
-    for i, j in chunks(offsets, 1 << 20):
+    for i, j in chunks(offsets, 1 << 19):
         own = column.slice(i, j - i).to_pylist()
         yield i, [" ".join([t, *restorer.words(t)]).encode() for t in own]
 
