@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_points
@@ -21,7 +22,7 @@ def sql():
 
 def rows(frame):
     def cell(x):
-        if x is None or x is np.nan or x != x:
+        if x is None or x is pd.NA or x is pd.NaT or x != x:
             return None
         if isinstance(x, (float, np.floating, int, np.integer)) and not isinstance(x, bool):
             return round(float(x), 6)
