@@ -5,9 +5,11 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lodestone.llm import packing, rans, shards, tokens, wordbpe
+from lodestone.llm.common import new_path
 from tests.llm import cases
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -142,3 +144,32 @@ def test_shards_are_written_whole(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert Counter(map(tuple, back.select("doc_id", "text", "lang", "source", "n_chars").collect())) == Counter(rows)
     assert back.select("shard").distinct().count() == 5
+
+
+def test_shards_are_the_rows_of_the_query(spark, tmp_path):
+    rows = cases.odd_rows() + [(5000, "same", "", "", 0)] * 40 + cases.near_rows() + [(6000 + i, "very long " * 50_000, "", "", i) for i in range(3)]
+    shards.write_shards(frame(spark, rows), str(tmp_path / "a"))
+    back = spark.read.parquet(str(tmp_path / "a"))
+    assert Counter(tuple(r)[:5] for r in back.select("doc_id", "text", "part", "source", "n_chars").collect()) == Counter(rows)
+    place = lambda i, t, shard, slot: (i, zlib.crc32((t or "").encode()), shard, slot)
+    files = Counter(place(r.doc_id, r.text, r.shard, r.slot) for r in back.collect())
+    other = spark.createDataFrame(rows[::-1], cases.SCHEMA).withColumnRenamed("lang", "part").repartition(7)
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        again = Counter((r.doc_id, r.text_crc32, r.shard, r.slot) for r in shards.sharded(other).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert again == files  # the order and the parts in which rows come play no part
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_shards_of_many_buckets(spark, monkeypatch, most):
+    monkeypatch.setattr(shards, "MOST_REPEATED", most, raising=False)
+    rows = [(i % 5000, f"text {i % 5000}", "", "", 0) for i in range(9000)]
+    first = sorted(map(tuple, shards.sharded(frame(spark, rows)).drop("grown_shard").collect()))
+    check_shards(rows, shards.sharded(frame(spark, rows)).collect(), 24)
+    assert first == sorted(map(tuple, shards.sharded(frame(spark, rows[::-1]).repartition(5)).drop("grown_shard").collect()))
+    path = new_path(spark, "out")
+    shards.write_shards(frame(spark, rows), path)
+    back = spark.read.parquet(path).select("doc_id", F.octet_length("text") + 8, F.crc32(F.col("text").cast("binary")), F.lit("rows"), "shard", "slot")
+    assert first == sorted(map(tuple, back.collect()))
