@@ -70,7 +70,7 @@ def evidence_budget(spark, d):
     FROM customer LEFT JOIN a ON a.id = c_custkey WHERE c_custkey < 300""",
 )
 def selection_outcome(spark, d):
-    customers = table(spark, d, "customer").where("c_custkey < 300").select(F.col("c_nationkey").cast("long").alias("plan_id"), F.col("c_custkey").alias("requirement_id"))
+    customers = table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("plan_id"), F.col("c_custkey").alias("requirement_id"))
     both = F.array(F.lit("w1"), F.lit("w2"))
     wanted = customers.select("plan_id", "requirement_id", (F.col("requirement_id") % 3 > 0).alias("required"), F.when(F.col("requirement_id") % 2 == 0, both).otherwise(F.array().cast("array<string>")).alias("windows"))
     found = table(spark, d, "orders").join(customers, F.col("o_custkey") == F.col("requirement_id"))

@@ -87,7 +87,7 @@ def graph_export_edges(spark, d):
     "SELECT o_orderkey, o_orderstatus, count(*) AS chunks, count(DISTINCT l_partkey) AS entities, array_to_string(list_sort(list(DISTINCT p_name)), '|') AS names FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderkey < 500 GROUP BY 1, 2",
 )
 def source_detail(spark, d):
-    orders = table(spark, d, "orders").where("o_orderkey < 500").select("o_orderkey", "o_orderstatus")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
     rows = orders.join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
     return rows.groupBy("o_orderkey", "o_orderstatus").agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("l_partkey").alias("entities"), F.array_join(F.sort_array(F.collect_set("p_name")), "|").alias("names"))
 
