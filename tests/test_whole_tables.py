@@ -54,3 +54,47 @@ def test_source_detail_of_all_orders(spark, folder):
     d = folder(orders=(ORDER, ORDERS), lineitem=("l_orderkey long, l_partkey long", lines), part=("p_partkey long, p_name string", parts))
     want = {o[0]: (3, 2, f"part 1|part {2 + o[0] % 3}") for o in ORDERS}
     assert {r.o_orderkey: (r.chunks, r.entities, r.names) for r in QUERIES["source_detail"](spark, d).collect()} == want
+
+
+QUESTIONS = [(i, f"amber{i % 4} kettle{i % 3} window{i} story") for i in (3, 19, 20, 21, 600)]
+PAGES = [(p, "", f"<html><title>Amber{p % 4} kettle{p % 3} page</title><p>story of window{p}</p></html>") for p in (1, 3, 20, 21, 44, 600)]
+BENCHMARK, PAGE = "item_id long, text string", "page_id long, url string, html string"
+
+
+def test_content_suggestions_of_all_questions(spark, folder):
+    want = {}
+    for i, text in QUESTIONS:
+        asked = set(text.split())
+        shared = {p: round(2 * len(t & asked) / (len(t) + len(asked)), 6) for p, _, _ in PAGES for t in [{f"amber{p % 4}", f"kettle{p % 3}", "page"}]}
+        for n, p in enumerate(sorted(shared, key=lambda p: (-shared[p], p))[:3]):
+            want[i, p] = (shared[p], n + 1)
+    got = QUERIES["content_suggestions"](spark, folder(benchmark=(BENCHMARK, QUESTIONS), pages=(PAGE, PAGES))).collect()
+    assert {(r.item_id, r.page_id): (r.dice, r["rank"]) for r in got} == want
+
+
+def test_published_search_of_all_questions(spark, folder):
+    want = {}
+    for i, text in QUESTIONS:
+        asked, scores = text.split(), {}
+        for p, _, _ in PAGES:
+            head = f"amber{p % 4} kettle{p % 3} page"
+            key = f"{head} {head} story of window{p}"
+            hits, titles = sum(w in key for w in asked), sum(w in head for w in asked)
+            if hits >= 2 and hits / len(asked) >= 0.28:
+                scores[p] = round(min(1.0, 0.72 * hits / len(asked) + 0.20 * titles / len(asked) + 0.12 * (" ".join(asked[:5]) in key)), 6)
+        for n, p in enumerate(sorted(scores, key=lambda p: (-scores[p], p))[:6]):
+            want[i, p] = (scores[p], n + 1)
+    got = QUERIES["published_search"](spark, folder(benchmark=(BENCHMARK, QUESTIONS), pages=(PAGE, PAGES))).collect()
+    assert {i for i, _ in want} == {i for i, _ in QUESTIONS}
+    assert {(r.query_id, r.doc_id): (r.score, r["rank"]) for r in got} == want
+
+
+def test_entity_channel_of_all_parts(spark, folder):
+    parts = [(p, f"red ring{p % 5}", f"Brand{p % 3}") for p in (1, 4, 19, 20, 21, 22, 500, 20_000)]
+    want = {}
+    for brand in {b for _, _, b in parts}:
+        keys = {n for _, n, b in parts if b == brand}
+        for n, p in enumerate(sorted(p for p, name, _ in parts if name in keys)[:24]):
+            want[brand, p] = n + 1
+    got = QUERIES["entity_channel"](spark, folder(part=("p_partkey long, p_name string, p_brand string", parts))).collect()
+    assert {(r.query_id, r.doc_id): r["rank"] for r in got} == want
