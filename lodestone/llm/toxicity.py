@@ -33,49 +33,64 @@ CHOSEN, SURE, PULL = 3000, 3.0, 1.0
 
 #: Letters that a sign may stand for, with the channel's cost.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "2": "z", "6": "gb", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
-SUBSTITUTED, DROPPED_SIGN, KEPT_DOUBLE, DROPPED_REPEAT = 1.0, 0.5, 0.7, 0.3
-GAPS = " .-_*~'"
-
-_SPACED = r"(?<![^\W_])[A-Za-z0-9@$!](?:[ .\-_*~]{1,2}[A-Za-z0-9@$!](?![^\W_])){2,}"
-_LEET = r"(?<![A-Za-z0-9])[A-Za-z]*[0-9@$!|+(€£¡]+[A-Za-z][A-Za-z0-9@$!|+(€£¡]*"
-_GAPPED = r"(?<![A-Za-z])[A-Za-z]+(?:[*._~\-]+[A-Za-z]+)+"
-_REPEATED = r"(?<![A-Za-z])[A-Za-z]*?([A-Za-z])\1\1[A-Za-z]*"
+SUBSTITUTED, DROPPED_SIGN, KEPT_DOUBLE, DROPPED_REPEAT, SPLIT = 1.0, 0.5, 0.7, 0.3, 1.0
+GAPS = " \t\r\n\xa0.,;:/\\-_*~'"
+
+#: Letters of any script, what may stand for one, and what may set letters apart.
+_LETTER, _SIGN, _GAP = r"[^\W\d_]", "@$!|+(€£¡", r"[\s.,;:/\\\-_*~']"
+_SPACED = rf"(?<![^\W_])(?:[^\W_]|[@$!])(?:{_GAP}++(?:[^\W_]|[@$!])(?![^\W_])){{2,}}"
+_LEET = rf"(?<![\w{_SIGN}])(?=[\d_{_SIGN}]*{_LETTER}){_LETTER}*+[0-9{_SIGN}][\w{_SIGN}]*"
+_GAPPED = rf"(?<!{_LETTER}){_LETTER}++(?:[*._~\-,/]++{_LETTER}++)+"
+_REPEATED = rf"(?<!{_LETTER}){_LETTER}*?({_LETTER})(?i:\1){_LETTER}*"
 SUSPECT = re.compile("|".join(f"(?:{x})" for x in (_SPACED, _LEET, _GAPPED, _REPEATED)))
+_GAPS, _DOUBLE = re.compile(f"{_GAP}+"), re.compile(rf"([\w{_SIGN}])(?i:\1)")
+ALL_KEPT = 1e6
+
 
+def restore(token: str, model: np.ndarray, dropped: float = DROPPED_REPEAT) -> str:
+    """The likeliest letters behind a token: a Viterbi pass over its lattice, states being the last three letters and the last sign read.
 
-def restore(token: str, model: np.ndarray) -> str:
-    """The likeliest letters behind a token: a Viterbi pass over its lattice, states being the last three letters and the last sign read."""
-    states: dict[tuple[int, str], tuple[float, tuple | None, int]] = {(0, ""): (0.0, None, 0)}
+    A gap holds nothing or is the end of a word, as the model has it. Letters beyond a-z stand for themselves. dropped is the cost of a repeat that doesn't count.
+    """
+    states: dict[tuple[int, str], tuple[float, tuple | None, str]] = {(0, ""): (0.0, None, "")}
     trail: list[dict] = []
     for c in token.lower():
-        new: dict[tuple[int, str], tuple[float, tuple, int]] = {}
+        new: dict[tuple[int, str], tuple[float, tuple, str]] = {}
 
         def step(state, cost, letter, last):
             context = state[0]
-            if letter:
-                cost -= float(model[context, letter])
-                context = (context * SIGNS + letter) % SIGNS**3
+            if letter == " ":
+                cost -= float(model[context, 0])
+                context = 0
+            elif "a" <= letter <= "z":
+                cost -= float(model[context, ord(letter) - 96])
+                context = (context * SIGNS + ord(letter) - 96) % SIGNS**3
+            elif letter:
+                context = context * SIGNS**2 % SIGNS**3  # two bytes or more that are no letters to the model
             to = (context, last)
             if to not in new or cost < new[to][0]:
                 new[to] = (cost, state, letter)
 
         for state, (cost, _, _) in states.items():
-            if "a" <= c <= "z":
-                letter = ord(c) - 96
+            if c not in LEET and c not in GAPS and c.isalpha():
                 if state[1] == c:  # a repeat counts or it doesn't
-                    step(state, cost + DROPPED_REPEAT, 0, c)
-                    step(state, cost + KEPT_DOUBLE, letter, c)
+                    step(state, cost + dropped, "", c)
+                    step(state, cost + KEPT_DOUBLE, c, c)
                 else:
-                    step(state, cost, letter, c)
+                    step(state, cost, c, c)
             else:
                 for x in LEET.get(c, ""):
                     if state[1] == c:
-                        step(state, cost + DROPPED_REPEAT, 0, c)
-                    step(state, cost + SUBSTITUTED, ord(x) - 96, c)
+                        step(state, cost + dropped, "", c)
+                        step(state, cost + KEPT_DOUBLE, x, c)
+                    else:
+                        step(state, cost + SUBSTITUTED, x, c)
                 if c in GAPS:
-                    step(state, cost, 0, state[1])
-                elif c not in LEET:
-                    step(state, cost + DROPPED_SIGN, 0, state[1])
+                    step(state, cost, "", state[1])
+                    if state[0]:
+                        step(state, cost + SPLIT, " ", "")
+                elif c not in LEET or c in _SIGN and dropped < ALL_KEPT:  # it may be mere punctuation
+                    step(state, cost + DROPPED_SIGN * (1 + 4 * (c in LEET)), "", state[1])
         trail.append(new)
         states = new
     if not states:
@@ -84,10 +99,9 @@ def restore(token: str, model: np.ndarray) -> str:
     letters = []
     for column in reversed(trail):
         _, before, letter = column[end]
-        if letter:
-            letters.append(chr(letter + 96))
+        letters.append(letter)
         end = before
-    return "".join(reversed(letters))
+    return "".join(reversed(letters)).strip()
 
 
 class Restorer:
@@ -103,8 +117,11 @@ class Restorer:
             if word is None:
                 if len(self.known) > 100_000:
                     self.known.clear()
-                word = restore(token, self.model)
-                self.known[token] = word
+                found = {restore(token, self.model): None}
+                if _DOUBLE.search(token):  # the model always likes fewer letters better, so the word with all of them is told too
+                    found[restore(token, self.model, ALL_KEPT)] = None
+                found.pop(_GAPS.sub(" ", token.lower()).strip(f" {_SIGN}"), None)  # it stands in the text as it is
+                self.known[token] = word = " ".join(found)
             if word:
                 out.append(word)
         return out

@@ -126,3 +126,22 @@ def test_search_prunes_and_is_exact():
         scores = points @ points[q]
         want = [i for i in np.lexsort((ids, -scores)) if ids[i] != ids[q]][:5]
         assert [(int(ids[q]), int(ids[i]), int(scores[i])) for i in want] == [g for g in got if g[0] == ids[q]]
+
+
+DISGUISES = {
+    "idio7": "idiot", "a$$": "ass", "worthle55": "worthless", "worthle$$": "worthless", "stuupid": "stupid", "iiddiioott": "idiot", "d é b i l e": "débile",
+    "s,t,u,p,i,d": "stupid", "s/t/u/p/i/d": "stupid", "s\nt\nu\np\ni\nd": "stupid", "s   t   u   p   i   d": "stupid", "a s t u p i d": "a stupid", "s t u p i d i d i o t": "stupid idiot",
+}
+
+
+@pytest.mark.parametrize("token", DISGUISES)
+def test_disguises_that_reach_the_lattice(spark, token):
+    texts = ["the idiot is a stupid and worthless person", "what a worthless ass", "un débile est la", "a stupid letter of a stupid idiot"] * 50
+    model = letter_model(spark.createDataFrame([(t,) for t in texts], "text string"))
+    found = toxicity.Restorer(model).words(f"so {token}\tso" if " " in token else f"so {token} so")
+    assert f" {DISGUISES[token]} " in f" {' '.join(found)} "
+
+
+def test_plain_words_are_not_told_again():
+    model = np.log(np.full((SIGNS**3, SIGNS), 1 / SIGNS, np.float32))
+    assert toxicity.Restorer(model).words("stupid! plain 1234 words") == []
