@@ -50,12 +50,21 @@ def detail_phrases(question: Column, subject: Column, control: list[str] | None
 def detail_hits(scanned: DataFrame, queries: DataFrame, per_query: int = 4) -> DataFrame:
     """The best scanned items (plan_id, doc_id, score, key) of each query (plan_id, ord, phrases) by words of phrases found, share found and score.
 
-    key is the folded text. Score becomes at least .70 and a twentieth of that sum, .97 at most.
+    key is the folded text. Score becomes at least .70 and a twentieth of that sum, .97 at most. Items without a column plan_id meet the queries of all plans:
+    those that share a phrase, a pair or triple of words as detail_phrases gives them.
     """
-    met = scanned.join(queries, "plan_id").withColumn("found", F.filter("phrases", lambda p: F.contains(F.concat(F.lit(" "), "key", F.lit(" ")), F.concat(F.lit(" "), p, F.lit(" ")))))
-    words = F.aggregate(F.transform("found", lambda p: F.size(F.split(p, " "))), F.lit(0), lambda s, n: s + n)
-    lexical = words + F.size("found") / F.greatest(F.size("phrases"), F.lit(1)) + 0.05 * F.col("score")
-    met = met.where(F.size("found") > 0).withColumn("lexical", F.round(lexical, 9))
+    if "plan_id" in scanned.columns:
+        met = scanned.join(queries, "plan_id").withColumn("found", F.filter("phrases", lambda p: F.contains(F.concat(F.lit(" "), "key", F.lit(" ")), F.concat(F.lit(" "), p, F.lit(" ")))))
+        words = F.aggregate(F.transform("found", lambda p: F.size(F.split(p, " "))), F.lit(0), lambda s, n: s + n)
+        lexical = words + F.size("found") / F.greatest(F.size("phrases"), F.lit(1)) + 0.05 * F.col("score")
+        met = met.where(F.size("found") > 0).withColumn("lexical", F.round(lexical, 9))
+    else:
+        tokens = F.split("key", " ")
+        every = F.array_distinct(F.concat(grams(tokens, 2), grams(tokens, 3)))
+        asked = queries.select("plan_id", "ord", F.size("phrases").alias("n"), F.explode("phrases").alias("phrase"))
+        shared = scanned.select("doc_id", "score", F.explode(every).alias("phrase")).join(asked, "phrase")
+        lexical = F.sum(F.size(F.split("phrase", " "))) + F.count(F.lit(1)) / F.greatest(F.col("n"), F.lit(1)) + 0.05 * F.col("score")
+        met = shared.groupBy("plan_id", "ord", "n", "doc_id", "score").agg(F.round(lexical, 9).alias("lexical"))
     order = Window.partitionBy("plan_id", "ord").orderBy(F.desc("lexical"), "doc_id")
     best = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_query)
     score = F.greatest("score", F.least(F.lit(0.97), 0.70 + F.col("lexical") / 20))

@@ -45,8 +45,8 @@ _CONTROL = "[" + ", ".join(f"'{w}'" for w in E.CONTROL_WORDS) + "]"
     SELECT CAST(item_id AS INTEGER) AS ord, doc_id, round(greatest(0.5, least(0.97, 0.70 + lexical / 20)), 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 4""",
 )
 def detail_hits(spark, d):
-    asked = table(spark, d, "benchmark").select((F.col("item_id") % 4).alias("plan_id"), F.col("item_id").cast("int").alias("ord"), E.detail_phrases(F.substring("text", 1, 60), F.lit("")).alias("phrases"))
-    scanned = table(spark, d, "documents").select((F.col("doc_id") % 4).alias("plan_id"), "doc_id", F.lit(0.5).alias("score"), X.fold_key(F.col("text")).alias("key"))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("plan_id"), F.col("item_id").cast("int").alias("ord"), E.detail_phrases(F.col("text"), F.lit("")).alias("phrases"))
+    scanned = table(spark, d, "documents").select("doc_id", F.lit(0.5).alias("score"), X.fold_key(F.col("text")).alias("key"))
     return E.detail_hits(scanned, asked).drop("plan_id")
 
 

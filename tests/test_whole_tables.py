@@ -98,3 +98,22 @@ def test_entity_channel_of_all_parts(spark, folder):
             want[brand, p] = n + 1
     got = QUERIES["entity_channel"](spark, folder(part=("p_partkey long, p_name string, p_brand string", parts))).collect()
     assert {(r.query_id, r.doc_id): r["rank"] for r in got} == want
+
+
+def test_detail_hits_of_whole_passages_in_all_documents(spark, folder):
+    words = [f"{a}{b}" for a in ("amber", "kettle", "window", "story") for b in "abcdef"]
+    passages = [(i, " ".join(words[(i * 5 + j * 7) % 24] for j in range(20))) for i in range(6)]
+    docs = [(d, " ".join(words[(d * 3 + j * (7 if d % 2 else 5)) % 24] for j in range(1 + d))) for d in range(14)]
+    docs += [(20 + i, f"x {t[-40:]}") for i, t in passages]  # the end of a passage only, under any remainder
+    runs = lambda t: {" ".join(w[j : j + n]) for w in [t.split()] for n in (2, 3) for j in range(len(w) - n + 1)}
+    want = {}
+    for i, text in passages:
+        phrases, found = runs(text), {}
+        for d, t in docs:
+            own = phrases & runs(t)
+            if own:
+                found[d] = round(sum(len(p.split()) for p in own) + len(own) / len(phrases) + 0.025, 9)
+        for n, d in enumerate(sorted(found, key=lambda d: (-found[d], d))[:4]):
+            want[i, d] = (round(max(0.5, min(0.97, 0.70 + found[d] / 20)), 6), n + 1)
+    got = QUERIES["detail_hits"](spark, folder(benchmark=(BENCHMARK, passages), documents=("doc_id long, text string", docs))).collect()
+    assert {(r.ord, r.doc_id): (r.score, r["rank"]) for r in got} == want
