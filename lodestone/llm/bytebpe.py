@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from lodestone.llm.pieces import CHUNK, LONG, PieceTable, byte_classes, chunks, cut_spaced, flat_bytes, hashes, odd_texts
+from lodestone.llm.pieces import CHUNK, LONG, PieceTable, byte_classes, chunks, cut_spaced, flat_bytes, odd_texts
 
 #: Id after the last token of every document.
 END_ID = 2
@@ -67,14 +67,14 @@ class ByteBpe:
         if odd.any():  # an odd text is one piece here, replaced below
             held = ~odd[owner]
             start, end, owner = start[held], end[held], owner[held]
-        at, n = self.table.lookup(hashes(data, start, end), lambda k: whole[start[k] : end[k]])
+        at, n = self.table.lookup(data, start, end)
         extra_at, extra_n = np.full(m, -1, np.int64), np.ones(m, np.int64)
         tail_at, _ = self.table._add([END_ID])
         extra_at[:] = tail_at
         for k in np.flatnonzero(odd):
             extra_at[k], extra_n[k] = self.table._add(np.append(self.one(whole[offsets[k] : offsets[k + 1]]), END_ID))
         where = np.searchsorted(owner, np.arange(m), "right")
-        ids = self.table.gather(np.insert(at, where, extra_at), np.insert(n.astype(np.int64), where, extra_n))
+        ids = self.table.gather(np.insert(at, where, extra_at), np.insert(n, where, extra_n))
         counts = np.bincount(owner, weights=n, minlength=m).astype(np.int64) + extra_n
         return np.concatenate([[0], np.cumsum(counts)]), ids
 

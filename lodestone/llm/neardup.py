@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import mapped, settled, stored
 from lodestone.llm.graphs import components, forest
-from lodestone.llm.pieces import chunks, flat_bytes
-from lodestone.llm.repeats import _digests, _mixed, _sums
+from lodestone.llm.pieces import chunks, flat_bytes, word_hashes
+from lodestone.llm.repeats import _mixed
 
 ROWS, BANDS = 5, 36
 REGISTERS = ROWS * BANDS
@@ -34,6 +34,8 @@ COLLISION = (1 / 3) / (1 << MANTISSA)
 SLACK = 5
 #: Nodes of a block when a bucket is searched whole.
 BLOCK = 1024
+#: Bytes of texts whose sets of words a worker holds at once.
+AT_ONCE = 1 << 20
 
 _RNG = np.random.default_rng(7)
 _A, _B = (_RNG.integers(1, 2**32, REGISTERS, dtype=np.uint32) | np.uint32(1) for _ in range(2))
@@ -50,7 +52,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     start = word & (edge[:-1] | ~np.append(False, word[:-1]))
     stop = word & (edge[1:] | ~np.append(word[1:], False))
     a, b = np.flatnonzero(start), np.flatnonzero(stop) + 1
-    words = _digests(_sums(data, 0), a, b) if len(a) else np.zeros(0, np.uint64)
+    words = word_hashes(data, a, b) if len(a) else np.zeros(0, np.uint64)
     bounds = np.searchsorted(a, offsets)
     grams = np.zeros(0, np.uint64)
     if len(words) >= k:
@@ -170,30 +172,36 @@ def _alike(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
     return 100 * shared >= threshold * (len(a) + len(b) - shared)
 
 
+def word_sets(text: bytes, k: int) -> set[tuple[bytes, ...]]:
+    """The distinct shingles of a text as words themselves; with fewer than k words all of them as one."""
+    words = text.lower().split()  # of bytes: A-Z alone are lowered, and the six signs of ASCII white space part words
+    return set(zip(*(words[i:] for i in range(k)))) if len(words) >= k else {tuple(words)} if words else set()
+
+
+def truly_alike(a: set, b: set, threshold: int) -> bool:
+    shared = len(a & b)
+    return 100 * shared >= threshold * (len(a) + len(b) - shared)
+
+
 def _confirmer(k: int, threshold: int):
-    """Pairs (u, v, text of u, text of v) whose full sets are alike enough."""
+    """Pairs (u, v, text of u, text of v) whose full sets, compared word by word, are alike enough."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            found = []
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                u, v = part.column(0).to_pylist(), part.column(1).to_pylist()
-                where: dict[int, tuple[int, int]] = {}
-                for c, nodes in enumerate((u, v)):
-                    for r, node in enumerate(nodes):
-                        where.setdefault(node, (c, r))
-                sets = {}
-                for c in (0, 1):
-                    own = [(node, r) for node, (cc, r) in where.items() if cc == c]
-                    if own:
-                        flat, at = shingle_sets(*flat_bytes(part.column(2 + c).take(pa.array([r for _, r in own]))), k)
-                        sets |= {node: flat[at[t] : at[t + 1]] for t, (node, _) in enumerate(own)}
-                for x, y in zip(u, v):
-                    if _alike(sets[x], sets[y], threshold):
-                        found.append((x, y))
+            found, sets, held = [], {}, 0
+            texts = batch.column(2), batch.column(3)
+            for r, pair in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if held > AT_ONCE:
+                    sets, held = {}, 0
+                for node, text in zip(pair, texts):
+                    if node not in sets:
+                        raw = text[r].as_buffer().to_pybytes()
+                        sets[node] = word_sets(raw, k)
+                        held += len(raw)
+                if truly_alike(sets[pair[0]], sets[pair[1]], threshold):
+                    found.append(pair)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["u", "v"])
 
@@ -231,7 +239,7 @@ def _searcher(k: int, threshold: int, floor: float):
             here = keys[t][first] == key
             others, est = others[here], est[here]
             for r in others[np.argsort(-est, kind="stable")].tolist():
-                if comp[r] != comp[t] and _alike(of(r), of(t), threshold):
+                if comp[r] != comp[t] and _alike(of(r), of(t), threshold) and truly_alike(word_sets(rows[r][8].encode(), k), word_sets(rows[t][8].encode(), k), threshold):
                     yield min(int(node[r]), int(node[t])), max(int(node[r]), int(node[t]))
                     comp[comp == comp[r]] = comp[t]
 

@@ -2,12 +2,14 @@
 
 Both tokenizers cut a text by a regular expression over letters, digits, white space and the rest. For texts of ASCII
 and Latin letters the cuts follow from the class of each byte, its neighbours and the apostrophe rule; texts with
-anything else take the tokenizer library. Pieces are looked up by a 64-bit polynomial hash in a bounded table that a
+anything else take the tokenizer library. Pieces are looked up, and compared, in a bounded table that a
 Python worker keeps between batches; pieces not in it are encoded one by one.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 SPACE, LETTER, DIGIT, OTHER, ODD = range(5)
@@ -21,8 +23,6 @@ _CLASS[65:91] = _CLASS[97:123] = LETTER
 _CLASS[0xC3:0xCA] = LETTER  # leads of U+00C0 to U+024F, letters but for two signs
 _CLASS[0x80:0xC0] = LETTER  # continuation bytes
 
-_RNG = np.random.default_rng(20_240_229)
-_OF_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = []
@@ -133,41 +133,65 @@ def cut_words(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> tup
     return at[held], end[held]
 
 
-def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the pieces data[start:end]; pieces are in order and don't overlap."""
-    up, down = _powers_to(len(data) + 1)
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_OF_BYTE[data] * up[: len(data)], out=sums[1:])
-    found = (sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)
-    found ^= found >> np.uint64(29)
-    found *= np.uint64(0xBF58476D1CE4E5B9)
-    found ^= found >> np.uint64(32)
-    return found | np.uint64(1)  # 0 marks an empty slot
+def _shuffled(x: np.ndarray) -> np.ndarray:
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+#: Masks of the first 0 to 8 bytes of a little-endian word.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def two_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first eight and the next eight bytes of each data[start:end] as numbers, zeros beyond its end."""
+    padded = np.append(data, np.zeros(16, np.uint8))
+    at = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+    size = end - start
+    return at[start] & _FIRST[np.minimum(size, 8)], at[start + 8 * (size > 8)] & _FIRST[np.clip(size - 8, 0, 8)]
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words: of up to 16 bytes by a mixing function, of longer ones by BLAKE2, so that no rule of their letters makes two of them equal."""
+    a, b = two_words(data, start, end)
+    found = _shuffled(_shuffled(a * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)) + b * np.uint64(0xD6E8FEB86659FD93) + (end - start).astype(np.uint64))
+    long = np.flatnonzero(end - start > 16)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        found[long] = [int.from_bytes(hashlib.blake2b(raw[i:j], digest_size=8).digest(), "little") for i, j in zip(start[long].tolist(), end[long].tolist())]
+    return found
 
 
 class PieceTable:
-    """Hash of a piece -> its ids, in at most `room` pieces; beyond that, pieces are encoded each time."""
+    """Ids of pieces. A piece of up to 16 bytes is compared whole, as two numbers and its length; longer ones are keys of a dictionary.
+
+    At most `room` pieces of either kind are held; beyond that, pieces are encoded each time.
+    """
 
     PROBES = 6
 
-    def __init__(self, encode, dtype, bits: int = 21):
+    def __init__(self, encode, dtype, bits: int = 20):
         self.encode, self.mask = encode, np.uint64((1 << bits) - 1)
         self.room, self.held = int(0.6 * (1 << bits)), 0
-        self.key = np.zeros(1 << bits, np.uint64)
-        self.at = np.zeros(1 << bits, np.int64)
+        self.first, self.second = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
+        self.size = np.zeros(1 << bits, np.uint8)  # 0: an empty slot
+        self.at = np.zeros(1 << bits, np.int32)
         self.n = np.zeros(1 << bits, np.int32)
+        self.long: dict[bytes, tuple[int, int]] = {}
         self.pool, self.used = np.zeros(1 << 20, dtype), 0
 
-    def _find(self, want: np.ndarray) -> np.ndarray:
-        slot = np.full(len(want), -1, np.int64)
-        left = np.arange(len(want))
+    def _find(self, a: np.ndarray, b: np.ndarray, size: np.ndarray, home: np.ndarray) -> np.ndarray:
+        slot = np.full(len(a), -1, np.int64)
+        left = np.arange(len(a))
         for probe in range(self.PROBES):
-            at = ((want[left] >> np.uint64(8)) + np.uint64(probe)) & self.mask
-            key = self.key[at]
-            hit = key == want[left]
+            at = ((home[left] + np.uint64(probe)) & self.mask).astype(np.int64)
+            here = self.size[at]
+            hit = (here == size[left]) & (self.first[at] == a[left]) & (self.second[at] == b[left])
             slot[left[hit]] = at[hit]
-            left = left[~hit & (key != 0)]
+            left = left[~hit & (here != 0)]
             if not len(left):
                 break
         return slot
@@ -180,28 +204,54 @@ class PieceTable:
         self.used += n
         return self.used - n, n
 
-    def lookup(self, want: np.ndarray, piece) -> tuple[np.ndarray, np.ndarray]:
-        """Place in the pool and count of ids of each piece; piece(i) is the bytes of the i-th."""
-        if self.used > 1 << 25:  # what isn't in the table is dropped from the pool by starting anew
-            self.key[:] = 0
+    def lookup(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place in the pool and count of ids of each piece data[start:end]; no piece is empty."""
+        if self.used > 1 << 24:  # what isn't in the table is dropped from the pool by starting anew
+            self.size[:] = 0
+            self.long.clear()
             self.held = self.used = 0
-        slot = self._find(want)
-        at, n = self.at[slot], self.n[slot]
-        missing = np.flatnonzero(slot < 0)
-        if len(missing):
-            fresh, first, back = np.unique(want[missing], return_index=True, return_inverse=True)
-            spots = [self._add(self.encode(piece(i))) for i in missing[first].tolist()]
-            spot = np.array(spots, np.int64).reshape(-1, 2)
-            at[missing], n[missing] = spot[back, 0], spot[back, 1]
-            if self.held < self.room:
-                mask = int(self.mask)
-                for h, (a, k) in zip(fresh.tolist(), spots):
-                    for probe in range(self.PROBES):
-                        s = ((h >> 8) + probe) & mask
-                        if not self.key[s]:
-                            self.key[s], self.at[s], self.n[s] = h, a, k
-                            self.held += 1
-                            break
+        raw = memoryview(np.ascontiguousarray(data))
+        at, n = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+        short = end - start <= 16
+        for k in np.flatnonzero(~short).tolist():
+            piece = bytes(raw[start[k] : end[k]])
+            spot = self.long.get(piece)
+            if spot is None:
+                spot = self._add(self.encode(piece))
+                if len(piece) <= 4096 and len(self.long) < self.room // 8:
+                    self.long[piece] = spot
+            at[k], n[k] = spot
+        which = np.flatnonzero(short)
+        if len(which):
+            s, e = start[which], end[which]
+            a, b = two_words(data, s, e)
+            size = (e - s).astype(np.uint8)
+            home = _shuffled(a * np.uint64(0x9E3779B97F4A7C15) + _shuffled(b + size))
+            slot = self._find(a, b, size, home)
+            missing = np.flatnonzero(slot < 0)
+            if len(missing):
+                own = np.empty(len(missing), [("a", np.uint64), ("b", np.uint64), ("size", np.uint8)])
+                own["a"], own["b"], own["size"] = a[missing], b[missing], size[missing]
+                order = np.lexsort((own["size"], own["b"], own["a"]))
+                new = np.append(True, own[order][1:] != own[order][:-1])
+                number = np.empty(len(missing), np.int64)
+                number[order] = np.cumsum(new) - 1
+                spots = []
+                for k in missing[order[new]].tolist():
+                    spot = self._add(self.encode(bytes(raw[s[k] : e[k]])))
+                    spots.append(spot)
+                    if self.held < self.room:
+                        for probe in range(self.PROBES):
+                            free = (int(home[k]) + probe) & int(self.mask)
+                            if not self.size[free]:
+                                self.first[free], self.second[free], self.size[free] = a[k], b[k], size[k]
+                                self.at[free], self.n[free] = spot
+                                self.held += 1
+                                break
+                spot = np.array(spots, np.int64).reshape(-1, 2)[number]
+                at[which[missing]], n[which[missing]] = spot[:, 0], spot[:, 1]
+            known = np.flatnonzero(slot >= 0)
+            at[which[known]], n[which[known]] = self.at[slot[known]], self.n[slot[known]]
         return at, n
 
     def gather(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:

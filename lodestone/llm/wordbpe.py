@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.bytebpe import byte_signs
 from lodestone.llm.common import mapped
-from lodestone.llm.pieces import LONG, PieceTable, byte_classes, chunks, cut_words, flat_bytes, hashes, odd_texts
+from lodestone.llm.pieces import LONG, PieceTable, byte_classes, chunks, cut_words, flat_bytes, odd_texts
 
 CHUNK = 1 << 20
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -156,9 +156,7 @@ class WordBpe:
         if odd.any():
             held = ~odd[owner]
             start, end, owner = start[held], end[held], owner[held]
-        whole = lowered.tobytes()
-        at, n = self.table.lookup(hashes(lowered, start, end), lambda k: whole[start[k] : end[k]])
-        n = n.astype(np.int64)
+        at, n = self.table.lookup(lowered, start, end)
         counts = np.bincount(owner, weights=n, minlength=m).astype(np.int64)
         if odd.any():
             raw = data.tobytes()
