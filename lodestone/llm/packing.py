@@ -1,9 +1,9 @@
 """Hierarchical best-fit packing of tokenized documents into sequences.
 
 A document longer than a sequence is cut so that all its pieces but the first are whole sequences. The other pieces are
-packed best-fit, largest first, within each partition; nearly full bins are final, and the rest go up a tree in which
-FAN groups meet in one task as items of their fill, until one group is left. Only bins with room for something go on, and
-a task hands at most CARRY of them up (those with most room; the others are final), so no task grows with the input.
+packed best-fit, largest first, within each partition; nearly full bins are final, and all others go up a tree as items of
+their fill: neighbouring groups meet in as many tasks as rows_per_part items each take, until one group is left or bins don't get
+fewer any more, as where no two of them fit together. So no task grows with the input and no bin is left out.
 """
 
 from __future__ import annotations
@@ -19,12 +19,10 @@ from lodestone.llm.common import mapped, settled
 CAPACITY = 1024
 #: Bins with at most so many free places are final.
 NEARLY = 4
-FAN = 8
-CARRY = 4096
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _cutter(vocabulary: str, capacity: int):
+def _cutter(vocabulary: str, capacity: int, with_ids: bool):
     def run(batches):
         import pyarrow as pa
 
@@ -40,19 +38,20 @@ def _cutter(vocabulary: str, capacity: int):
                     end, piece = a + ((b - a) % capacity or capacity), 0
                     at = a
                     while at < b:
-                        out.append((docs[i + k], piece, at - a, end - at, zlib.crc32(wide[at:end].tobytes())))
+                        own = wide[at:end]
+                        out.append((docs[i + k], piece, at - a, end - at, zlib.crc32(own.tobytes()), *([own] if with_ids else [])))
                         at, end, piece = end, end + capacity, piece + 1
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids]
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=names)
 
     return run
 
 
-def cut(df: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of at most `capacity` ids of every text (null: empty), the end id included."""
-    rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return mapped(rows, _cutter(vocabulary, capacity), PIECE_SCHEMA)
+def cut(df: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Pieces of at most `capacity` ids of every text (null: empty), the end id included; with_ids adds the ids themselves."""
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return mapped(rows, _cutter(vocabulary, capacity, with_ids), PIECE_SCHEMA + ", ids array<int>" * with_ids)
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -80,8 +79,8 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
 BIN_SCHEMA = "final boolean, part int, fill int, items array<struct<a: long, b: int>>"
 
 
-def _packer(capacity: int, width: int, last: bool):
-    """Rows (part, fill, items): one task holds whole groups of `width` parts; its bins come out with the group's number."""
+def _packer(capacity: int, last: bool):
+    """Rows (part, fill, items): one task holds whole parts; their bins come out."""
 
     def run(batches):
         import pyarrow as pa
@@ -89,7 +88,7 @@ def _packer(capacity: int, width: int, last: bool):
         groups: dict[int, tuple[list, list]] = {}
         for batch in batches:
             for part, fill, items in zip(batch.column("part").to_pylist(), batch.column("fill").to_pylist(), batch.column("items").to_pylist()):
-                sizes, held = groups.setdefault(part // width, ([], []))
+                sizes, held = groups.setdefault(part, ([], []))
                 sizes.append(fill)
                 held.append(items)
         item = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int32())]))
@@ -98,9 +97,6 @@ def _packer(capacity: int, width: int, last: bool):
             bins = best_fit(sizes, capacity)
             fills = np.array([int(sizes[b].sum()) for b in bins])
             final = (fills >= capacity - NEARLY) | last
-            open_ = np.flatnonzero(~final)
-            if len(open_) > CARRY:
-                final[open_[np.argsort(fills[open_], kind="stable")[CARRY:]]] = True
             for i in range(0, len(bins), 4096):
                 chosen = range(i, min(i + 4096, len(bins)))
                 yield pa.RecordBatch.from_arrays(
@@ -112,7 +108,7 @@ def _packer(capacity: int, width: int, last: bool):
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_part: int = 8192) -> DataFrame:
-    """sequence_id and offset for each piece (doc_id, piece, start, length, ids_crc32), which are kept as they are.
+    """sequence_id and offset for each piece (doc_id, piece, start, length, ...), whose columns are kept as they are.
 
     Whole pieces are sequences of their own. The others are numbered within the partitions of the settled pieces; equal ids, repeated
     rows and nulls are told apart by that number, so every row has its place. No rows in, no rows out.
@@ -121,17 +117,22 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_part: int = 8192)
     full = marked.where(F.col("length") == capacity).select("*", (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     short = marked.where(F.col("length") < capacity)
     parts = max(1, -(-short.count() // rows_per_part))
-    todo = short.select(F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int").alias("part"), F.col("length").cast("int").alias("fill"), F.array(F.struct(F.col("row").alias("a"), F.col("length").cast("int").alias("b"))).alias("items"))
-    done, width = [], 1
+    size = F.col("length").cast("int")
+    todo = short.select(F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int").alias("part"), size.alias("fill"), F.array(F.struct(F.col("row").alias("a"), size.alias("b"))).alias("items"))
+    done = []
     while True:
-        groups = -(-parts // width)
-        last = groups == 1
-        spread = todo.repartition(groups, F.floor(F.col("part") / width))
-        level = settled(mapped(spread, _packer(capacity, width, last), BIN_SCHEMA))
+        level = settled(mapped(todo.repartitionById(parts, F.col("part")), _packer(capacity, parts == 1), BIN_SCHEMA))
         done.append(level.where("final"))
-        if last:
+        open_ = level.where("NOT final")
+        left = open_.count() if parts > 1 else 0
+        if not left:
             break
-        todo, parts, width = level.where("NOT final").select("part", "fill", "items"), groups, FAN
+        fewer = -(-left // rows_per_part)
+        if fewer >= parts:  # the same bins would meet again
+            done.append(open_)
+            break
+        todo = open_.select(F.floor(F.col("part") * fewer / parts).cast("int").alias("part"), "fill", "items")
+        parts = fewer
     bins = done[0]
     for more in done[1:]:
         bins = bins.unionByName(more)
@@ -144,3 +145,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_part: int = 8192)
 
 def packed(df: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
     return pack(cut(df, vocabulary, capacity), capacity)
+
+
+def token_sequences(df: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
+    """The sequences themselves, of at most `capacity` ids each: sequence_id, ids and the documents (doc_id, piece) in their order."""
+    pieces = pack(cut(df, vocabulary, capacity, with_ids=True), capacity)
+    own = F.sort_array(F.collect_list(F.struct("offset", "doc_id", "piece", "ids")))
+    rows = pieces.groupBy("sequence_id").agg(own.alias("own"))
+    return rows.select("sequence_id", F.flatten(F.transform("own", lambda x: x["ids"])).alias("ids"), F.transform("own", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["piece"].alias("piece"))).alias("documents"))
