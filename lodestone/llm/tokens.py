@@ -59,13 +59,14 @@ def _encoder(vocabulary: str):
 def write_tokens(df: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of every text (null: empty), each followed by the end id, in ascending doc_id order.
 
-    Null ids come first; rows that share an id are ordered by text. Other columns play no part. An empty input gives
+    Null ids come first; rows that share an id are ordered by a hash of the text, then by text, so that they needn't meet in one task. Other columns play no part. An empty input gives
     an empty table.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange(parts, "doc_id", "th").sortWithinPartitions("doc_id", "th", "text").select("doc_id", "text")
     mapped(ordered, _encoder(vocabulary), FILE_SCHEMA).write.parquet(path)
 
 
