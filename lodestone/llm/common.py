@@ -18,9 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. A session without one gets a folder of its own, as in tests."""
+    """The folder in spark.checkpoint.dir. A session on one machine without such a setting, as in tests, gets a folder of its own; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="lodestone-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -63,9 +66,15 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+#: Bytes of rows that go to a Python worker at once, so that its memory doesn't follow from the length of texts.
+BATCH_BYTES = 8 << 20
+
+
 def mapped(df: DataFrame, f, schema) -> DataFrame:
-    """mapInArrow with this package at hand."""
-    ship(df.sparkSession)
+    """mapInArrow with this package at hand, over batches of at most about BATCH_BYTES."""
+    spark = df.sparkSession
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(f, schema)
 
 
