@@ -84,6 +84,17 @@ def test_near_groups_searches_mixed_buckets(spark):
     assert got == brute_near(rows, 2)
 
 
+def test_twin_words_are_not_taken_for_one(spark):
+    from tests.llm.test_tokens import twins
+
+    a, b = twins()
+    rows = [(1, f"{a} {a} {b}", "", "", 0), (2, f"{b} {b} {a}", "", "", 0), (3, f"{a} {b}", "", "", 0), (4, f"{b} {a}", "", "", 0)]
+    got = sorted([(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_groups(frame(spark, rows), 2).collect()], key=str)
+    assert got == brute_near(rows, 2)
+    repeated = [(i, w + "x" * i, "", "", 0) for i, w in enumerate((a, b))]
+    assert sorted(map(tuple, repeats.report(frame(spark, repeated)).collect()), key=str) == brute_repeats(repeated)
+
+
 def test_near_groups_on_no_rows(spark):
     assert neardup.near_groups(frame(spark, [])).collect() == []
 
@@ -146,6 +157,32 @@ def test_repeated_substrings_with_many_kinds(spark):
     assert got == brute_repeats(rows)
 
 
+def test_texts_of_few_letters(spark):
+    """Strings that come again at the next byte or a few further, whole and within other text."""
+    rows = [(0, "x" * 4000, "", "", 0), (1, "ab" * 1500, "", "", 0), (2, "q" + "abc" * 70 + "z", "", "", 0), (3, "hello" + "x" * 500 + "bye" + "x" * 210, "", "", 0), (4, "".join("abc"[i * i % 3] for i in range(3000)), "", "", 0), (5, "abc" * 66, "", "", 0)]
+    assert sorted(map(tuple, repeats.report(frame(spark, rows)).collect()), key=str) == brute_repeats(rows)
+
+
+def test_repeats_in_long_texts(spark):
+    rng = np.random.default_rng(12)
+    run = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passage = run(900)
+    long = run(1_048_400) + passage + run(1_400_000) + passage + run(50)  # the passage lies across the edge of a part
+    rows = [(0, long, "", "", 0), (1, "x" * 1_000_000, "", "", 0), (2, run(300), "", "", 0)]
+    got = {r.doc_id: r for r in repeats.report(frame(spark, rows)).collect()}
+    assert (got[0].n_bytes, got[0].n_removed, got[0].n_spans) == (len(long), 1800, 2)
+    assert got[0].kept_sha256 == hashlib.sha256(long.replace(passage, "").encode()).hexdigest()
+    assert (got[1].n_removed, got[1].n_spans) == (1_000_000, 1) and got[2].n_removed == 0
+
+
+def test_removal_with_clashing_columns(spark):
+    rows = [(r[0], r[1], 7, "x", "t", 1) for r in cases.passage_rows()]
+    names = "doc_id long, text string, n_chars int, spans string, th string, piece int"
+    got = repeats.without_repeats(spark.createDataFrame(rows, names))
+    assert dict(got.dtypes)["n_chars"] == "int" and got.columns == ["doc_id", "text", "n_chars", "spans", "th", "piece"]
+    assert all(r.n_chars == len(r.text) and (r.spans, r.th, r.piece) == ("x", "t", 1) for r in got.collect())
+
+
 def test_removal_keeps_letters_whole(spark):
     rows = cases.passage_rows()
     got = {r.doc_id: r for r in repeats.without_repeats(spark.createDataFrame(rows, cases.SCHEMA)).collect()}

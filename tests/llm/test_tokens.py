@@ -61,12 +61,27 @@ def test_token_files(spark):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def twins(n=2048):
+    """Two words without a letter in common at any place that every polynomial hash modulo a power of two takes for one."""
+    return ["".join(pair[bin(i).count("1") % 2] for i in range(n)) for pair in ("ab", "ba")]
+
+
+def test_token_files_of_repeated_ids_and_twin_words(spark):
+    rows = cases.odd_rows() + [(7000 + i, t, "", "", 0) for i, t in enumerate(twins())] + [(None, f"no id {i}", "", "", 0) for i in range(30)]
+    ids = byte_ids(rows)
+    got = sorted(tokens.round_trip(frame(spark, rows), BYTE).collect(), key=lambda r: r.start)
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == Counter((r[0], len(x), zlib.crc32(u32(x))) for r, x in zip(rows, ids))
+    assert [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got])[:-1].tolist()
+    order = [-1 if r.doc_id is None else r.doc_id for r in got]
+    assert order == sorted(order)
+
+
 def test_token_files_of_no_rows(spark):
     assert tokens.round_trip(frame(spark, []), BYTE).collect() == []
 
 
 def test_word_bpe(spark):
-    rows = cases.odd_rows() + [(100 + i, t, "", "", 0) for i, t in enumerate(["Hello World's", "ÉCOLE İx Σας", "antidisestablishmentarianism" * 5, "<|endoftext|>"])]
+    rows = cases.odd_rows() + [(100 + i, t, "", "", 0) for i, t in enumerate(["Hello World's", "ÉCOLE İx Σας", "antidisestablishmentarianism" * 5, "<|endoftext|>", *twins(), "y" * 70_000])]
     t = library(WORD)
     want = []
     for r in rows:
@@ -85,8 +100,55 @@ def test_backtracking_equals_merging():
         assert own.one(text) == t.encode(text, add_special_tokens=False).ids
 
 
+def test_pieces_of_every_length_are_compared_whole():
+    import pyarrow as pa
+
+    from lodestone.llm.bytebpe import ByteBpe
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join("".join(rng.choice(list("abé7-")) for _ in range(rng.choice([1, 7, 8, 9, 15, 16, 17, 18, 40]))) for _ in range(60)) for _ in range(60)] + twins()
+    for bpe, t, tail in ((ByteBpe(BYTE), library(BYTE), [2]), (wordbpe.WordBpe(WORD), library(WORD), [])):
+        for _ in range(2):  # the second time out of the table
+            got = [ids[a:b].tolist() for _, at, ids in bpe.encode(pa.array(texts)) for a, b in zip(at[:-1], at[1:])]
+            assert got == [x.ids + tail for x in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_texts_beyond_the_limit_of_whole_arrays(monkeypatch):
+    import pyarrow as pa
+
+    from lodestone.llm import bytebpe
+
+    text = "some plain words, 12 of them; " * 300
+    want = {t: library(t).encode(text, add_special_tokens=False).ids for t in (BYTE, WORD)}
+    for limit in (1 << 20, 100):
+        monkeypatch.setattr(bytebpe, "LONG", limit)
+        monkeypatch.setattr(wordbpe, "LONG", limit)
+        for bpe, path, tail in ((bytebpe.ByteBpe(BYTE), BYTE, [2]), (wordbpe.WordBpe(WORD), WORD, [])):
+            assert next(iter(bpe.encode(pa.array([text]))))[2].tolist() == want[path] + tail
+
+
+def test_sequences_hold_the_ids_of_their_documents(spark):
+    rows = cases.near_rows() + [r for r in cases.odd_rows() if r[0] != 3 and r[0] is not None and r[0] > 39]
+    rows = list({r[0]: r for r in rows}.values())
+    ids = dict(zip([r[0] for r in rows], byte_ids(rows)))
+    got = packing.token_sequences(frame(spark, rows), BYTE).collect()
+    for r in got:
+        own = []
+        for d in r.documents:
+            first = len(ids[d.doc_id]) % 1024 or 1024
+            own += ids[d.doc_id][:first] if d.piece == 0 else ids[d.doc_id][first + 1024 * (d.piece - 1) : first + 1024 * d.piece]
+        assert r.ids == own and len(own) <= 1024
+    assert sum(len(r.ids) for r in got) == sum(map(len, ids.values()))
+
+
+def test_bins_that_never_fit_together_end_the_tree(spark):
+    pieces = [(i, 0, 0, 600, 0) for i in range(500)]
+    got = packing.pack(spark.createDataFrame(pieces, packing.PIECE_SCHEMA), rows_per_part=20).collect()
+    assert len(got) == 500 == len({r.sequence_id for r in got}) and {r.offset for r in got} == {0}
+
+
 def test_packing(spark):
-    rows = cases.odd_rows() + cases.near_rows()
+    rows = cases.odd_rows() + cases.near_rows() + [(7000 + i, t, "", "", 0) for i, t in enumerate(twins())]
     got = packing.packed(frame(spark, rows), BYTE).collect()
     ids = byte_ids(rows)
     want = Counter()
