@@ -1,8 +1,8 @@
 """Substrings that occur at two places of a corpus, found by suffix sorting in parts.
 
-Every string of LENGTH bytes has an anchor: the leftmost of its ANCHOR-byte strings with the least hash. Neighbouring
+Every string of LENGTH bytes has an anchor: the least hash of its ANCHOR-byte strings. Neighbouring
 strings with the same anchor form a stretch; equal strings have equal anchors, so a string occurs twice only within
-stretches that share an anchor. Stretches equal as a whole are repeats throughout. Where stretches share an anchor and
+stretches that share an anchor, or in one in which the anchor comes again. Stretches equal as a whole, by a 128-bit BLAKE2 digest of their bytes, are repeats throughout. Where stretches share an anchor and
 differ, one of each kind is suffix-sorted with the others (bwt.py) in collections of whole anchors of about BATCH bytes. The
 kinds of an anchor with more than MANY of them are parted by longer anchors, up to the whole string, where kinds can't differ any more.
 
@@ -33,9 +33,7 @@ HOT_COUNTERS, HOT_NAMED = 4096, 256
 
 _TABLES = [np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)]
 _POSITION = np.uint64((1 << 24) - 1)
-#: Strings that are handled in one go where a text is very long.
-SEGMENT = 8 << 20
-#: Bytes of texts that a worker hashes at once, and rows that it turns into Python objects at once.
+#: Bytes of texts that a worker hashes at once (longer texts are taken in parts), and rows that it turns into Python objects at once.
 PART, ROWS_AT_ONCE = 1 << 20, 512
 
 
@@ -71,28 +69,52 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
+def _cuts(first: np.ndarray, last: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs first to last of strings with one least hash, cut where the anchor that a part began with lies before a string.
+
+    Only where an anchor comes again within a string's length is there anything to cut, as in texts that repeat a few letters over and over.
+    """
+    long = np.flatnonzero(right[first] < last)
+    if not len(long):
+        return first, last
+    starts, ends = [np.delete(first, long)], [np.delete(last, long)]
+    for a, b in zip(first[long].tolist(), last[long].tolist()):
+        at = [a]
+        while right[at[-1]] < b:
+            at.append(int(right[at[-1]]) + 1)
+        starts.append(np.array(at))
+        ends.append(np.append(np.array(at[1:], np.int64) - 1, b))
+    start = np.concatenate(starts)
+    order = np.argsort(start, kind="stable")
+    return start[order], np.concatenate(ends)[order]
+
+
 def _stretches(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int):
-    """(text, start in the text, strings, anchor hash, stretch hash) of texts in one flat array."""
+    """(text, start in the text, strings, anchor hash, two halves of the stretch's digest, whether its anchor comes again in it) of texts in one flat array."""
     n = len(data)
     if n < length:
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none
+        return none, none, none, none, none, none, none.astype(bool)
     sums = _sums(data, 0)
     at = np.arange(n - anchor + 1)
     hashes = _digests(sums, at, at + anchor)
-    least = _least((hashes & ~_POSITION) | at.astype(np.uint64), length - anchor + 1)
-    place = (least & _POSITION).astype(np.int64)
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(place)]
-    good = np.arange(len(place)) + length <= offsets[text + 1]
-    new = np.ones(len(place), bool)
-    new[1:] = (place[1:] != place[:-1]) | ~good[:-1]
-    start = np.flatnonzero(new & good)
-    stop = np.flatnonzero(good & np.append(new[1:] | ~good[1:], True)) + 1
-    whole = _digests(sums, start, stop + length - 1)
-    return text[start], start - offsets[text[start]], stop - start, hashes[place[start]].view(np.int64), whole.view(np.int64)
+    least = _least((hashes & ~_POSITION) | (_POSITION - at.astype(np.uint64)), length - anchor + 1)
+    right = (_POSITION - (least & _POSITION)).astype(np.int64)  # the rightmost of the least
+    key = hashes[right]
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(key)]
+    good = np.arange(len(key)) + length <= offsets[text + 1]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | ~good[:-1]
+    first = np.flatnonzero(new & good)
+    last = np.flatnonzero(good & np.append(new[1:] | ~good[1:], True))
+    first, last = _cuts(first, last, right)
+    raw = memoryview(np.ascontiguousarray(data))
+    digests = b"".join([hashlib.blake2b(raw[i:j], digest_size=16).digest() for i, j in zip(first.tolist(), (last + length).tolist())])
+    whole = np.frombuffer(digests, "<i8").reshape(-1, 2)
+    return text[first], first - offsets[text[first]], last - first + 1, key[first].view(np.int64), whole[:, 0], whole[:, 1], right[first] < right[last]
 
 
-STRETCH_SCHEMA = "doc_id long, th long, start int, n int, anchor long, whole long"
+STRETCH_SCHEMA = "doc_id long, th long, start int, n int, anchor long, whole long, whole2 long, loops boolean"
 
 
 def _finder(length: int, anchor: int):
@@ -103,16 +125,13 @@ def _finder(length: int, anchor: int):
             data, offsets = flat_bytes(batch.column(2))
             for i, j in chunks(offsets, PART):
                 own, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                for a in range(0, max(1, len(own) - length + 1), SEGMENT) if len(own) > 2 * SEGMENT else [0]:
-                    if len(own) > 2 * SEGMENT:  # one long text
-                        part = own[a : a + SEGMENT + length - 1]
-                        text, start, n, key, whole = _stretches(part, np.array([0, len(part)]), length, anchor)
-                        start = start + a
-                    else:
-                        text, start, n, key, whole = _stretches(own, at, length, anchor)
+                long = len(own) > 2 * PART  # one text, taken in parts that overlap by a string less a byte
+                for a in range(0, len(own) - length + 1, PART) if long else [0]:
+                    part, edges = (own[a : a + PART + length - 1], None) if long else (own, at)
+                    text, start, n, *keys = _stretches(part, np.array([0, len(part)]) if long else edges, length, anchor)
                     if len(text):
                         who = pa.array(text + i)
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(who), batch.column(1).take(who), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(key), pa.array(whole)], names=["doc_id", "th", "start", "n", "anchor", "whole"])
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(who), batch.column(1).take(who), pa.array(start + a, pa.int32()), pa.array(n, pa.int32()), *map(pa.array, keys)], names=["doc_id", "th", "start", "n", "anchor", "whole", "whole2", "loops"])
 
     return run
 
@@ -123,7 +142,7 @@ def _slices(batches):
             yield batch.slice(i, ROWS_AT_ONCE)
 
 
-CUT_SCHEMA = "anchor long, whole long, many boolean, doc_id long, th long, start int, piece binary"
+CUT_SCHEMA = "anchor long, many boolean, doc_id long, th long, start int, piece binary"
 
 
 def _piece_cutter(length: int):
@@ -134,10 +153,10 @@ def _piece_cutter(length: int):
             rows = []
             for doc, th, text, wanted in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 raw = text.encode()
-                rows += [(w["anchor"], w["whole"], w["many"], doc, th, w["start"], raw[w["start"] : w["start"] + w["n"] + length - 1]) for w in wanted]
+                rows += [(w["anchor"], w["many"], doc, th, w["start"], raw[w["start"] : w["start"] + w["n"] + length - 1]) for w in wanted]
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["anchor", "whole", "many", "doc_id", "th", "start", "piece"])
+                kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["anchor", "many", "doc_id", "th", "start", "piece"])
 
     return run
 
@@ -180,7 +199,7 @@ def _sorter(length: int, limit: int):
     return run
 
 
-FINE_SCHEMA = "doc_id long, th long, start int, n int, anchor long, whole long, piece binary"
+FINE_SCHEMA = "doc_id long, th long, start int, n int, anchor long, whole long, whole2 long, loops boolean, piece binary"
 
 
 def _refiner(length: int, anchor: int):
@@ -193,14 +212,14 @@ def _refiner(length: int, anchor: int):
             data, offsets = flat_bytes(batch.column(3))
             for i, j in chunks(offsets, PART):
                 own, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                piece, start, n, key, whole = _stretches(own, at, length, anchor)
+                piece, start, n, *keys = _stretches(own, at, length, anchor)
                 if not len(piece):
                     continue
                 who, first = pa.array(piece + i), at[piece] + start
                 raw = own.tobytes()
                 cut = [raw[f : f + k + length - 1] for f, k in zip(first.tolist(), n.tolist())]
                 begin = batch.column(2).to_numpy(zero_copy_only=False)[piece + i] + start
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(who), batch.column(1).take(who), pa.array(begin, pa.int32()), pa.array(n, pa.int32()), pa.array(key), pa.array(whole), pa.array(cut, pa.binary())], names=["doc_id", "th", "start", "n", "anchor", "whole", "piece"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(who), batch.column(1).take(who), pa.array(begin, pa.int32()), pa.array(n, pa.int32()), *map(pa.array, keys), pa.array(cut, pa.binary())], names=["doc_id", "th", "start", "n", "anchor", "whole", "whole2", "loops", "piece"])
 
     return run
 
@@ -221,25 +240,23 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     hot = [x["item"] for x in named["top"] or [] if x["count"] * 2 * HOT_COUNTERS > named["n"] and x["count"] > many]
     is_hot = F.col("anchor").isin(hot) if hot else F.lit(False)
 
-    # ordinary anchors: one shuffle by anchor; how often this stretch occurs, and whether others share the anchor
-    same, group = Window.partitionBy("anchor", "whole").orderBy("doc_id", "th", "start"), Window.partitionBy("anchor")
-    cold = found.where(~is_hot).withColumn("nth", F.row_number().over(same)).withColumn("copies", F.count(F.lit(1)).over(Window.partitionBy("anchor", "whole"))).withColumn("mixed", F.min("whole").over(group) != F.max("whole").over(group))
-    cold = cold.where("copies > 1 OR mixed").select("doc_id", "th", "start", "n", "anchor", "whole", "copies", F.expr("mixed AND nth = 1").alias("lead"))
-    rows = stored(cold, "shared")
+    # ordinary anchors: one shuffle by anchor; how often this stretch occurs, and how many kinds of stretches have the anchor
+    kind = ["anchor", "whole", "whole2", "loops"]
+    place = F.struct("doc_id", "th", "start")
+    same, group = Window.partitionBy(*kind), Window.partitionBy("anchor")
+    cold = found.where(~is_hot).withColumn("nth", F.row_number().over(same.orderBy("doc_id", "th", "start"))).withColumn("copies", F.count(F.lit(1)).over(same))
+    cold = cold.withColumn("kinds", F.count_if(F.col("nth") == 1).over(group)).where("copies > 1 OR kinds > 1 OR loops")
+    rows = stored(cold.select("doc_id", "th", "start", "n", "anchor", "copies", "kinds", F.expr("nth = 1 AND (kinds > 1 OR loops)").alias("lead")), "shared")
     if hot:
-        least = F.min(F.struct("doc_id", "th", "start")).alias("least")
-        kinds = found.where(is_hot).groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("copies"), least)
-        kinds = settled(kinds)
-        mixed = F.broadcast(kinds.groupBy("anchor").agg((F.count(F.lit(1)) > 1).alias("mixed")).limit(HOT_NAMED))
-        kinds = kinds.join(mixed, "anchor")
-        warm = found.where(is_hot).join(kinds, ["anchor", "whole"])
-        warm = warm.select("doc_id", "th", "start", "n", "anchor", "whole", "copies", (F.col("mixed") & F.struct("doc_id", "th", "start").eqNullSafe(F.col("least"))).alias("lead"))
+        kinds = settled(found.where(is_hot).groupBy(*kind).agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("least")))
+        kinds = kinds.join(F.broadcast(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).limit(HOT_NAMED)), "anchor")
+        warm = found.where(is_hot).join(kinds, kind)
+        warm = warm.select("doc_id", "th", "start", "n", "anchor", "copies", "kinds", (((F.col("kinds") > 1) | F.col("loops")) & place.eqNullSafe(F.col("least"))).alias("lead"))
         rows = rows.unionByName(stored(warm.where("copies > 1 OR lead"), "shared"))  # written by itself, so that its join can be split
     whole = rows.where("copies > 1").select("doc_id", "th", "start", "n")
 
-    leads = rows.where("lead").select("doc_id", "th", "start", "n", "anchor", "whole")
-    kinds = leads.groupBy("anchor").agg((F.count(F.lit(1)) > many).alias("many"))
-    wanted = leads.join(kinds, "anchor").groupBy("doc_id", "th").agg(F.collect_set(F.struct("anchor", "whole", "many", "start", "n")).alias("wanted"))
+    leads = rows.where("lead").select("doc_id", "th", F.struct("anchor", (F.col("kinds") > many).alias("many"), "start", "n").alias("part"))
+    wanted = leads.groupBy("doc_id", "th").agg(F.collect_set("part").alias("wanted"))
     with_text = docs.join(wanted, _same_doc(docs, wanted)).select(docs["doc_id"], docs["th"], "text", "wanted")
     pieces = stored(mapped(with_text, _piece_cutter(length), CUT_SCHEMA), "pieces")
     few = pieces.where("NOT many").select("anchor", "doc_id", "th", "start", "piece")
@@ -248,12 +265,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
         if finer <= anchor or todo.isEmpty():
             continue
         rows = stored(mapped(todo, _refiner(length, finer), FINE_SCHEMA), "finer")
-        same = rows.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "th", "start")).alias("least"))
-        same = settled(same)
-        per_anchor = same.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-        same = same.join(per_anchor, "anchor", "left").where("copies > 1 OR kinds > 1")
-        lead = (F.col("kinds") > 1) & F.struct("doc_id", "th", "start").eqNullSafe(F.col("least"))
-        rows = stored(rows.join(same, ["anchor", "whole"]).select("doc_id", "th", "start", "n", "anchor", "copies", "kinds", F.when(lead, F.col("piece")).alias("piece")), "refined")
+        same = settled(rows.groupBy(*kind).agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("least")))
+        per_anchor = settled(same.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))  # written, so that the join by it can be split
+        same = same.join(per_anchor, "anchor", "left").withColumn("kinds", F.coalesce("kinds", F.lit(1)))
+        lead = ((F.col("kinds") > 1) | F.col("loops")) & place.eqNullSafe(F.col("least"))
+        rows = rows.join(same, kind).where("copies > 1 OR kinds > 1 OR loops")
+        rows = stored(rows.select("doc_id", "th", "start", "n", "anchor", "copies", "kinds", F.when(lead, F.col("piece")).alias("piece")), "refined")
         whole = whole.unionByName(rows.where("copies > 1").select("doc_id", "th", "start", "n"))
         leads = rows.where("piece IS NOT NULL")
         few = few.unionByName(leads.where(F.col("kinds") <= many).select("anchor", "doc_id", "th", "start", "piece"))
@@ -331,18 +348,21 @@ def _remover(length: int):
                     at = b
                 kept.append(raw[at:])
                 texts.append(b"".join(kept).decode())
-            names = [c for c in batch.schema.names if c not in ("__text", "__spans")]
-            columns = [pa.array(texts, pa.string()) if c == "text" else pa.array([len(t) for t in texts], pa.int64()) if c == "n_chars" else batch.column(c) for c in names]
+            names = [c for c in batch.schema.names if c not in ("__text", "__spans")]  # n_chars of another kind than numbers stays as it is
+            columns = [pa.array(texts, pa.string()) if c == "text" else pa.array([len(t) for t in texts], pa.int64()).cast(batch.schema.field(c).type) if c == "n_chars" and pa.types.is_integer(batch.schema.field(c).type) else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with every repeated string of `length` bytes removed from text (whole letters only) and n_chars as it then is."""
+    """docs with every repeated string of `length` bytes removed from text (whole letters only) and n_chars, where there is such a column, as it then is.
+
+    Other columns are kept as they are, whatever their names.
+    """
     own = keyed(docs, "doc_id", "text")
-    spans = repeated_spans(own, length)
+    spans = repeated_spans(own, length).toDF("__of_id", "__of_th", "__spans")
     marked = docs.withColumn("__th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = marked.join(spans, F.col("__th").eqNullSafe(spans["th"]) & marked["doc_id"].cast("long").eqNullSafe(spans["doc_id"]), "left")
-    out = joined.select(*[marked[f"`{c}`"] for c in docs.columns], F.coalesce(marked["text"], F.lit("")).alias("__text"), F.col("spans").alias("__spans"))
+    joined = marked.join(spans, F.col("__th").eqNullSafe(F.col("__of_th")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__of_id")), "left")
+    out = joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce("text", F.lit("")).alias("__text"), "__spans")
     return mapped(out, _remover(length), docs.schema)
