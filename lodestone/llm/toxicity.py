@@ -2,29 +2,30 @@
 
 A noisy channel turns words into digits and signs for letters, letters set apart, and letters repeated. Tokens that may
 be disguised become a lattice of letters; the Viterbi path under the channel's costs and a character model of the whole corpus is the restored word. Restored words
-stand beside the others in the text that is scored: a logistic regression on hashed words and beginnings of words,
-learnt from at most TRAIN_ROWS labelled documents.
+take the place of the disguised ones in the text that is scored: a logistic regression on hashed words and beginnings of words,
+learnt from labelled documents, TRAIN_ROWS and TRAIN_BYTES at most.
 """
 
 from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.chars import SIGNS, letter_model
-from lodestone.llm.common import fold_column, mapped
+from lodestone.llm.common import fold_column, mapped, settled
 from lodestone.llm.pieces import chunks, flat_bytes
 from lodestone.llm.repeats import _digests, _mixed, _sums
 
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
-#: Labelled documents that the regression is fitted on at most, and bits of the feature table.
-TRAIN_ROWS, BITS = 4000, 20
+#: Labelled documents that the regression is fitted on at most, bytes of their texts, and bits of the feature table.
+TRAIN_ROWS, TRAIN_BYTES, BITS = 4000, 128 << 20, 20
 MASK = (1 << BITS) - 1
 #: Bytes of a word's beginning that are a feature.
 BEGINNINGS = (4, 5, 6, 7)
@@ -45,6 +46,8 @@ _REPEATED = rf"(?<!{_LETTER}){_LETTER}*?({_LETTER})(?i:\1){_LETTER}*"
 SUSPECT = re.compile("|".join(f"(?:{x})" for x in (_SPACED, _LEET, _GAPPED, _REPEATED)))
 _GAPS, _DOUBLE = re.compile(f"{_GAP}+"), re.compile(rf"([\w{_SIGN}])(?i:\1)")
 ALL_KEPT = 1e6
+#: Signs of a token whose lattice is held at once.
+WIDEST = 1024
 
 
 def restore(token: str, model: np.ndarray, dropped: float = DROPPED_REPEAT) -> str:
@@ -104,28 +107,99 @@ def restore(token: str, model: np.ndarray, dropped: float = DROPPED_REPEAT) -> s
     return "".join(reversed(letters)).strip()
 
 
+def collapsed(token: str, model: np.ndarray) -> str:
+    """As restore(), for a token of letters alone: each run of one letter counts once or more often."""
+    states = {0: (0.0, "")}
+    for c, run in groupby(token.lower()):
+        r, n = sum(1 for _ in run), ord(c) - 96 if "a" <= c <= "z" else 0
+        new: dict[int, tuple[float, str]] = {}
+        for context, (cost, word) in states.items():
+            for k in range(1, min(r, 6) + 1):
+                if n:
+                    cost -= float(model[context, n])
+                    context = (context * SIGNS + n) % SIGNS**3
+                else:
+                    context = context * SIGNS**2 % SIGNS**3
+                cost += KEPT_DOUBLE * (k > 1)
+                # from the fourth on every further letter costs the same, so few or all of them are best
+                more = r - 6 if k == 6 else 0
+                step = KEPT_DOUBLE - (float(model[context, n]) if n else 0.0)
+                for total, kept in ((cost + DROPPED_REPEAT * (r - k), k), (cost + more * step, r))[: 1 + (more > 0)]:
+                    if context not in new or total < new[context][0]:
+                        new[context] = (total, word + c * kept)
+        states = new
+    return min(((cost - float(model[context, 0]), word) for context, (cost, word) in states.items()), default=(0.0, ""))[1]
+
+
 class Restorer:
+    """Reads texts token by token and remembers what it has seen, as most tokens come again and again."""
+
+    #: A letter or sign by itself, which may be one of a word whose letters are set apart.
+    ALONE = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!])(?![^\W_])")
+    PLAIN, DISGUISED, APART = range(3)
+    MOST = 200_000
+
     def __init__(self, model: np.ndarray):
-        self.model, self.known = model, {}
+        self.model, self.known, self.kinds = model, {}, {}
+
+    def _readings(self, token: str) -> str:
+        """What a suspect token may say: its restoration, and the token itself where that is a reading too."""
+        found = self.known.get(token)
+        if found is None:
+            if len(self.known) > self.MOST:
+                self.known.clear()
+            if token.isalpha():
+                readings = {collapsed(token, self.model): None, token.lower(): None}
+            else:
+                readings = {self._restored(token): None}
+                if _DOUBLE.search(token):  # the model always likes fewer letters better, so the word with all of them is told too
+                    readings[self._restored(token, ALL_KEPT)] = None
+            self.known[token] = found = " ".join(readings)
+        return found
+
+    def _restored(self, token: str, dropped: float = DROPPED_REPEAT) -> str:
+        """A token of more than WIDEST signs is restored in parts, as the lattice is held whole."""
+        return "".join(restore(token[i : i + WIDEST], self.model, dropped) for i in range(0, len(token), WIDEST))
+
+    def _kind(self, token: str) -> int:
+        if len(self.kinds) > self.MOST:
+            self.kinds.clear()
+        kind = self.APART if self.ALONE.search(token) else self.DISGUISED if SUSPECT.search(token) else self.PLAIN
+        if len(token) <= 64:
+            self.kinds[token] = kind
+        return kind
 
     def words(self, text: str) -> list[str]:
-        """Restored words of a text."""
+        """Readings of suspect tokens that don't stand in the text as they are."""
         out = []
         for m in SUSPECT.finditer(text):
-            token = m[0]
-            word = self.known.get(token)
-            if word is None:
-                if len(self.known) > 100_000:
-                    self.known.clear()
-                found = {restore(token, self.model): None}
-                if _DOUBLE.search(token):  # the model always likes fewer letters better, so the word with all of them is told too
-                    found[restore(token, self.model, ALL_KEPT)] = None
-                found.pop(_GAPS.sub(" ", token.lower()).strip(f" {_SIGN}"), None)  # it stands in the text as it is
-                self.known[token] = word = " ".join(found)
-            if word:
-                out.append(word)
+            plain = _GAPS.sub(" ", m[0].lower()).strip(f" {_SIGN}")
+            readings = self._readings(m[0]).split(" ") if " " not in plain else [self._readings(m[0])]
+            if left := " ".join(w for w in readings if w != plain):
+                out.append(left)
         return out
 
+    def restored(self, text: str) -> str:
+        """The text, one blank between words, with readings in the place of suspect tokens."""
+        tokens = text.split()
+        kinds = [self.kinds.get(t) for t in tokens]
+        if None in kinds:
+            kinds = [self._kind(t) if k is None else k for t, k in zip(tokens, kinds)]
+        odd = [i for i, k in enumerate(kinds) if k]
+        if not odd:
+            return text
+        out, at = [], 0
+        for i in odd:
+            if i < at:
+                continue
+            out += tokens[at:i]
+            at = i + 1
+            if kinds[i] == self.APART:  # with its neighbours, as letters may be set apart by blanks
+                while at < len(tokens) and kinds[at] == self.APART:
+                    at += 1
+            out.append(SUSPECT.sub(lambda m: self._readings(m[0]), " ".join(tokens[i:at])))
+        return " ".join(out + tokens[at:])
+
 
 _WORD = np.zeros(256, bool)
 _WORD[97:123] = _WORD[48:58] = _WORD[128:] = True
@@ -235,11 +309,11 @@ def score(weights: np.ndarray, found: np.ndarray, offsets: np.ndarray) -> np.nda
 
 
 def _texts(column, restorer: Restorer):
-    """Yields (first, texts in UTF-8 with their restored words)."""
+    """Yields (first, restored texts in UTF-8)."""
     _, offsets = flat_bytes(column)
     for i, j in chunks(offsets, 1 << 19):
         own = column.slice(i, j - i).to_pylist()
-        yield i, [" ".join([t, *restorer.words(t)]).encode() for t in own]
+        yield i, [restorer.restored(t).encode() for t in own]
 
 
 @lru_cache(maxsize=2)
@@ -278,15 +352,22 @@ def _scorer(model, weights):
     return run
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, most: int) -> tuple[DataFrame, DataFrame]:
-    """(text, label) of at most `most` labelled documents outside the held-out fold, each label equally welcome, chosen by a hash of the id; and all such labels."""
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, most: int, most_bytes: int = TRAIN_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(text, label) of labelled documents outside the held-out fold, and all such labels.
+
+    At most `most` documents, each label equally welcome, chosen by a hash of the id, and in that order as many as come to `most_bytes` of text; an
+    id that several rows have counts once, with the text of the least hash.
+    """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).where(fold_column(F.col("doc_id"), folds) != held_out)
-    known = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
-    key = F.xxhash64("doc_id")
-    half = most // 2
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
+    key, half = F.xxhash64("doc_id"), most // 2
     chosen = known.where("label = 1").orderBy(key).limit(half).unionByName(known.where("label = 0").orderBy(key).limit(half))
-    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").select("text", "label"), known
+    text = F.coalesce("text", F.lit(""))
+    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct("th", F.octet_length("text").alias("size"))).alias("own"))
+    within = F.sum("own.size").over(Window.partitionBy("label").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))  # `most` rows in all
+    found = settled(found.withColumn("bytes", within).where(F.col("bytes") <= most_bytes // 2).select("doc_id", "own.th", "label"))
+    return texts.join(F.broadcast(found), ["doc_id", "th"]).dropDuplicates(["doc_id"]).select("text", "label"), known
 
 
 def with_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
