@@ -125,7 +125,42 @@ def test_search_prunes_and_is_exact():
     for q in range(30):
         scores = points @ points[q]
         want = [i for i in np.lexsort((ids, -scores)) if ids[i] != ids[q]][:5]
-        assert [(int(ids[q]), int(ids[i]), int(scores[i])) for i in want] == [g for g in got if g[0] == ids[q]]
+        assert [(q, int(ids[i]), int(scores[i])) for i in want] == [g for g in got if g[0] == q]
+
+
+def test_cover_tree_nests_covers_and_separates():
+    rng = np.random.default_rng(9)
+    points = np.concatenate([c + rng.integers(-3, 4, (200, 5)) for c in rng.integers(-500, 500, (9, 5))]).astype(float)
+    inner, todo = 0, [topk.cover_tree(points)]
+    assert sorted(topk.cover_tree(points).rows.tolist()) == list(range(len(points)))
+    while todo:
+        node = todo.pop()
+        assert np.sqrt(((points[node.rows] - node.center) ** 2).sum(axis=1)).max() <= node.radius
+        if node.children:
+            inner += 1
+            heads = np.array([c.center for c in node.children])
+            assert (heads[0] == node.center).all() and sorted(np.concatenate([c.rows for c in node.children]).tolist()) == sorted(node.rows.tolist())
+            gaps = np.sqrt(((heads[:, None] - heads) ** 2).sum(axis=2))[~np.eye(len(heads), dtype=bool)]
+            assert gaps.min() > node.radius / 2 and max(c.radius for c in node.children) <= node.radius / 2
+            todo += node.children
+    assert inner > 3
+
+
+def test_top_k_over_many_blocks(spark, monkeypatch):
+    """Clusters, a hot vector, repeated rows and ids, several widths: blocks of many pivots, some of which queries never meet."""
+    monkeypatch.setattr(topk, "BLOCK", 40)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    rng = np.random.default_rng(10)
+    rows = [(i, (rng.normal(size=6) * 0.05 + rng.choice([-1.0, 1.0], 6)).tolist()) for i in range(1, 900)]
+    rows += [(1000 + i, [0.5] * 6) for i in range(400)] + [(100, rows[3][1]), (200, rows[199][1]), (200, rows[199][1]), (7, rows[6][1])] + [(5000 + 50 * i, [0.25 * i, 1.0]) for i in range(9)] + [(9000, []), (9001, [])]
+    got = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(got).collect())
+    v = [(i, tuple(int(np.floor(1024 * x)) for x in e)) for i, e in rows]
+    want = []
+    for q, own in {x for x in v if x[0] % 100 == 0}:
+        found = sorted((-sum(a * b for a, b in zip(own, c)), i) for i, c in v if i != q and len(c) == len(own))[:10]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found)]
+    assert got == sorted(want)
 
 
 DISGUISES = {
@@ -142,6 +177,62 @@ def test_disguises_that_reach_the_lattice(spark, token):
     assert f" {DISGUISES[token]} " in f" {' '.join(found)} "
 
 
+def cheapest(token, model):
+    """The least cost of all ways through a token's lattice, and their words, one by one."""
+    T, found = toxicity, []
+
+    def told(context, letter):
+        if letter == " ":
+            return -float(model[context, 0]), 0
+        if "a" <= letter <= "z":
+            return -float(model[context, ord(letter) - 96]), (context * SIGNS + ord(letter) - 96) % SIGNS**3
+        return 0.0, context * SIGNS**2 % SIGNS**3
+
+    def walk(at, context, last, cost, word):
+        if at == len(token):
+            return found.append((cost - float(model[context, 0]), word.strip()))
+        c = token[at]
+        letters = c if c.isalpha() and c not in T.LEET else T.LEET.get(c, "")
+        for x in letters:
+            more, to = told(context, x)
+            if last == c:
+                walk(at + 1, context, c, cost + T.DROPPED_REPEAT, word)
+                walk(at + 1, to, c, cost + T.KEPT_DOUBLE + more, word + x)
+            else:
+                walk(at + 1, to, c, cost + more + T.SUBSTITUTED * (x != c), word + x)
+        if c in T.GAPS:
+            walk(at + 1, context, last, cost, word)
+            if context:
+                walk(at + 1, 0, "", cost + T.SPLIT + told(context, " ")[0], word + " ")
+        elif not letters or c in T._SIGN:
+            walk(at + 1, context, last, cost + T.DROPPED_SIGN * (1 + 4 * (c in T.LEET)), word)
+
+    walk(0, 0, "", 0.0, "")
+    least = min(found)[0]
+    return {w for cost, w in found if cost < least + 1e-4}
+
+
+def test_viterbi_against_all_ways_through_the_lattice():
+    rng, numbers = random.Random(8), np.random.default_rng(8)
+    model = np.log(numbers.dirichlet(np.ones(SIGNS) * 0.4, SIGNS**3) + 1e-4).astype(np.float32)
+    for _ in range(300):
+        token = "".join(rng.choice("abst015$!.- é") for _ in range(rng.randint(1, 8)))
+        assert toxicity.restore(token, model) in cheapest(token, model), token
+    for _ in range(300):
+        token = "".join(rng.choice("abté") * rng.choice([1, 1, 2, 3, 9]) for _ in range(rng.randint(1, 4)))
+        assert toxicity.collapsed(token, model) in cheapest(token, model), token
+
+
+def test_restored_words_take_the_place_of_disguised_ones(spark):
+    docs = spark.createDataFrame([(i, "the idiot and the loser in that moron scum of a night " * 3) for i in range(20)], "doc_id long, text string")
+    restorer = toxicity.Restorer(letter_model(docs))
+    for _ in range(2):
+        assert restorer.restored("that 1d10t in\tn i g h t of the\n l.o.s.e.r").split() == "that idiot in night of the loser".split()
+    assert restorer.restored("plain words, as ever. 1234") == "plain words, as ever. 1234" and restorer.restored("") == ""
+    long = "a1" * 50_000
+    assert len(restorer.restored(long)) <= len(long)
+
+
 def test_plain_words_are_not_told_again():
     model = np.log(np.full((SIGNS**3, SIGNS), 1 / SIGNS, np.float32))
     assert toxicity.Restorer(model).words("stupid! plain 1234 words") == []
