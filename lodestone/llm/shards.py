@@ -2,8 +2,8 @@
 
 Pass one scatters whole records by a seeded hash into buckets that fit in memory, pass two orders each bucket by the
 engine's Fisher-Yates array shuffle. A record's place in the whole order is its place in the bucket plus the rows of the
-buckets before it; dealing places out in turn gives shards whose row counts are at most one apart. Shards are files in the
-shared folder, and what is told of a record is read from them.
+buckets before it; cutting the order into equal runs gives shards whose row counts are at most one apart, and as a bucket then
+lies in one shard or a few neighbours, its task writes it without moving it again. Shards are files in the shared folder, and what is told of a record is read from them.
 
 The engine's shuffle draws from a generator of its partition, so buckets get a number of partitions, and an order in each, that
 follow from the rows alone: the layout depends neither on how rows come in nor on the session.
@@ -22,8 +22,8 @@ SEED = 20_240_229
 #: Rows, and bytes of the records, that a bucket holds on average at most.
 BUCKET_ROWS = 2048
 BUCKET_BYTES = 32 << 20
-#: Partitions of buckets at most, and bytes of a shard that a task writes on average at most.
-PARTS, FILE_BYTES = 4096, 128 << 20
+#: Partitions of buckets at most.
+PARTS = 4096
 #: Hashes of repeated rows that are sent to every task; with more, all rows are grouped.
 MOST_REPEATED = 200_000
 #: Buckets whose counts are summed in one go when the places of buckets are found.
@@ -71,7 +71,7 @@ def write_shards(df: DataFrame, path: str, shards: int = SHARDS, seed: int = SEE
     """Every column of df as Parquet under path, in a folder per shard and in the order of the column slot.
 
     Rows that repeat others in every column are dealt out like any rows. Columns are of types that Spark can compare. The same rows, seed
-    and number of shards give the same files' rows. A shard of more than FILE_BYTES is several files.
+    and number of shards give the same files' rows. A shard is several files, one of each task that holds buckets of it.
     """
     names = [c for c in df.columns if c not in ("shard", "slot")]
     rows, keys, n, size = _copies(df.select(*[F.col(f"`{c}`") for c in names]))
@@ -82,13 +82,12 @@ def write_shards(df: DataFrame, path: str, shards: int = SHARDS, seed: int = SEE
     gathered = scattered.repartition(min(buckets, PARTS), "bucket").groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("digest", "copy", "record"))).alias("held"))
     mixed = gathered.sortWithinPartitions("bucket").select("bucket", F.call_function("shuffle", F.col("held"), F.lit(seed)).alias("held"))
     starts = settled(_starts(keys.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))))
-    place = (F.col("first") + F.col("at")).alias("place")
+    place = (F.col("first") + F.col("at")).alias("__place")
     placed = mixed.select("bucket", F.posexplode("held").alias("at", "row")).join(F.broadcast(starts), "bucket").select(place, *[F.col("row.record")[c].alias(c) for c in names])
-    shard, slot = (F.col("place") % shards).cast("int"), F.floor(F.col("place") / shards).cast("long")
-    files = max(1, -(-size // (shards * FILE_BYTES)))
-    part = shard * files + F.floor(slot * files / max(1, -(-n // shards))).cast("int")
-    flat = placed.select(shard.alias("shard"), slot.alias("slot"), *[F.col(f"`{c}`") for c in names], part.alias("__part"))
-    flat.repartitionById(shards * files, F.col("__part")).drop("__part").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path, compression="zstd")
+    shard = F.expr(f"cast(__place * {shards} div {max(1, n)} as int)")  # whole numbers: a quotient in floating point may be one too small
+    slot = F.expr(f"__place - (cast(__place * {shards} div {max(1, n)} as bigint) * {n} + {shards - 1}) div {shards}")
+    flat = placed.select(shard.alias("shard"), slot.cast("long").alias("slot"), *[F.col(f"`{c}`") for c in names])
+    flat.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path, compression="zstd")
 
 
 def sharded(df: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
