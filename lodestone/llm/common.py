@@ -70,12 +70,26 @@ def ship(spark: SparkSession) -> None:
 BATCH_BYTES = 8 << 20
 
 
+def _tidied(f):
+    """f over a task's batches; afterwards the worker, which waits for its next task, gives back memory that Arrow holds for reuse."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        try:
+            yield from f(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def mapped(df: DataFrame, f, schema) -> DataFrame:
     """mapInArrow with this package at hand, over batches of at most about BATCH_BYTES."""
     spark = df.sparkSession
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(f, schema)
+    return df.mapInArrow(_tidied(f), schema)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -35,7 +35,7 @@ LONG = 16 << 20
 
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        n = max(n, CHUNK + (1 << 18))
+        n = max(n, (1 << 20) + (1 << 16))
         out = []
         for base in (_BASE, _INVERSE):
             p = np.full(n, base, np.uint64)
