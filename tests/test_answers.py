@@ -11,49 +11,76 @@ from lodestone.operators import planning as P
 from lodestone.operators import suggest as U
 
 
-def test_plan_is_read_leniently():
-    plan = P.read_plan({"mode": "x", "timeWindows": [{"start": "1975", "end": 1968}, {"start": "a", "end": 1}], "yearStart": 1, "requirements": [{"question": " "}], "retrievalQueries": ["a", " a ", ""], "suggestionType": "?"}, "Q")
+def read(spark, *payloads, asked="Q"):
+    rows = [(str(i), asked, p if isinstance(p, str) or p is None else json.dumps(p)) for i, p in enumerate(payloads)]
+    return P.read_plans(spark.createDataFrame(rows, "plan_id string, asked string, payload string"))
+
+
+def test_plans_are_read_leniently(spark):
+    many = {"requirements": [{"question": str(i)} for i in range(20)], "retrievalQueries": [str(i) for i in range(20)]}
+    odd = {"mode": "x", "timeWindows": [{"start": "1975", "end": 1968}, {"start": "a", "end": 1}], "yearStart": 1, "requirements": [{"question": " "}, 3], "retrievalQueries": ["a", " a ", ""], "suggestionType": "?"}
+    full = {"mode": "comparison", "requirements": [{"id": "z", "question": " q ", "required": False, "timeWindowIds": ["w", "", "w"]}, {"question": "p", "required": None}], "requiresVerification": True, "suggestionType": "event", "subject": " S "}
+    plan, years, long, broken, none, whole = sorted(read(spark, odd, {"yearStart": 1950, "yearEnd": "1940"}, many, "{no json", None, full).collect(), key=lambda r: r.plan_id)
     assert (plan.mode, plan.suggestion, plan.year_start, plan.year_end) == ("explanatory_rag", "none", 1968, 1975)
-    assert [r.question for r in plan.requirements] == ["Q"] and plan.queries == ("a",) and [w.id for w in plan.windows] == ["w1"]
-    assert P.read_plan({"yearStart": 1950, "yearEnd": "1940"}, "Q").year_start == 1940
-    many = P.read_plan({"requirements": [{"question": str(i)} for i in range(20)], "retrievalQueries": [str(i) for i in range(20)]}, "Q")
-    assert len(many.requirements) == 8 and len(many.queries) == 12
+    assert [r.question for r in plan.requirements] == ["Q"] and plan.queries == ["a"] and [w.id for w in plan.windows] == ["w1"]
+    assert (years.year_start, years.year_end) == (1940, 1950) and len(long.requirements) == 8 and len(long.queries) == 12
+    assert broken.queries == none.queries == ["Q"] and broken.requirements[0].required
+    assert [tuple(r) for r in whole.requirements] == [("z", "q", "fact", False, ["w"]), ("r2", "p", "fact", False, [])] and (whole.verify, whole.suggestion, whole.subject) == (True, "event", "S")
+
 
+def test_plans_without_a_model(spark):
+    kinds = {"Ai chỉ huy trận này?": "person", "Chiến dịch Điện Biên Phủ": "event", "Thời kỳ Lê sơ": "period", "Kinh tế": "none", "Trại lính": "none", "Kinh tế năm 1954": "none"}
+    got = {r.asked: r for r in P.plans_without_model(spark.createDataFrame([(q, q) for q in kinds], "plan_id string, asked string")).collect()}
+    assert {q: r.suggestion for q, r in got.items()} == kinds and got["Kinh tế năm 1954"].verify and not got["Kinh tế"].verify
 
-def test_plan_without_a_model():
-    kinds = {"Ai chỉ huy trận này?": "person", "Chiến dịch Điện Biên Phủ": "event", "Thời kỳ Lê sơ": "period", "Kinh tế": "none"}
-    assert {q: P.plan_without_model(q).suggestion for q in kinds} == kinds
-    assert P.plan_without_model("Kinh tế năm 1954").verify and not P.plan_without_model("Kinh tế").verify
 
+PLAN = {"subject": "S", "dateRange": "1950", "requirements": [{"id": "a", "question": "qa"}, {"id": "b", "question": "qb", "required": False}]}
 
-def plan(**more):
-    return P.read_plan({"subject": "S", "dateRange": "1950", "requirements": [{"id": "a", "question": "qa"}, {"id": "b", "question": "qb", "required": False}], **more}, "Q")
 
+def test_recovery_asks_only_for_required_gaps(spark):
+    plans = read(spark, *[PLAN] * 4)
+    outcomes = [("0", ["a", "b"], [], 3), ("1", ["b"], [], 3), ("2", ["a"], ["c"], 3), ("3", ["a"], [], 0)]
+    got = P.recovery(plans, spark.createDataFrame(outcomes, "plan_id string, missing array<string>, conflicts array<string>, candidates int")).collect()
+    assert [(r.plan_id, r.question, r.queries, [x.id for x in r.requirements]) for r in got] == [("0", "S qa 1950", ["S qa 1950"], ["a"])]
 
-def test_recovery_asks_only_for_required_gaps():
-    assert P.recovery(plan(), {"a", "b"}, [], True).queries == ("S qa 1950",)
-    assert P.recovery(plan(), {"b"}, [], True) is None and P.recovery(plan(), {"a"}, ["c"], True) is None and P.recovery(plan(), {"a"}, [], False) is None
 
+CLAIM = "plan_id string, at int, text string, evidence_ids array<string>, requirement_ids array<string>, risk string"
 
-def test_verifier_rules():
-    single = P.read_plan({"requirements": [{"id": "a", "question": "qa"}]}, "Q")
-    claims = [{"requirementIds": ["a"], "risk": "low"}]
-    assert not P.needs_verifier(single, "plain", claims, [])
-    assert P.needs_verifier(single, "in 1954", claims, []) and P.needs_verifier(single, "plain", [], []) and P.needs_verifier(plan(), "plain", claims, [])
-    verdict = {"status": "supported", "requirementCoverage": [{"requirementId": "a", "status": "covered"}, {"requirementId": "?", "status": "missing"}]}
-    assert P.settle_verdict(plan(), "draft", verdict) == {"status": "supported", "answer": "draft", "missing": []}
-    assert P.settle_verdict(plan(), "draft", {"status": "supported"})["status"] == "insufficient"
-    mended = {"status": "supported", "correctedAnswer": "new", "requirementCoverage": [{"requirementId": "a", "status": "repaired"}], "missingRequirementIds": ["b", "?"]}
-    assert P.settle_verdict(plan(), "draft", mended) == {"status": "corrected", "answer": "new", "missing": ["b"]}
-    assert P.sound_claims([{"evidenceIds": ["x", "e", "e"], "requirementIds": ["a", "?"], "text": " t "}, {"evidenceIds": ["?"]}, 3], {"e"}, {"a"}) == [{"text": "t", "evidenceIds": ["e"], "requirementIds": ["a"], "risk": "low"}]
 
+def test_claims_and_when_answers_are_verified(spark):
+    single = {"requirements": [{"id": "a", "question": "qa"}]}
+    plans = read(spark, single, single, single, PLAN, single)
+    requirements = P.plan_requirements(plans)
+    claims = [(str(i), 0, " t ", ["x", "e", "e"], ["a", "?"], None) for i in (0, 1, 3)] + [("0", 1, "u", ["x"], ["a"], "low"), ("4", 0, "t", ["e"], ["a"], "high")]
+    evidence = spark.createDataFrame([(str(i), "e") for i in range(5)], "plan_id string, evidence_id string")
+    sound = P.sound_claims(spark.createDataFrame(claims, CLAIM), evidence, requirements)
+    assert sorted(map(tuple, sound.where("plan_id = '0'").collect())) == [("0", 0, "t", ["e"], ["a"], "low")]
+    answers = spark.createDataFrame([("0", "plain", []), ("1", "in 1954", []), ("2", "plain", []), ("3", "plain", []), ("4", "plain", [])], "plan_id string, answer string, conflicts array<string>")
+    assert {r.plan_id: r.needed for r in P.verification(plans, answers, sound).collect()} == {"0": False, "1": True, "2": True, "3": True, "4": True}
 
-def test_presentation_and_echo():
-    assert P.presentation(plan()) == "keywords" and P.presentation(plan(mode="direct_fact")) == "none" and P.presentation(plan(mode="comparison")) == "contrast"
-    assert P.presentation(plan(requirements=[{"question": "q", "answerType": "Force_Roles"}])) == "inventory"
-    assert P.without_echo("## Vì sao thắng lợi nhanh?\n\nBody", "Vì sao thắng lợi nhanh?") == "Body"
-    assert P.without_echo("## Nguyên nhân\nBody", "Vì sao thắng lợi nhanh?") == "## Nguyên nhân\nBody" and P.without_echo("  x ", "q") == "x"
-    assert P.effective_prompt("<old>", "d", ["<old>"]) == "d" and P.effective_prompt(" p ", "d", []) == "p"
+
+def test_verdicts_are_settled(spark):
+    requirements = spark.createDataFrame([(p, r, r == "a") for p in "1234" for r in "ab"], "plan_id string, requirement_id string, required boolean")
+    verdicts = [
+        ("1", "draft", "supported", None, [("a", "covered"), ("?", "missing")], []),
+        ("2", "draft", "supported", " ", [], []),
+        ("3", "draft", "supported", " new ", [("a", "missing"), ("a", "repaired")], ["b", "?"]),
+        ("4", "draft", "corrected", "", [("a", "covered")], []),
+    ]
+    schema = "plan_id string, draft string, status string, corrected string, coverage array<struct<requirement_id string, status string>>, missing array<string>"
+    got = sorted(map(tuple, P.settled(requirements, spark.createDataFrame(verdicts, schema)).collect()))
+    assert got == [("1", "supported", "draft", []), ("2", "insufficient", "draft", ["a"]), ("3", "corrected", "new", ["b"]), ("4", "insufficient", "", [])]
+
+
+def test_presentation_and_echo(spark):
+    plans = read(spark, PLAN, PLAN | {"mode": "direct_fact"}, PLAN | {"mode": "comparison"}, PLAN | {"requirements": [{"question": "q", "answerType": "Force_Roles"}]})
+    assert [r.p for r in plans.orderBy("plan_id").select(P.presentation().alias("p")).collect()] == ["keywords", "none", "contrast", "inventory"]
+    asked = "Vì sao thắng lợi nhanh?"
+    answers = {"## Vì sao thắng lợi nhanh?\n\nBody": "Body", "## Nguyên nhân\nBody": "## Nguyên nhân\nBody", "  x ": "x", "# Vì sao thắng lợi nhanh": ""}
+    rows = spark.createDataFrame([(k, k, asked) for k in answers], "plan_id string, answer string, question string")
+    assert {r.plan_id: r.answer for r in P.without_echo(rows).collect()} == answers
+    prompts = spark.createDataFrame([("<old>",), (" p ",), (None,)], "t string").select(P.effective_prompt(F.col("t"), "d", ["<old>"]).alias("p"))
+    assert [r.p for r in prompts.collect()] == ["d", "p", "d"]
 
 
 def test_subject_scan_and_details(spark):
