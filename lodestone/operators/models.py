@@ -15,11 +15,21 @@ LONGEST_NAME = 5
 
 
 def embedding(text: Column, width: int = WIDTH) -> Column:
-    """Counts of hashed folded words in `width` places, scaled to length 1; a text without words has zeros."""
+    """Counts of hashed folded words in `width` places, scaled to length 1; a text without words has zeros. For questions; embedded() is for corpora."""
     places = F.transform(F.filter(F.split(fold_key(text), " "), lambda w: w != ""), lambda w: F.pmod(F.xxhash64(w), F.lit(width)))
     counts = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  what is bound to a variable is computed once
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
+    both = once(counts, lambda c: F.struct(c.alias("c"), norm(c).alias("n")))
+    return once(both, lambda s: F.transform(s["c"], lambda x: F.when(s["n"] > 0, x / s["n"]).otherwise(0.0).cast("float")))
+
+
+def embedded(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, v) of documents (doc_id, text) as embedding() has them, from counts of (document, place)."""
+    found = docs.select("doc_id", F.explode(F.filter(F.split(fold_key(F.col("text")), " "), lambda w: w != "")).alias("word")).groupBy("doc_id", F.pmod(F.xxhash64("word"), F.lit(width)).cast("int").alias("place")).agg(F.count(F.lit(1)).alias("n"))
+    by_doc = found.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("place", "n"))).alias("counts"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    v = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.element_at("counts", i) / F.col("norm"), F.lit(0.0)).cast("float"))
+    return docs.select("doc_id").join(by_doc, "doc_id", "left").select("doc_id", v.alias("v"))
 
 
 def known_names(chunks: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import RECORD_STOP, fold_key, words
-from lodestone.operators.joins import small
+from lodestone.operators.joins import every_pair, is_small, kept, small
 
 K1, B = 1.2, 0.75
 #: Weights of channels in the fusion, and the rank offset.
@@ -20,62 +20,88 @@ OFFICIAL_BONUS = 0.002
 WEIGHTS, OFFSET = {"exact": 4.0, "entity": 2.5, "vector": 1.0, "lexical": 1.0}, 60
 
 
-def ranked(found: DataFrame, k: int, *order: Column, by: str = "query_id") -> DataFrame:
+def ranked(found: DataFrame, k: int, *order: Column, by: str | list[str] = "query_id") -> DataFrame:
     """The first k rows of each query in the given order, with rank from 1; the plan keeps k a partition before the shuffle."""
     return found.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def inverted_index(docs: DataFrame) -> DataFrame:
-    """(term, doc_id, tf, doc_len) over search keys; terms of one letter are left out."""
-    tokens = docs.select("doc_id", F.filter(F.split(fold_key(F.col("text")), " "), lambda w: F.length(w) >= 2).alias("tokens"))
-    return tokens.select("doc_id", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("term")).groupBy("term", "doc_id", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
+def tokens_of(text: Column) -> Column:
+    """Words of the search key with two letters at least, in order."""
+    return F.filter(F.split(fold_key(text), " "), lambda w: F.length(w) >= 2)
+
+
+def active(chunks: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """Chunks that aren't switched off, themselves or their source (source_id, active); a missing flag is none."""
+    on = F.coalesce(F.col("active"), F.lit(True)) if "active" in chunks.columns else F.lit(True)
+    kept_ = chunks.where(on)
+    if sources is None:
+        return kept_
+    off = sources.where(~F.coalesce(F.col("active"), F.lit(True))).select("source_id")
+    return kept_.join(off, "source_id", "left_anti")
 
 
 def bm25(docs: DataFrame, questions: DataFrame, k: int, most: int | None = None, stop: list[str] | None = None) -> DataFrame:
     """query_id, doc_id, score, rank of the k best documents for each question (query_id, text), by its first `most` words that aren't in the stop list.
 
-    Only postings of the questions' terms leave the scan: tokens are filtered by a semi-join on terms before they are counted.
+    The corpus is folded and split once: postings of the questions' terms alone leave that pass and are kept, and the pass itself counts documents and words.
     """
     asked = words(F.col("text"), stop)
     asked = asked if most is None else F.slice(asked, 1, most)
     terms = questions.select("query_id", F.explode(asked).alias("term"))
-    tokens = docs.select("doc_id", F.filter(F.split(fold_key(F.col("text")), " "), lambda w: F.length(w) >= 2).alias("tokens"))
-    sizes = tokens.select("doc_id", F.size("tokens").alias("doc_len"))
-    wanted = terms.select("term").distinct()
-    exploded = tokens.select("doc_id", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("term"))
-    postings = exploded.join(wanted, "term", "left_semi").groupBy("term", "doc_id", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
-    stats = sizes.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
+    wanted = small(terms.select("term").distinct(), 200_000)
+    seen = Observation()
+    tokens = docs.select("doc_id", tokens_of(F.col("text")).alias("tokens")).withColumn("doc_len", F.size("tokens"))
+    tokens = tokens.observe(seen, F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("n_words"))
+    exploded = tokens.select("doc_id", "doc_len", F.explode("tokens").alias("term"))
+    postings = kept(exploded.join(wanted, "term", "left_semi").groupBy("term", "doc_id", "doc_len").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    n_docs = seen.get["n_docs"]
+    average = seen.get["n_words"] / max(1, n_docs)
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = terms.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", "avg_len", idf.alias("idf"))
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
+    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = small(terms.join(df, "term").select("query_id", "term", idf.alias("idf")), 200_000)
+    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.lit(float(average or 1))))
     scored = postings.join(weighed, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("idf") * tf), 6).alias("score"))
     return ranked(scored, k, F.desc("score"), F.col("doc_id"))
 
 
 def vector_top(candidates: DataFrame, questions: DataFrame, k: int) -> DataFrame:
-    """Cosine top-k of questions (query_id, q) over candidates (doc_id, v); the stated questions are joined whole."""
+    """Cosine top-k of questions (query_id, q) over candidates (doc_id, v) of the same width."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     norm = lambda a: F.sqrt(dot(a, a))
-    left = candidates.select("doc_id", "v", norm(F.col("v")).alias("nv"))
-    right = questions.select("query_id", "q", norm(F.col("q")).alias("nq"))
-    pairs = left.join(right, F.size("v") == F.size("q"))
-    scored = pairs.select("query_id", "doc_id", F.round(dot(F.col("v"), F.col("q")) / (F.col("nv") * F.col("nq")), 6).alias("score"))
+    left = candidates.select("doc_id", "v", norm(F.col("v")).alias("nv"), F.size("v").alias("width"))
+    right = questions.select("query_id", "q", norm(F.col("q")).alias("nq"), F.size("q").alias("width"))
+    scored = every_pair(left, right, "width").select("query_id", "doc_id", F.round(dot(F.col("v"), F.col("q")) / (F.col("nv") * F.col("nq")), 6).alias("score"))
     return ranked(scored, k, F.desc("score"), F.col("doc_id"))
 
 
-def phrase_hits(docs: DataFrame, phrases: DataFrame, k: int) -> DataFrame:
-    """Documents whose search key holds a phrase (query_id, phrase), by length and id.
+def _longest(phrase: str) -> Column:
+    """The longest word of a phrase, the first of them in the alphabet."""
+    return F.expr(f"element_at(array_sort(split({phrase}, ' '), (a, b) -> CASE WHEN length(a) <> length(b) THEN length(b) - length(a) WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END), 1)")
+
+
+def phrase_hits(docs: DataFrame, phrases: DataFrame, k: int, scan_limit: int | None = None) -> DataFrame:
+    """Documents whose search key holds a phrase (query_id, phrase, and ord where a question has several), by length and id: query_id, doc_id, score, rank.
 
-    A phrase can only be where its longest word is, so words of documents are matched with one word a phrase before the text is looked at.
+    A phrase can only be where its longest word is, so a document meets the phrases of the words that it has. Of each phrase the k best stay; ranks
+    run on over a question's phrases in their order, so what two phrases find comes twice. scan_limit: of the documents with a phrase's word only so many, by id, are looked at.
     """
+    probe = phrases if "ord" in phrases.columns else phrases.withColumn("ord", F.lit(0))
+    probe = probe.select("query_id", "ord", fold_key(F.col("phrase")).alias("phrase")).where("phrase <> ''").withColumn("term", _longest("phrase"))
     key = docs.select("doc_id", fold_key(F.col("text")).alias("key"))
-    probe = phrases.select("query_id", fold_key(F.col("phrase")).alias("phrase")).where("phrase <> ''")
-    probe = probe.withColumn("term", F.expr("element_at(array_sort(split(phrase, ' '), (a, b) -> CASE WHEN length(a) <> length(b) THEN length(b) - length(a) WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END), 1)"))
-    terms = key.select("doc_id", "key", F.explode(F.array_distinct(F.split("key", " "))).alias("term"))
-    hits = terms.join(probe, "term").where(F.contains(F.concat(F.lit(" "), "key", F.lit(" ")), F.concat(F.lit(" "), "phrase", F.lit(" "))))
-    scored = hits.select("query_id", "doc_id", F.length("key").alias("length"))
-    return ranked(scored, k, F.col("length"), F.col("doc_id")).select("query_id", "doc_id", F.lit(1.0).alias("score"), "rank")
+    found = F.array_distinct(F.split("key", " "))
+    if is_small(probe):  # a text is copied for the words that phrases ask for alone
+        terms = [r["term"] for r in probe.select("term").distinct().collect()]
+        found = F.array_intersect(found, F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>"))
+        met = key.select("doc_id", "key", F.explode(found).alias("term")).join(F.broadcast(probe), "term")
+    else:
+        pairs = key.select("doc_id", F.explode(found).alias("term")).join(probe, "term")
+        met = pairs.join(key, "doc_id")
+    if scan_limit is not None:
+        met = ranked(met, scan_limit, F.col("doc_id"), by=["query_id", "ord"]).drop("rank")
+    hits = met.where(F.contains(F.concat(F.lit(" "), "key", F.lit(" ")), F.concat(F.lit(" "), "phrase", F.lit(" ")))).select("query_id", "ord", "doc_id", F.length("key").alias("length"))
+    best = ranked(hits, k, F.col("length"), F.col("doc_id"), by=["query_id", "ord"])
+    at = F.row_number().over(Window.partitionBy("query_id").orderBy("ord", F.col("rank")))
+    return best.select("query_id", "doc_id", F.lit(1.0).alias("score"), at.alias("rank"))
 
 
 def key_hits(entities: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -102,28 +128,50 @@ def fused(channels: dict[str, DataFrame], k: int, official: DataFrame | None = N
     return ranked(by_item, k, F.desc("rrf"), F.desc("vector"), F.col("doc_id")).select("query_id", "doc_id", "channels", "direct", "score", "rank")
 
 
-def lexical_score(asked: Column, head: Column, text: Column, context: Column | None = None) -> Column:
-    """Published-content score from distinct question words and the search keys of title, whole text and context: covered words, by substring, with shares for the title, the context and the opening words; 0 below two hits."""
-    hits = F.size(F.filter(asked, lambda w: F.contains(text, w)))
-    title_hits = F.size(F.filter(asked, lambda w: F.contains(head, w)))
-    n = F.greatest(F.size(asked), F.lit(1))
-    opening = F.when(F.contains(text, F.array_join(F.slice(asked, 1, 5), " ")), 0.12).otherwise(0.0)
-    context_hits = F.lit(0) if context is None else F.size(F.filter(asked, lambda w: F.contains(context, w)))
-    score = F.least(F.lit(1.0), 0.72 * (hits / n) + 0.20 * title_hits / n + 0.12 * context_hits / n + opening)
-    return F.round(F.when((hits < 2) | (hits / n < 0.28), 0.0).otherwise(score), 6)
+# The share of a question's words below which a published record doesn't count, and the weights of shares in its text, title, context and opening words.
+LEAST_SHARE, LEAST_HITS = 0.28, 2
+TEXT_WEIGHT, TITLE_WEIGHT, CONTEXT_WEIGHT, OPENING_WEIGHT = 0.72, 0.20, 0.12, 0.12
+# End of fixed values.
 
 
 def published_top(records: DataFrame, questions: DataFrame, k: int, stop: list[str] | None = None) -> DataFrame:
-    """The k best records (doc_id, title, body, and context if there is one) of each stated question (query_id, text) by lexical_score.
+    """The k best records (doc_id, title, body, and context if there is one) of each question (query_id, text): query_id, doc_id, score, rank.
 
-    Keys are made once a row, before the questions meet the records.
+    The score comes from the shares of a question's distinct words that stand in the whole text, the title and the context, be it within longer words, and from
+    its first five words in a row; with fewer than two words or a small share it is 0. A word can only stand within a word, so it is looked up among the parts of the corpus's distinct words, and
+    records are found through an index of their words.
     """
     context = fold_key(F.col("context")) if "context" in records.columns else F.lit("")
-    keys = records.select("doc_id", context.alias("context"), fold_key(F.col("title")).alias("head"), fold_key(F.concat_ws(" ", "title", "body")).alias("key"))
+    keys = kept(records.select("doc_id", context.alias("context"), fold_key(F.col("title")).alias("head"), fold_key(F.concat_ws(" ", "title", "body")).alias("key")), "keys")
     asked = questions.select("query_id", words(F.col("text"), RECORD_STOP if stop is None else stop).alias("asked"))
-    keys, asked = (df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.columns[0]) for df in (keys, asked))
-    scored = keys.join(small(asked), F.lit(True)).select("query_id", "doc_id", lexical_score(F.col("asked"), F.col("head"), F.col("key"), F.col("context")).alias("score"))
-    return ranked(scored.where("score > 0"), k, F.desc("score"), F.col("doc_id"))
+    tokens = asked.select(F.explode("asked").alias("token")).distinct()
+    longest = tokens.agg(F.max(F.length("token"))).first()[0] or 0
+
+    def at(name):
+        return F.transform(F.array_distinct(F.split(name, " ")), lambda w: F.struct(F.lit(name).alias("spot"), w.alias("word")))
+
+    index = keys.select("doc_id", F.explode(F.concat(at("key"), at("head"), at("context"))).alias("at")).select("doc_id", "at.spot", "at.word").where("word <> ''")
+    vocabulary = index.select("word").distinct()
+    # all parts of a word as long as a question's word may be
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.length("word") - i + 1, F.lit(max(1, longest)))), lambda n: F.substring("word", i, n))))
+    holds = vocabulary.select("word", F.explode(F.array_distinct(parts)).alias("token")).join(small(tokens, 200_000), "token")
+    hits = index.join(small(holds, 200_000), "word").select("doc_id", "spot", "token").distinct()
+    of_token = asked.select("query_id", F.size("asked").alias("n"), F.explode("asked").alias("token"))
+    count = lambda name: F.count_if(F.col("spot") == name)
+    met = hits.join(small(of_token, 200_000), "token").groupBy("query_id", "doc_id", "n").agg(count("key").alias("hits"), count("head").alias("title_hits"), count("context").alias("context_hits"))
+    met = met.where((F.col("hits") >= LEAST_HITS) & (F.col("hits") / F.col("n") >= LEAST_SHARE)).join(small(asked), "query_id").join(keys.select("doc_id", "key"), "doc_id")
+    opening = F.when(F.contains("key", F.array_join(F.slice("asked", 1, 5), " ")), OPENING_WEIGHT).otherwise(0.0)
+    score = F.least(F.lit(1.0), TEXT_WEIGHT * (F.col("hits") / F.col("n")) + TITLE_WEIGHT * F.col("title_hits") / F.col("n") + CONTEXT_WEIGHT * F.col("context_hits") / F.col("n") + opening)
+    return ranked(met.select("query_id", "doc_id", F.round(score, 6).alias("score")), k, F.desc("score"), F.col("doc_id"))
+
+
+def alike(titles: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The k titles (doc_id, words) most like each question (query_id, words) by Dice's coefficient of their words, among those that share one: query_id, doc_id, dice, rank."""
+    left = titles.select("doc_id", F.size("words").alias("n"), F.explode("words").alias("word"))
+    right = asked.select("query_id", F.size("words").alias("m"), F.explode("words").alias("word"))
+    shared = left.join(small(right, 200_000), "word").groupBy("query_id", "doc_id", "n", "m").agg(F.count(F.lit(1)).alias("both"))
+    scored = shared.select("query_id", "doc_id", F.round(2.0 * F.col("both") / (F.col("n") + F.col("m")), 6).alias("dice"))
+    return ranked(scored, k, F.desc("dice"), F.col("doc_id"))
 
 
 def composite(items: DataFrame, k: int) -> DataFrame:
@@ -152,14 +200,19 @@ def temporal_gate(items: DataFrame) -> DataFrame:
 def reserved(items: DataFrame, quotas: list[tuple[str, int]], total: int) -> DataFrame:
     """Fill a budget tier by tier: each (flag column, quota) takes its best items that no earlier tier took; the rest fills up by score.
 
-    items: (query_id, doc_id, score, flags...). A tier is a window over what is left, so items are few per query or many alike.
+    items: (query_id, doc_id, score, flags...), one row of each document. A tier ranks flagged items alone, and only as many as could be taken leave their partitions: a quota,
+    and what earlier tiers may have taken of them.
     """
-    left, taken = items, []
+    order, before, pool = (F.desc("score"), F.col("doc_id")), 0, None
+    for flag, quota in [*quotas, (None, total)]:
+        before += quota
+        best = ranked(items if flag is None else items.where(F.coalesce(F.col(flag), F.lit(False))), before, *order).drop("rank")
+        pool = best if pool is None else pool.unionByName(best)
+    left, taken = pool.distinct(), []  # a few hundred a query
     for tier, (flag, quota) in enumerate(quotas):
-        order = Window.partitionBy("query_id").orderBy(F.desc(F.col(flag).cast("int")), F.desc("score"), "doc_id")
-        marked = left.withColumn("at", F.row_number().over(order)).withColumn("in", F.coalesce(F.col(flag), F.lit(False)) & (F.col("at") <= quota))
-        taken.append(marked.where("in").select("query_id", "doc_id", "score", F.lit(tier).alias("tier")))
-        left = marked.where("NOT in").drop("at", "in")
+        first = ranked(left.where(F.coalesce(F.col(flag), F.lit(False))), quota, *order).select("query_id", "doc_id", "score", F.lit(tier).alias("tier"))
+        taken.append(first)
+        left = left.join(first.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
     rows = reduce(DataFrame.unionByName, [*taken, left.select("query_id", "doc_id", "score", F.lit(len(quotas)).alias("tier"))])
     return ranked(rows, total, F.col("tier"), F.desc("score"), F.col("doc_id"))
 

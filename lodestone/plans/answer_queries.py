@@ -14,18 +14,18 @@ from lodestone.operators import retrieval as R
 from lodestone.operators import suggest as U
 from lodestone.plans.registry import query
 from lodestone.plans.retrieval_queries import exact, lexical, questions, vector
-from lodestone.plans.text_queries import fold_sql
+from lodestone.plans.text_queries import fold_sql, words_sql
 from lodestone.sources.tables import graph_edges, graph_nodes, page_text, table
 
 
 @query(
     "subject_scan",
-    """WITH p AS (SELECT CAST(item_id AS VARCHAR) AS plan_id, substr(text, 1, 12) AS phrase FROM benchmark),
+    """WITH p AS (SELECT CAST(item_id AS VARCHAR) AS plan_id, text AS phrase FROM benchmark),
     m AS (SELECT plan_id, doc_id, phrase AS matched, row_number() OVER (PARTITION BY plan_id ORDER BY doc_id) AS rank FROM p JOIN documents d ON contains(lower(d.text), lower(p.phrase)) WHERE trim(phrase) <> '')
     SELECT plan_id, doc_id, CAST(0.5 AS DOUBLE) AS score, matched, CAST(rank AS INTEGER) AS rank FROM m WHERE rank <= 240""",
 )
 def subject_scan(spark, d):
-    phrases = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("plan_id"), F.substring("text", 1, 12).alias("phrase"))
+    phrases = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("plan_id"), F.col("text").alias("phrase"))
     docs = table(spark, d, "documents").select("doc_id", F.col("doc_id").alias("sequence"), "text")
     return E.subject_scan(docs, phrases, 240).withColumn("matched", F.array_join("matched", "|"))
 
@@ -36,11 +36,10 @@ _CONTROL = "[" + ", ".join(f"'{w}'" for w in E.CONTROL_WORDS) + "]"
 
 @query(
     "detail_hits",
-    f"""WITH q AS (SELECT item_id, string_split({fold_sql('substr(text, 1, 60)')}, ' ') AS w FROM benchmark),
-    p AS (SELECT item_id, item_id % 4 AS plan, list_filter(list_distinct(list_concat({_GRAMS(2)}, {_GRAMS(3)})), lambda g: NOT list_has_any(string_split(g, ' '), {_CONTROL})) AS phrases FROM q),
-    s AS (SELECT doc_id, doc_id % 4 AS plan, concat(' ', {fold_sql('text')}, ' ') AS k FROM documents),
-    m AS (SELECT item_id, doc_id, len(phrases) AS n, list_filter(phrases, lambda g: contains(k, concat(' ', g, ' '))) AS found FROM p JOIN s USING (plan)),
-    l AS (SELECT item_id, doc_id, round(list_sum(list_transform(found, lambda g: len(string_split(g, ' ')))) + len(found)::DOUBLE / greatest(n, 1) + 0.025, 9) AS lexical FROM m WHERE len(found) > 0),
+    f"""WITH q AS (SELECT item_id, string_split({fold_sql('text')}, ' ') AS w FROM benchmark), s AS (SELECT doc_id, string_split({fold_sql('text')}, ' ') AS w FROM documents),
+    p AS (SELECT item_id, list_filter(list_distinct(list_concat({_GRAMS(2)}, {_GRAMS(3)})), lambda g: NOT list_has_any(string_split(g, ' '), {_CONTROL})) AS phrases FROM q),
+    g AS (SELECT item_id, len(phrases) AS n, unnest(phrases) AS g FROM p), h AS (SELECT doc_id, unnest(list_distinct(list_concat({_GRAMS(2)}, {_GRAMS(3)}))) AS g FROM s),
+    l AS (SELECT item_id, doc_id, round(sum(len(string_split(g, ' '))) + count(*)::DOUBLE / greatest(n, 1) + 0.025, 9) AS lexical FROM g JOIN h USING (g) GROUP BY item_id, n, doc_id),
     r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY lexical DESC, doc_id) AS rank FROM l)
     SELECT CAST(item_id AS INTEGER) AS ord, doc_id, round(greatest(0.5, least(0.97, 0.70 + lexical / 20)), 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 4""",
 )
@@ -63,11 +62,11 @@ def evidence_budget(spark, d):
 
 @query(
     "selection_outcome",
-    """WITH f AS (SELECT c_custkey AS id, o_orderkey AS e, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE year(o_orderdate) END AS y, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) AS n FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_custkey < 300),
+    """WITH f AS (SELECT c_custkey AS id, o_orderkey AS e, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE year(o_orderdate) END AS y, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) AS n FROM orders JOIN customer ON c_custkey = o_custkey),
     k AS (SELECT * FROM f WHERE n <= 8 AND (id % 2 = 1 OR y IS NULL OR y BETWEEN 1995 AND 1996 OR y BETWEEN 1998 AND 1999)),
     a AS (SELECT id, string_agg(CAST(e AS VARCHAR), ',' ORDER BY e) AS evidence, bool_or(y IS NULL) AS undated, coalesce(bool_or(y BETWEEN 1995 AND 1996), false) AS h1, coalesce(bool_or(y BETWEEN 1998 AND 1999), false) AS h2 FROM k GROUP BY 1)
     SELECT CAST(c_nationkey AS BIGINT) AS plan_id, c_custkey AS requirement_id, coalesce(evidence, '') AS evidence, CASE WHEN a.id IS NULL THEN c_custkey % 3 > 0 ELSE c_custkey % 2 = 0 AND NOT undated AND NOT (h1 AND h2) END AS missing
-    FROM customer LEFT JOIN a ON a.id = c_custkey WHERE c_custkey < 300""",
+    FROM customer LEFT JOIN a ON a.id = c_custkey""",
 )
 def selection_outcome(spark, d):
     customers = table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("plan_id"), F.col("c_custkey").alias("requirement_id"))
@@ -82,13 +81,13 @@ def selection_outcome(spark, d):
 
 @query(
     "citations",
-    "SELECT lang AS plan_id, doc_id, CASE WHEN doc_id % 20 = 0 THEN source ELSE concat('Title ', source) END AS title, substr(text, 1, 420) AS excerpt, CAST(1.0 AS DOUBLE) AS score FROM documents WHERE doc_id % 10 = 0",
+    "SELECT lang AS plan_id, doc_id, CASE WHEN doc_id % 20 = 0 THEN source ELSE concat('Title ', source) END AS title, substr(text, 1, 420) AS excerpt, CAST(1.0 AS DOUBLE) AS score FROM documents",
 )
 def citations(spark, d):
     docs = table(spark, d, "documents")
     title = F.when(F.col("doc_id") % 20 == 0, "").otherwise(F.concat(F.lit("Title "), "source"))
     items = docs.select(F.col("lang").alias("plan_id"), "doc_id", F.col("source").alias("source_id"), title.alias("source_title"), "text", F.lit(1.0).alias("score"))
-    return E.citations(items, docs.where("doc_id % 10 = 0").select(F.col("lang").alias("plan_id"), "doc_id"))
+    return E.citations(items, docs.select(F.col("lang").alias("plan_id"), "doc_id"))
 
 
 @query(
@@ -116,26 +115,31 @@ def content_paths(spark, d):
 
 @query(
     "suggest_mentions",
-    rf"""WITH h AS (SELECT page_id AS record_id, split_part(trim(regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '\s+', ' ', 'g')), ' ', 1) AS heading FROM pages), a AS (SELECT CAST(item_id AS VARCHAR) AS plan_id, {fold_sql('text')} AS k FROM benchmark),
+    rf"""WITH h AS (SELECT page_id AS record_id, trim(regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '\s+', ' ', 'g')) AS heading FROM pages), a AS (SELECT 'b' || item_id AS plan_id, {fold_sql('text')} AS k FROM benchmark UNION ALL SELECT 'p' || page_id, {fold_sql("regexp_extract(html, '(?is)<body[^>]*>(.*)</body>', 1)")} FROM pages),
     m AS (SELECT plan_id, record_id, heading, instr(k, {fold_sql('heading')}) AS place FROM h, a WHERE {fold_sql('heading')} <> ''), r AS (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY place, record_id) AS rank FROM m WHERE place > 0)
     SELECT plan_id, record_id, 'page' AS kind, heading, CAST(place AS INTEGER) AS place, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 12""",
 )
 def suggest_mentions(spark, d):
-    records = page_text(table(spark, d, "pages")).select(F.col("page_id").alias("record_id"), F.lit("page").alias("kind"), F.split_part("title", F.lit(" "), F.lit(1)).alias("heading"))
-    answers = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("plan_id"), F.lit("page").alias("kind"), F.col("text").alias("answer"))
+    records = page_text(table(spark, d, "pages")).select(F.col("page_id").alias("record_id"), F.lit("page").alias("kind"), F.col("title").alias("heading"))
+    # answers are the questions' texts and the pages' bodies, which name titles
+    own = table(spark, d, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("plan_id"), F.lit("page").alias("kind"), F.col("text").alias("answer"))
+    answers = own.unionByName(table(spark, d, "pages").select(F.concat(F.lit("p"), "page_id").alias("plan_id"), F.lit("page").alias("kind"), F.regexp_extract("html", "(?is)<body[^>]*>(.*)</body>", 1).alias("answer")))
     return U.mentioned(records, answers)
 
 
+_EVAL = lambda x: f"trim(regexp_replace(lower(strip_accents(replace(replace({x}, 'đ', 'd'), 'Đ', 'D'))), '\\s+', ' ', 'g'))"
+
+
 @query(
     "eval_outcomes",
-    """WITH c AS (SELECT item_id AS id, string_split(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '^(.{80}).*$', '\\1'), ' ') AS w FROM benchmark),
-    a AS (SELECT doc_id AS id, trim(regexp_replace(lower(strip_accents(replace(replace(text, 'đ', 'd'), 'Đ', 'D'))), '\\s+', ' ', 'g')) AS k FROM documents WHERE text IS NOT NULL)
-    SELECT id, contains(k, lower(strip_accents(w[1]))) OR contains(k, lower(strip_accents(w[2]))) AS met, contains(k, lower(strip_accents(w[3]))) AS forbidden FROM c JOIN a USING (id) WHERE len(w) > 3""",
+    f"""WITH c AS (SELECT item_id AS id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM benchmark), a AS (SELECT doc_id AS id, {_EVAL('text')} AS k FROM documents WHERE text IS NOT NULL),
+    h AS (SELECT id, list_transform(w, lambda x: contains(k, {_EVAL('x')})) AS hit, len(w) AS n FROM c JOIN a USING (id) WHERE len(w) > 3)
+    SELECT id, list_has_any(hit[1 : n - 1], [true]) AS met, hit[n] AS forbidden FROM h""",
 )
 def eval_outcomes(spark, d):
-    short = F.regexp_replace(X.collapsed(F.col("text")), "^(.{80}).*$", "$1")
-    cases = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.split(short, " ").alias("w")).where(F.size("w") > 3)
-    cases = cases.select("id", F.lit(None).cast("string").alias("mode"), F.array(F.slice("w", 1, 2)).alias("requiredConcepts"), F.slice("w", 3, 1).alias("forbiddenConcepts"), F.lit(None).cast("int").alias("minimumRequirements"), F.lit(None).cast("double").alias("maximumConfidence"))
+    """A case of each question: any of its words but the last is the required concept, the last one is forbidden."""
+    cases = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.split(X.collapsed(F.col("text")), " ").alias("w")).where(F.size("w") > 3)
+    cases = cases.select("id", F.lit(None).cast("string").alias("mode"), F.array(F.slice("w", F.lit(1), F.size("w") - 1)).alias("requiredConcepts"), F.slice("w", -1, 1).alias("forbiddenConcepts"), F.lit(None).cast("int").alias("minimumRequirements"), F.lit(None).cast("double").alias("maximumConfidence"))
     answers = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("text").alias("answer"), F.lit("m").alias("mode"), F.lit(0.5).alias("confidence"), F.lit(1).alias("requirements"))
     return V.outcomes(cases, answers).where("answered").select("id", (F.col("missing_concepts") == 0).alias("met"), (F.col("forbidden_hits") > 0).alias("forbidden"))
 
@@ -151,10 +155,11 @@ def known_names(spark, d):
     return M.known_names(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "text"), aliases)
 
 
-@query("text_embeddings")
+@query("text_embeddings", f"SELECT doc_id, CAST(256 AS INTEGER) AS width, CASE WHEN {fold_sql('text')} = '' THEN 0.0 ELSE 1.0 END::DOUBLE AS norm FROM documents")
 def text_embeddings(spark, d):
-    """Hashed embeddings of questions; their hash isn't one that SQL engines share."""
-    return questions(spark, d).select("query_id", M.embedding(F.col("text")).alias("v")).select("query_id", F.size("v").alias("width"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 4).alias("norm"))
+    """Hashed embeddings of all documents by their width and length; the hash itself isn't one that SQL engines share."""
+    rows = M.embedded(table(spark, d, "documents").select("doc_id", "text"), 256)
+    return rows.select("doc_id", F.size("v").alias("width"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 4).alias("norm"))
 
 
 def _pages(spark, d):

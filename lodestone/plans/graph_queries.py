@@ -84,7 +84,7 @@ def graph_export_edges(spark, d):
 
 @query(
     "source_detail",
-    "SELECT o_orderkey, o_orderstatus, count(*) AS chunks, count(DISTINCT l_partkey) AS entities, array_to_string(list_sort(list(DISTINCT p_name)), '|') AS names FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderkey < 500 GROUP BY 1, 2",
+    "SELECT o_orderkey, o_orderstatus, count(*) AS chunks, count(DISTINCT l_partkey) AS entities, array_to_string(list_sort(list(DISTINCT p_name)), '|') AS names FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2",
 )
 def source_detail(spark, d):
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")

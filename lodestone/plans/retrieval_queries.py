@@ -38,8 +38,8 @@ def lexical(spark, d):
 
 def vector(spark, d):
     vectors = table(spark, d, "embeddings")
-    n = table(spark, d, "benchmark").agg(F.count(F.lit(1)).alias("n"))
-    asked = vectors.join(F.broadcast(n), F.col("vec_id") < F.col("n")).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    n = table(spark, d, "benchmark").count()
+    asked = vectors.where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return R.vector_top(vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")), asked, 10)
 
 
@@ -102,7 +102,7 @@ def hybrid_four_channels(spark, d):
 
 @query(
     "entity_channel",
-    f"""WITH k AS (SELECT DISTINCT p_partkey AS doc_id, {fold_sql('p_name')} AS search_key FROM part), w AS (SELECT DISTINCT p_brand AS query_id, {fold_sql('p_name')} AS search_key FROM part WHERE p_partkey < 20),
+    f"""WITH k AS (SELECT DISTINCT p_partkey AS doc_id, {fold_sql('p_name')} AS search_key FROM part), w AS (SELECT DISTINCT p_brand AS query_id, {fold_sql('p_name')} AS search_key FROM part),
     h AS (SELECT DISTINCT query_id, doc_id FROM k JOIN w USING (search_key)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM h)
     SELECT query_id, doc_id, CAST(1.0 AS DOUBLE) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 24""",
 )
@@ -144,7 +144,7 @@ _STOP = ", ".join(f"'{w}'" for w in X.RECORD_STOP)
     rf"""WITH p AS (SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title,
       trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS body FROM pages),
     k AS (SELECT page_id, {fold_sql("concat_ws(' ', title, body)")} AS k, {fold_sql('title')} AS h FROM p),
-    q AS (SELECT item_id AS query_id, u.t AS t, u.i FROM (SELECT item_id, unnest(list_transform(range(1, len(w) + 1), lambda i: {{'t': w[i], 'i': i}})) AS u FROM (SELECT item_id, list_filter({words_sql('text')}, lambda t: t NOT IN ({_STOP})) AS w FROM benchmark WHERE item_id < 20))),
+    q AS (SELECT item_id AS query_id, u.t AS t, u.i FROM (SELECT item_id, unnest(list_transform(range(1, len(w) + 1), lambda i: {{'t': w[i], 'i': i}})) AS u FROM (SELECT item_id, list_filter({words_sql('text')}, lambda t: t NOT IN ({_STOP})) AS w FROM benchmark))),
     u AS (SELECT query_id, t, min(i) AS i FROM q GROUP BY 1, 2), o AS (SELECT query_id, list(t ORDER BY i) AS w FROM u GROUP BY 1),
     c AS (SELECT query_id, page_id, len(w) AS n, len(list_filter(w, lambda t: contains(k, t))) AS hits, len(list_filter(w, lambda t: contains(h, t))) AS title_hits, contains(k, array_to_string(w[1:5], ' ')) AS opening FROM o, k),
     s AS (SELECT query_id, page_id, round(CASE WHEN hits < 2 OR hits / n < 0.28 THEN 0.0 ELSE least(1.0, 0.72 * (hits / n) + 0.20 * title_hits / n + CASE WHEN opening THEN 0.12 ELSE 0.0 END) END, 6) AS score FROM c),
@@ -184,7 +184,7 @@ def evidence_reservation(spark, d):
 
 @query(
     "requirement_coverage",
-    """WITH r AS (SELECT c_custkey AS requirement_id, c_nationkey AS plan_id FROM customer WHERE c_custkey < 300), e AS (SELECT o_custkey AS requirement_id, year(o_orderdate) AS y FROM orders),
+    """WITH r AS (SELECT c_custkey AS requirement_id, c_nationkey AS plan_id FROM customer), e AS (SELECT o_custkey AS requirement_id, year(o_orderdate) AS y FROM orders),
     w AS (SELECT unnest([1996, 1998, 2000]) AS y), c AS (SELECT requirement_id, count(DISTINCT y) AS n FROM e WHERE y IN (SELECT y FROM w) GROUP BY 1)
     SELECT plan_id, count(*) AS required, count(*) FILTER (WHERE c.n = 3) AS covered, string_agg(CASE WHEN coalesce(c.n, 0) < 3 THEN CAST(r.requirement_id AS VARCHAR) END, ',' ORDER BY r.requirement_id) AS missing FROM r LEFT JOIN c USING (requirement_id) GROUP BY 1""",
 )
@@ -212,15 +212,31 @@ def answer_confidence(spark, d):
 
 @query(
     "content_suggestions",
-    rf"""WITH p AS (SELECT page_id, list_distinct({words_sql("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)")}) AS t FROM pages), q AS (SELECT item_id, list_distinct({words_sql('text')}) AS w FROM benchmark WHERE item_id < 20),
-    s AS (SELECT item_id, page_id, round(CASE WHEN len(t) + len(w) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect(t, w)) / (len(t) + len(w)) END, 6) AS dice FROM q, p), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY dice DESC, page_id) AS rank FROM s)
+    rf"""WITH p AS (SELECT page_id, list_distinct({words_sql("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)")}) AS t FROM pages), q AS (SELECT item_id, list_distinct({words_sql('text')}) AS w FROM benchmark),
+    s AS (SELECT item_id, page_id, round(2.0 * len(list_intersect(t, w)) / (len(t) + len(w)), 6) AS dice FROM q, p WHERE len(list_intersect(t, w)) > 0), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY dice DESC, page_id) AS rank FROM s)
     SELECT item_id, page_id, dice, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3""",
 )
 def content_suggestions(spark, d):
-    titles = table(spark, d, "pages").select("page_id", X.words(F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)).alias("t"))
-    asked = table(spark, d, "benchmark").select("item_id", X.words(F.col("text")).alias("w"))
-    scored = titles.join(asked, F.lit(True)).select("item_id", "page_id", F.round(X.dice(F.col("t"), F.col("w")), 6).alias("dice"))
-    return R.ranked(scored, 3, F.desc("dice"), F.col("page_id"), by="item_id")
+    titles = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), X.words(F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)).alias("words"))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), X.words(F.col("text")).alias("words"))
+    return R.alike(titles, asked, 3).withColumnsRenamed({"query_id": "item_id", "doc_id": "page_id"})
+
+
+@query(
+    "exact_two_phrases",
+    f"""WITH ph AS (SELECT item_id AS query_id, i AS ord, array_to_string(w[1 + 3 * i : 3 + 3 * i], ' ') AS phrase FROM (SELECT item_id, {words_sql('text')} AS w FROM benchmark), range(2) t(i)),
+    ek AS (SELECT doc_id, {fold_sql('text')} AS k FROM documents WHERE doc_id % 7 > 0 AND source IS DISTINCT FROM (SELECT min(source) FROM documents)),
+    e AS (SELECT query_id, ord, doc_id, row_number() OVER (PARTITION BY query_id, ord ORDER BY length(k), doc_id) AS r FROM ph JOIN ek ON phrase <> '' AND contains(concat(' ', k, ' '), concat(' ', phrase, ' ')))
+    SELECT query_id, doc_id, CAST(1.0 AS DOUBLE) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY ord, r) AS INTEGER) AS rank FROM e WHERE r <= 10""",
+)
+def exact_two_phrases(spark, d):
+    """Two phrases a question over the chunks that are on: every seventh is off, and one source is."""
+    docs = table(spark, d, "documents")
+    sources = docs.where("source IS NOT NULL").select(F.col("source").alias("source_id")).distinct().crossJoin(docs.agg(F.min("source").alias("off")))  # one row
+    chunks = docs.select("doc_id", "text", F.col("source").alias("source_id"), (F.col("doc_id") % 7 > 0).alias("active"))
+    on = R.active(chunks, sources.select("source_id", (F.col("source_id") != F.col("off")).alias("active")))
+    phrases = questions(spark, d).select("query_id", F.posexplode(F.array(*[F.array_join(F.slice(R.tokens_of(F.col("text")), 1 + 3 * i, 3), " ") for i in range(2)])).alias("ord", "phrase"))
+    return R.phrase_hits(on, phrases, 10)
 
 
 @query(

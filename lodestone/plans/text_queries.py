@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.functions.ontology import canonical_relation, canonical_relation_sql
+from lodestone.operators import ingest as I
+from lodestone.operators.joins import numbered
 from lodestone.plans.registry import query
 from lodestone.sources.tables import page_text, table
 
@@ -49,7 +51,7 @@ def text_content_hash(spark, d):
 def text_first_occurrence(spark, d):
     rows = table(spark, d, "documents").select("doc_id", "source", X.content_hash(F.col("text")).alias("h"))
     first = rows.withColumn("nth", F.row_number().over(Window.partitionBy("source", "h").orderBy("doc_id"))).where("nth = 1")
-    return first.select("doc_id", "source", (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("long").alias("sequence"))
+    return numbered(first.select("doc_id", "source"), "source", "doc_id", "sequence").withColumn("sequence", F.col("sequence").cast("long"))
 
 
 @query(
@@ -74,19 +76,72 @@ def text_heading(spark, d):
     return table(spark, d, "documents").select("doc_id", X.heading(F.col("text")).alias("heading"))
 
 
+#: A line of their source's name stands at the top of two documents in three, so that running lines occur.
+_TITLED = "SELECT source, doc_id, CASE WHEN doc_id % 3 > 0 THEN concat('Book  of ', source, chr(10), text) ELSE coalesce(text, '') END AS text FROM documents WHERE source IS NOT NULL"
+_RUNNING = f"""d AS ({_TITLED}), l AS (SELECT source, doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g'))), lambda s: s <> '') AS rows FROM d),
+    u AS (SELECT DISTINCT source, doc_id, line FROM (SELECT source, doc_id, unnest(rows) AS line FROM l) WHERE length(line) <= 160), n AS (SELECT source, count(*) AS pages FROM d GROUP BY 1),
+    c AS (SELECT u.source, line, count(*) AS n FROM u GROUP BY 1, 2), r AS (SELECT source, line, c.n FROM c JOIN n USING (source) WHERE c.n >= greatest(3, round_even(0.35 * pages, 0)))"""
+
+
+def titled(spark, d):
+    text = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("Book  of "), "source", F.lit("\n"), "text")).otherwise(F.coalesce("text", F.lit("")))
+    return table(spark, d, "documents").where("source IS NOT NULL").select("source", F.col("doc_id").alias("page"), text.alias("text"))
+
+
+@query("text_running_lines", f"WITH {_RUNNING} SELECT source, line, n FROM r")
+def text_running_lines(spark, d):
+    return I.running_lines(titled(spark, d))
+
+
+@query("repeated_line_removal", f"WITH {_RUNNING}, g AS (SELECT source, list(line) AS gone FROM r GROUP BY 1) SELECT source, doc_id AS page, md5(array_to_string(list_filter(rows, lambda s: g.gone IS NULL OR NOT list_contains(g.gone, s)), chr(10))) AS text FROM l LEFT JOIN g USING (source)")
+def repeated_line_removal(spark, d):
+    return I.without_running_lines(titled(spark, d)).select("source", "page", F.md5("text").alias("text"))
+
+
+_BODY = "array_to_string(list_transform(range(1, 15), lambda i: concat('line ', i, ' of ', doc_id, ' ', repeat('word ', 14))), chr(10))"
+
+
 @query(
-    "text_running_lines",
-    """WITH l AS (SELECT DISTINCT source, doc_id, trim(regexp_replace(s, '\\s+', ' ', 'g')) AS line FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS s FROM documents)),
-    n AS (SELECT source, count(*) AS pages FROM documents GROUP BY 1),
-    c AS (SELECT source, line, count(*) AS n FROM l WHERE length(line) BETWEEN 1 AND 160 GROUP BY 1, 2)
-    SELECT source, line, c.n FROM c JOIN n USING (source) WHERE c.n >= greatest(3, round_even(0.03 * pages, 0))""",
+    "footnote_strip",
+    f"""WITH b AS (SELECT doc_id, {_BODY} AS body FROM documents)
+    SELECT doc_id, md5(CASE WHEN doc_id % 5 IN (0, 1) THEN array_to_string(list_transform(string_split(body, chr(10)), lambda s: trim(s)), chr(10)) WHEN doc_id % 5 = 2 THEN concat(body, chr(10), '1. a matter', chr(10), '2. another') WHEN doc_id % 5 = 3 THEN concat(body, chr(10), '2. NXB X, tr 4') ELSE concat('1. NXB X, tr 4', chr(10), body) END) AS text FROM b""",
 )
-def text_running_lines(spark, d):
-    docs = table(spark, d, "documents")
-    lines = docs.select("source", "doc_id", F.explode(F.split("text", "\n")).alias("s")).select("source", "doc_id", X.collapsed(F.col("s")).alias("line")).where(F.length("line").between(1, 160)).distinct()
-    pages = docs.groupBy("source").agg(F.count(F.lit(1)).alias("pages"))
-    counts = lines.groupBy("source", "line").agg(F.count(F.lit(1)).alias("n")).join(pages, "source")
-    return counts.where(F.col("n") >= F.greatest(F.lit(3), F.bround(0.03 * F.col("pages"), 0))).select("source", "line", "n")
+def footnote_strip(spark, d):
+    """Notes that cite and rise, one that lies low, notes that cite nothing, notes without a first one, and a note at the top."""
+    line = lambda i: F.concat(F.lit("line "), i, F.lit(" of "), "doc_id", F.lit(" "), F.repeat(F.lit("word "), F.lit(14)))
+    body = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(14)), line), "\n")
+    k = F.col("doc_id") % 5
+    notes = {0: "1. NXB X, tr 12.\n2. Sdd, tr 40.\n3. Van kien, tap 5.", 1: "1. Tai lieu, 1950", 2: "1. a matter\n2. another", 3: "2. NXB X, tr 4"}
+    text = F.concat(F.lit("1. NXB X, tr 4\n"), body)
+    for r, note in notes.items():
+        text = F.when(k == r, F.concat(body, F.lit("\n" + note))).otherwise(text)
+    return table(spark, d, "documents").select("doc_id", F.md5(I.without_footnotes(text)).alias("text"))
+
+
+@query(
+    "content_page_range",
+    """WITH p AS (SELECT DISTINCT o_orderkey AS k, n AS page, CASE WHEN n = 3 AND o_orderkey % 2 = 0 THEN 'opens' WHEN n = 8 AND o_orderkey % 3 = 0 OR n = 4 AND o_orderkey % 7 = 0 THEN 'refers' ELSE '' END AS kind FROM orders, range(1, 10) t(n)),
+    c AS (SELECT k, min(page) FILTER (WHERE kind = 'opens') AS a FROM p GROUP BY 1), r AS (SELECT k, min(page) AS b FROM p JOIN c USING (k) WHERE kind = 'refers' AND page > a GROUP BY 1),
+    f AS (SELECT k, a, b, coalesce(a, 1) AS x, coalesce(b - 1, 9) AS y FROM c LEFT JOIN r USING (k))
+    SELECT CAST(k AS VARCHAR) AS source, CASE WHEN y - x + 1 < 3 THEN 1 ELSE x END AS first, CASE WHEN y - x + 1 < 3 THEN 9 ELSE y END AS last, CASE WHEN y - x + 1 < 3 OR a IS NULL THEN 'full_document' WHEN b IS NOT NULL THEN 'chapter_1_to_references' ELSE 'chapter_1_to_end' END AS detection FROM f""",
+)
+def content_page_range(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("k")).distinct().withColumn("page", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(9).cast("long"))))
+    refers = ((F.col("page") == 8) & (F.col("k") % 3 == 0)) | ((F.col("page") == 4) & (F.col("k") % 7 == 0))
+    text = F.when((F.col("page") == 3) & (F.col("k") % 2 == 0), "Chương  I\nthe first things").when(refers, "Tài liệu tham khảo\n[1] a book").otherwise("a page of text")
+    return I.body_range(rows.select(F.col("k").cast("string").alias("source"), "page", text.alias("text")))
+
+
+@query(
+    "running_header_strip",
+    "WITH b AS (SELECT doc_id, list_transform(range(1, 7), lambda i: concat('line ', i, ' of ', doc_id, ' ', repeat('word ', 14), '.')) AS rows FROM documents) SELECT doc_id, md5(CASE WHEN doc_id % 4 IN (0, 1) THEN array_to_string(rows, chr(10)) WHEN doc_id % 4 = 2 THEN concat('Chương IV', chr(10), array_to_string(rows, chr(10))) ELSE concat('Chuomg IV: the end of it...', chr(10), rows[1]) END) AS text FROM b",
+)
+def running_header_strip(spark, d):
+    line = lambda i: F.concat(F.lit("line "), i, F.lit(" of "), "doc_id", F.lit(" "), F.repeat(F.lit("word "), F.lit(14)), F.lit("."))
+    rows = F.transform(F.sequence(F.lit(1), F.lit(6)), line)
+    body, k = F.array_join(rows, "\n"), F.col("doc_id") % 4
+    text = F.when(k == 0, F.concat(F.lit("Chuomg IV: the end of it...\n_______\n"), body)).when(k == 1, F.concat(F.lit("Lịch sử Việt Nam tập 12\n"), body)).when(k == 2, F.concat(F.lit("Chương IV\n"), body)).otherwise(F.concat(F.lit("Chuomg IV: the end of it...\n"), rows[0]))
+    return table(spark, d, "documents").select("doc_id", F.md5(I.without_running_header(text)).alias("text"))
 
 
 @query("text_distinct_words", f"SELECT item_id, array_to_string(list_sort(list_distinct({words_sql('text')})), ' ') AS words FROM benchmark")

@@ -162,6 +162,9 @@ def test_evaluation(spark, tmp_path):
 def test_models(spark):
     row = spark.createDataFrame([("a b a",), ("",)], "t string").select(M.embedding(F.col("t"), 16).alias("v")).collect()
     assert abs(sum(x * x for x in row[0].v) - 1) < 1e-6 and set(row[1].v) == {0.0}
+    texts = spark.createDataFrame([(1, "a b a é"), (2, ""), (3, None)], "doc_id long, text string")
+    one = {r.doc_id: r.v for r in texts.select("doc_id", M.embedding(F.col("text"), 16).alias("v")).collect()}
+    assert {r.doc_id: r.v for r in M.embedded(texts, 16).collect()} == one
     chunks = spark.createDataFrame([("c", "Ở Điện Biên Phủ, Bác Hồ nói")], "chunk_id string, text string")
     aliases = spark.createDataFrame([("LOCATION", "dien bien phu", "Điện Biên Phủ"), ("PERSON", "bac ho", "Hồ Chí Minh"), ("PERSON", "bac", "X Y")], "kind string, search_key string, canonical_name string")
     assert {r.name for r in M.known_names(chunks, aliases).collect()} == {"Điện Biên Phủ", "Hồ Chí Minh", "X Y"}
