@@ -5,7 +5,7 @@ from __future__ import annotations
 import sys
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,10 +27,27 @@ _ACCENTED, _PLAIN = _accent_table()
 QUERY_STOP = ["ai", "bao", "biet", "cac", "cho", "co", "cua", "duoc", "gi", "hay", "khi", "la", "minh", "mot", "nam", "nay", "nhung", "noi", "o", "the", "thi", "toi", "trong", "tu", "va", "ve"]
 RECORD_STOP = ["ai", "bao", "cac", "cho", "cua", "duoc", "gi", "hay", "khi", "la", "nao", "noi", "o", "ra", "tai", "the", "thoi", "vao", "va", "ve", "vay"]
 QUERY_WORD = "[0-9A-Za-zÀ-ỹĐđ_-]+"
+# How a section begins, what is no name of an entity, quantities, and how names of a type begin (folded, but for places).
+SECTION = r"(?iu)^(?:chương|phần|mục|tiết|[IVXLC]+[.)]|[0-9]+(?:\.[0-9]+)*[.)])\s*"
+NO_ENTITY = ["nhan dan", "nhan dan ta", "quan va dan ta", "chinh phu", "quan doi", "bo doi", "quan chung", "chien tranh", "cong san", "mien nam", "mien bac"]
+QUANTITY = r"^\d[\d\s.,/-]*(?:nguoi|quan|binh\s+si|chien\s+si|nam|thang|ngay)?$"
+LONE_YEAR = r"^(?:nam\s+)?(?:1[0-9]{3}|20[0-9]{2})$"
+TYPE_PREFIXES = {
+    "EVENT": ["hiep dinh ", "hiep nghi ", "hoi nghi ", "chien dich ", "tran ", "cuoc khoi nghia ", "khoi nghia ", "phong trao ", "cach mang ", "cuoc tong tien cong ", "tong tien cong "],
+    "DOCUMENT": ["sac lenh ", "nghi quyet ", "chi thi ", "tuyen ngon ", "bao cao ", "hien phap ", "dao luat ", "luat "],
+    "ORGANIZATION": ["dang ", "mat tran ", "quan doi ", "uy ban ", "chinh phu ", "bo tu lenh ", "bo chi huy ", "vien nghien cuu "],
+}
+PLACE_PREFIX = r"(?iu)^(?:tỉnh|thành\s+phố|huyện|sông|núi|đèo|đảo|quần\s+đảo|vĩ\s+tuyến|cứ\s+điểm)\s+"
+PERSON_TITLE = r"(?iu)^(?:chủ\s+tịch|đại\s+tướng|thượng\s+tướng|trung\s+tướng|thiếu\s+tướng|tướng|đồng\s+chí|nữ\s+tướng|bà|ông)\s+"
 # End of fixed values.
 _EDGES = " \t\n\r.,;:!?()[]{}\"'"
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with the value computed once however often a lambda looks at it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def without_accents(x: Column) -> Column:
     """Base letters for accented ones; texts of ASCII alone are left as they are."""
     ascii_only = F.octet_length(x) == F.char_length(x)
@@ -82,7 +99,7 @@ def heading(x: Column) -> Column:
     first = F.get(lines, F.lit(0))
     letters = F.regexp_count(first, F.lit(r"\p{L}"))
     upper = F.regexp_count(first, F.lit(r"\p{Lu}"))
-    marked = first.rlike(r"(?iu)^(chương|chapter|phần|part|mục|section|bài|[ivxlcdm]+\.|\d+(\.\d+)*\.?)\s")
+    marked = first.rlike(SECTION)
     fits = (F.size(lines) >= 2) & F.length(first).between(3, 120) & (word_count(first) <= 18) & ~first.rlike("[.,;?!]$")
     return F.when(fits & (marked | ((letters > 0) & (upper >= 0.65 * letters))), first).otherwise("")
 
@@ -100,9 +117,14 @@ def display_date(x: Column) -> Column:
 
 def facets(text: Column, taxonomy: dict[str, list[str]]) -> Column:
     """Names of facets, in the taxonomy's order, any of whose terms is part of the text's search key."""
-    key = fold_key(text)
-    hits = [F.when(_any(key, terms), F.lit(name)) for name, terms in taxonomy.items()]
-    return F.array_compact(F.array(*hits))
+    return once(fold_key(text), lambda key: F.array_compact(F.array(*[F.when(_any(key, terms), F.lit(name)) for name, terms in taxonomy.items()])))
+
+
+def facet_changes(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Per facet: how many rows (old array, new array) had it, have it, and differ in it: facet, old_n, new_n, changed."""
+    told = rows.select("old", "new", F.explode(F.array(*[F.lit(n) for n in names])).alias("facet"))
+    had, has = F.array_contains("old", F.col("facet")), F.array_contains("new", F.col("facet"))
+    return told.groupBy("facet").agg(F.count_if(had).alias("old_n"), F.count_if(has).alias("new_n"), F.count_if(had != has).alias("changed"))
 
 
 def _any(key: Column, terms: list[str]) -> Column:
@@ -114,9 +136,13 @@ def _any(key: Column, terms: list[str]) -> Column:
 
 def grams(tokens: Column, n: int) -> Column:
     """All runs of n tokens, joined by a blank."""
-    last = F.size(tokens) - n + 1
-    at = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+
+    def runs(t):
+        last = F.size(t) - n + 1
+        at = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.array_join(F.slice(t, i, n), " "))
+
+    return once(tokens, runs)
 
 
 def dice(a: Column, b: Column) -> Column:
@@ -134,22 +160,17 @@ def capped_search_terms(x: Column, stop: list[str] | None = None, most: int = 14
     return F.slice(F.array_distinct(kept), 1, most)
 
 
-def surface_is_name(x: Column, generic: list[str], prefixes: dict[str, list[str]]) -> Column:
-    """Whether a surface form may name an entity: not empty, generic, a quantity, a date or a year, and with a capital or a telling prefix."""
+def surface_is_name(x: Column, generic: list[str] | None = None, prefixes: dict[str, list[str]] | None = None, curated: Column | None = None) -> Column:
+    """Whether a surface form may name an entity: not empty, generic, a quantity, a date or a year, and curated, with a capital or telling its type."""
     name, key = clean_name(x), fold_key(x)
-    quantity = key.rlike(r"^\d[\d\s.,/-]*(nguoi|quan|nam|thang|ngay)?$")
-    year = key.rlike(r"^(nam )?(1[0-9]{3}|20[0-9]{2})$")
-    typed = inferred_type(x, prefixes) != ""
-    return (key != "") & ~key.isin(generic) & ~quantity & ~year & (name.rlike(r"\p{Lu}") | typed)
+    telling = (F.lit(False) if curated is None else F.coalesce(curated, F.lit(False))) | name.rlike(r"\p{Lu}") | (inferred_type(x, prefixes) != "")
+    return (key != "") & ~key.isin(NO_ENTITY if generic is None else generic) & ~key.rlike(QUANTITY) & ~key.rlike(LONE_YEAR) & telling
 
 
-def inferred_type(x: Column, prefixes: dict[str, list[str]]) -> Column:
-    """The first type one of whose prefixes begins the search key; else empty."""
+def inferred_type(x: Column, prefixes: dict[str, list[str]] | None = None) -> Column:
+    """LOCATION for names that begin as places do, else the first type one of whose prefixes begins the search key; else empty."""
     key = fold_key(x)
     out = F.lit("")
-    for kind, starts in reversed(prefixes.items()):
-        hit = F.lit(False)
-        for s in starts:
-            hit = hit | key.startswith(s)
-        out = F.when(hit, F.lit(kind)).otherwise(out)
-    return out
+    for kind, starts in reversed((TYPE_PREFIXES if prefixes is None else prefixes).items()):
+        out = F.when(F.exists(F.array(*[F.lit(s) for s in starts]), lambda s: key.startswith(s)), F.lit(kind)).otherwise(out)
+    return F.when(clean_name(x).rlike(PLACE_PREFIX), "LOCATION").otherwise(out)

@@ -100,6 +100,37 @@ def with_property(rows: DataFrame, id_col: str, row_id, name: str, value, protec
     return after, found[0][0]
 
 
+def with_edge_property(edges: DataFrame, edge_id, name: str, value, protected: set[str]) -> tuple[DataFrame, object]:
+    """As with_property(), for edges by their column edge_id; the type can't be edited."""
+    return with_property(edges, "edge_id", edge_id, name, value, protected | {"edge_id", "src", "dst", "type"})
+
+
+def without_edge(edges: DataFrame, edge_id) -> tuple[DataFrame, dict]:
+    """Edges without one, and that edge; KeyError where there is none."""
+    found = edges.where(F.col("edge_id") == edge_id).limit(1).collect()
+    if not found:
+        raise KeyError(edge_id)
+    return edges.where(~F.col("edge_id").eqNullSafe(F.lit(edge_id))), found[0].asDict()
+
+
+def set_prompt(config: DataFrame, text: str) -> DataFrame:
+    """Rows (text, updated_at) with a new prompt, which active_prompt() then finds; blank ones are refused."""
+    if not text.strip():
+        raise ValueError("a prompt has a text")
+    fresh = config.sparkSession.range(1).select(F.lit(text.strip()).alias("text"), F.current_timestamp().alias("updated_at"))
+    return config.select("text", "updated_at").unionByName(fresh)
+
+
+def write_audit(parts: dict[str, DataFrame], path: str) -> None:
+    """Each part of audit() as JSON lines under path, and path/counts with the number of rows of each."""
+    counts = None
+    for name, df in parts.items():
+        df.write.mode("overwrite").json(f"{path}/{name}")
+        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n")
+        counts = one if counts is None else counts.unionByName(one)
+    counts.coalesce(1).write.mode("overwrite").json(f"{path}/counts")
+
+
 def without_node(nodes: DataFrame, edges: DataFrame, node) -> tuple[DataFrame, DataFrame, int]:
     """Nodes and edges without a node and what hangs on it, and how many edges that were."""
     at = F.coalesce((F.col("src") == node) | (F.col("dst") == node), F.lit(False))

@@ -28,9 +28,75 @@ def migrated(edges: DataFrame) -> DataFrame:
     return edges.withColumn("raw_type", raw).withColumn("type", canonical_relation(F.col("type")))
 
 
-def search(nodes: DataFrame, text: str, limit: int = 100) -> DataFrame:
-    key = fold_key(F.lit(text))
-    return nodes.where(F.contains(fold_key(F.col("title")), key)).orderBy("title", "id").limit(max(1, min(limit, 100)))
+def search(nodes: DataFrame, text: str, limit: int = 100, label: str = "", labels: list[str] | None = None) -> DataFrame:
+    """Nodes (id, label, title, and aliases and search_keys where there are such columns) that a text is part of: title or an alias, whatever the case, or a search key, folded. By title and id.
+
+    label narrows to one label, which must be among the visible `labels`; an empty text finds all.
+    """
+    if label and labels is not None and label not in labels:
+        raise ValueError(f"not a visible label: {label}")
+    low, key = F.lower(F.lit(text.strip())), fold_key(F.lit(text))
+    hit = F.contains(F.lower(F.coalesce("title", "id")), low)
+    if "aliases" in nodes.columns:
+        hit = hit | F.exists(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.contains(F.lower(a), low))
+    if "search_keys" in nodes.columns:
+        hit = hit | F.exists(F.coalesce("search_keys", F.array().cast("array<string>")), lambda k: F.contains(k, key))
+    found = nodes if not text.strip() else nodes.where(hit)
+    found = found.where(F.col("label") == label) if label else found if labels is None else found.where(F.col("label").isin(labels))
+    return found.orderBy("title", "id").limit(max(1, min(limit, 100)))
+
+
+def relations_found(nodes: DataFrame, edges: DataFrame, text: str, kind: str = "", limit: int = 100) -> DataFrame:
+    """Edges (type, and raw_type where there is one) whose type, first type or either end's title holds a text, whatever the case: type, src, dst, source, target. By type and titles."""
+    low = F.lower(F.lit(text.strip()))
+    a, b = nodes.select(F.col("id").alias("src"), F.col("title").alias("source")), nodes.select(F.col("id").alias("dst"), F.col("title").alias("target"))
+    chosen = edges.where(F.col("type") == kind) if kind else edges
+    joined = chosen.join(a, "src").join(b, "dst")
+    said = [c for c in ("type", "raw_type", "source", "target") if c in joined.columns]
+    hit = F.exists(F.array(*[F.coalesce(c, F.lit("")) for c in said]), lambda x: F.contains(F.lower(x), low))
+    return joined.where(hit).orderBy("type", "source", "target", "src", "dst").limit(max(1, min(limit, 100))).select("type", "src", "dst", "source", "target")
+
+
+def structure(sources: DataFrame, pages: DataFrame, chunks: DataFrame, links: DataFrame, expected: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """links (src, dst, type) with those that were missing, and a report of every source: source_id, page_nodes, chunk_nodes, linked_pages, linked_chunks, repaired_pages, repaired_chunks, valid.
+
+    sources: (source_id); pages: (page_id, source_id); chunks: (chunk_id, source_id, page_id, page). A source has its pages, and a page its chunks; a chunk without a page_id belongs to
+    that of its page number, if there is one. A source is valid when all its pages and chunks are linked, and are as many as expected (source_id, pages, chunks).
+    """
+    own = chunks.select("chunk_id", "source_id", F.coalesce("page_id", F.concat("source_id", F.lit("-p"), "page")).alias("page_id"))
+    page_wanted = pages.join(sources, "source_id", "left_semi").select(F.col("source_id").alias("src"), F.col("page_id").alias("dst"), F.lit("HAS_PAGE").alias("type"), "source_id")
+    chunk_wanted = own.join(pages.select("page_id"), "page_id", "left_semi").select(F.col("page_id").alias("src"), F.col("chunk_id").alias("dst"), F.lit("HAS_CHUNK").alias("type"), "source_id")
+    linked_chunks = links.where("type = 'HAS_CHUNK'").select("dst").distinct()  # a chunk that hangs on any page isn't moved
+    page_missing = page_wanted.join(links, ["src", "dst", "type"], "left_anti")
+    chunk_missing = chunk_wanted.join(linked_chunks, "dst", "left_anti")
+    whole = links.select("src", "dst", "type").unionByName(page_missing.drop("source_id")).unionByName(chunk_missing.drop("source_id")).distinct()
+    count = lambda df, name, *by: df.groupBy("source_id").agg(F.count_distinct(*by).alias(name))
+    page_links = whole.where("type = 'HAS_PAGE'").select(F.col("src").alias("source_id"), F.col("dst").alias("page_id")).join(pages.select("page_id"), "page_id", "left_semi")
+    chunk_links = whole.where("type = 'HAS_CHUNK'").select(F.col("src").alias("page_id"), F.col("dst").alias("chunk_id")).join(page_links, "page_id")
+    parts = [count(pages, "page_nodes", "page_id"), count(chunks, "chunk_nodes", "chunk_id"), count(page_links, "linked_pages", "page_id"), count(chunk_links, "linked_chunks", "chunk_id"), count(page_missing, "repaired_pages", "dst"), count(chunk_missing, "repaired_chunks", "dst")]
+    report = sources.select("source_id").distinct()
+    for part in parts:
+        report = report.join(part, "source_id", "left")
+    report = report.fillna(0)
+    valid = (F.col("linked_pages") == F.col("page_nodes")) & (F.col("linked_chunks") == F.col("chunk_nodes"))
+    if expected is not None:
+        report = report.join(expected.select("source_id", F.col("pages").alias("__p"), F.col("chunks").alias("__c")), "source_id", "left")
+        valid = valid & F.coalesce(F.col("linked_pages") == F.col("__p"), F.lit(True)) & F.coalesce(F.col("linked_chunks") == F.col("__c"), F.lit(True))
+    return whole, report.withColumn("valid", valid).drop("__p", "__c")
+
+
+def source_chunks(chunks: DataFrame, mentions: DataFrame, report: DataFrame, page: int | None = None, spellings: list[str] | None = None, limit: int = 80) -> DataFrame:
+    """The first chunks (source_id, chunk_id, page, sequence, text) of each valid source with the names of their entities (mentions: chunk_id, name), an empty list without any.
+
+    page narrows to one page, spellings to texts that hold one of them, whatever the case. Names are put together before they are joined.
+    """
+    rows = chunks.join(report.where("valid").select("source_id"), "source_id", "left_semi")
+    rows = rows if page is None else rows.where(F.col("page") == page)
+    rows = rows if not spellings else rows.where(F.exists(F.array(*[F.lower(F.lit(x)) for x in spellings]), lambda x: F.contains(F.lower("text"), x)))
+    order = Window.partitionBy("source_id").orderBy("sequence", "chunk_id")
+    rows = rows.withColumn("at", F.row_number().over(order)).where(F.col("at") <= max(1, min(limit, 200)))
+    names = mentions.groupBy("chunk_id").agg(F.sort_array(F.collect_set("name")).alias("entities"))
+    return rows.join(names, "chunk_id", "left").withColumn("entities", F.coalesce("entities", F.array().cast("array<string>")))
 
 
 def neighbours(nodes: DataFrame, edges: DataFrame, cap: int = 12) -> DataFrame:

@@ -37,7 +37,7 @@ def every_pair(corpus: DataFrame, asked: DataFrame, on: str) -> DataFrame:
     parts = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     left = corpus.withColumn("__part", F.pmod(F.xxhash64(*corpus.columns), F.lit(parts))).withColumn("__block", every(blocks))
-    right = asked.withColumn("__block", F.pmod(F.xxhash64(*asked.columns), F.lit(blocks)).cast("int")).withColumn("__part", every(parts).cast("long"))
+    right = asked.withColumn("__block", F.pmod(F.xxhash64(*asked.columns), F.lit(blocks)).cast("int")).withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
     return left.join(right, [on, "__block", "__part"]).drop("__block", "__part")
 
 

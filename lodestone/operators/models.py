@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import collapsed, fold_key, grams, words
+from lodestone.functions.text import collapsed, fold_key, grams, once, words
 
 WIDTH = 64
 LONGEST_NAME = 5
@@ -18,7 +18,6 @@ def embedding(text: Column, width: int = WIDTH) -> Column:
     """Counts of hashed folded words in `width` places, scaled to length 1; a text without words has zeros. For questions; embedded() is for corpora."""
     places = F.transform(F.filter(F.split(fold_key(text), " "), lambda w: w != ""), lambda w: F.pmod(F.xxhash64(w), F.lit(width)))
     counts = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
-    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  what is bound to a variable is computed once
     norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
     both = once(counts, lambda c: F.struct(c.alias("c"), norm(c).alias("n")))
     return once(both, lambda s: F.transform(s["c"], lambda x: F.when(s["n"] > 0, x / s["n"]).otherwise(0.0).cast("float")))

@@ -191,6 +191,36 @@ def in_windows(records: DataFrame, windows: DataFrame, per_window: int) -> DataF
     return ranked(met, per_window, F.desc("score"), F.col("id"), by="window_id")
 
 
+def timeline_search(docs: DataFrame, windows: DataFrame, per_window: int, sources: DataFrame | None = None) -> DataFrame:
+    """For each window (window_id, question, start, end) the best documents (doc_id, text, y0, y1, source_id) by the question's words and the window's first, middle and last year: window_id, doc_id, score, rank.
+
+    Years that a document lacks are its source's (source_id, y0, y1), and else the window's own. One document may stand in several windows.
+    """
+    middle = F.floor((F.col("start") + F.col("end")) / 2)
+    asked = windows.select(F.col("window_id").alias("query_id"), F.concat_ws(" ", F.array_join(words(F.col("question")), " "), F.col("start").cast("string"), middle.cast("string"), F.col("end").cast("string")).alias("text"))
+    found = bm25(docs, asked, max(120, min(600, per_window * 45))).withColumnRenamed("query_id", "window_id").drop("rank")
+    dated = docs.select("doc_id", "y0", "y1", "source_id") if sources is not None else docs.select("doc_id", "y0", "y1")
+    if sources is not None:
+        dated = dated.join(sources.select("source_id", F.col("y0").alias("s0"), F.col("y1").alias("s1")), "source_id", "left").select("doc_id", F.coalesce("y0", "s0").alias("y0"), F.coalesce("y1", "s1").alias("y1"))
+    met = found.join(dated, "doc_id").join(small(windows.select("window_id", "start", "end")), "window_id")
+    hit = (F.coalesce("y0", "start") <= F.col("end")) & (F.coalesce("y1", "end") >= F.col("start"))
+    return ranked(met.where(hit).select("window_id", "doc_id", "score"), max(1, min(per_window, 8)), F.desc("score"), F.col("doc_id"), by="window_id")
+
+
+def corpora(*parts: tuple[str, DataFrame]) -> DataFrame:
+    """Candidates (query_id, doc_id, score, ...) of several corpora under one another, each with its name; columns that a corpus lacks are null."""
+    named = [df.withColumn("corpus", F.lit(name)) for name, df in parts]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
+
+
+def zipped(left: DataFrame, right: DataFrame, at: str = "at") -> DataFrame:
+    """Rows of both side by side by their number; reading fails where either side lacks one."""
+    both = left.withColumn("__l", F.lit(True)).join(right.withColumn("__r", F.lit(True)), at, "full")
+    whole = F.col("__l").isNotNull() & F.col("__r").isNotNull()
+    checked = F.when(whole, F.col(at)).otherwise(F.raise_error(F.concat(F.lit("one side lacks row "), F.col(at).cast("string"))))
+    return both.withColumn(at, checked).drop("__l", "__r")
+
+
 def temporal_gate(items: DataFrame) -> DataFrame:
     """Items with their plan's range (start, end): only those provably outside it go; undated ones stay."""
     overlap = (F.col("y0") <= F.col("end")) & (F.coalesce("y1", "y0") >= F.col("start"))

@@ -33,3 +33,31 @@ def reused(chunks: DataFrame, committed: DataFrame, checkpoint: DataFrame) -> Da
     out = chunks.join(a, "content_hash", "left").join(b, "content_hash", "left")
     origin = F.when(F.col("a").isNotNull(), "committed").when(F.col("b").isNotNull(), "checkpoint").otherwise("todo")
     return out.withColumn("result", F.coalesce("a", "b")).withColumn("origin", origin).drop("a", "b")
+
+
+#: What may follow on each state of a job.
+FOLLOWS = {"queued": ["running", "paused", "failed"], "running": ["stopping", "failed", "ready"], "stopping": ["paused", "failed"], "paused": ["queued"], "failed": ["queued"], "ready": ["queued"]}
+
+
+def job_outcomes(events: DataFrame) -> DataFrame:
+    """(job_id, state, refused) after a job's events (job_id, at, state), from `queued` on: one that may not follow on the state a job is in is refused and changes nothing.
+
+    A job has a few events; they are folded in order inside the row.
+    """
+    allowed = F.array(*[F.lit(f"{a}>{b}") for a, bs in FOLLOWS.items() for b in bs])
+    steps = F.sort_array(F.collect_list(F.struct("at", "state")))
+    ordered = events.groupBy("job_id").agg(F.transform(steps, lambda x: x["state"]).alias("states"))
+    start = F.struct(F.lit("queued").alias("state"), F.lit(0).alias("refused"))
+
+    def step(now, to):
+        fits = F.array_contains(allowed, F.concat(now["state"], F.lit(">"), to))
+        return F.struct(F.when(fits, to).otherwise(now["state"]).alias("state"), (now["refused"] + F.when(fits, 0).otherwise(1)).alias("refused"))
+
+    return ordered.select("job_id", F.aggregate("states", start, step).alias("end")).select("job_id", "end.state", "end.refused")
+
+
+def reuse_counts(items: DataFrame, known: DataFrame) -> DataFrame:
+    """Per run (run_id, content_hash): rows, distinct hashes, and how many of these are known (content_hash) and needn't be made again."""
+    once = items.groupBy("run_id", "content_hash").agg(F.count(F.lit(1)).alias("n"))
+    met = once.join(known.select("content_hash").distinct().withColumn("known", F.lit(True)), "content_hash", "left")
+    return met.groupBy("run_id").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("distinct_rows"), F.count_if(F.coalesce("known", F.lit(False))).alias("reused"))

@@ -37,7 +37,7 @@ def graph_migration(spark, d):
 
 @query("graph_search", f"WITH {_NODES} SELECT id, label, title FROM nodes WHERE contains({fold_sql('title')}, 'red') ORDER BY title, id LIMIT 100")
 def graph_search(spark, d):
-    return G.search(graph_nodes(spark, d), "Réd")
+    return G.search(graph_nodes(spark, d).withColumn("search_keys", F.array(X.fold_key(F.col("title")))), "Réd").select("id", "label", "title")
 
 
 @query("graph_neighbours", f"WITH {_EDGES}, {_BOTH}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY type, other, direction) AS n FROM both_ways) SELECT id, other, type, direction, CAST(n AS INTEGER) AS at FROM r WHERE n <= 12")
@@ -47,18 +47,60 @@ def graph_neighbours(spark, d):
 
 @query(
     "graph_relation_search",
-    f"WITH {_NODES}, {_EDGES} SELECT e.type, a.title AS source, b.title AS target FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst WHERE contains({fold_sql('e.type')}, 'dien ra') OR contains({fold_sql('b.title')}, 'europe')",
+    f"WITH {_NODES}, {_EDGES} SELECT e.type, a.title AS source, b.title AS target FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst WHERE contains(lower(e.type), 'diễn ra') OR contains(lower(a.title), 'diễn ra') OR contains(lower(b.title), 'diễn ra') ORDER BY e.type, a.title, b.title, e.src, e.dst LIMIT 100",
 )
 def graph_relation_search(spark, d):
-    nodes, edges = graph_nodes(spark, d), graph_edges(spark, d)
-    a, b = nodes.select(F.col("id").alias("src"), F.col("title").alias("source")), nodes.select(F.col("id").alias("dst"), F.col("title").alias("target"))
-    joined = edges.join(a, "src").join(b, "dst")
-    return joined.where(F.contains(X.fold_key(F.col("type")), F.lit("dien ra")) | F.contains(X.fold_key(F.col("target")), F.lit("europe"))).select("type", "source", "target")
+    return G.relations_found(graph_nodes(spark, d), graph_edges(spark, d), " diễn RA").select("type", "source", "target")
 
 
-@query("graph_orphans", f"WITH {_NODES}, {_EDGES} SELECT id, label FROM nodes WHERE id NOT IN (SELECT src FROM edges) AND id NOT IN (SELECT dst FROM edges)")
+_STRUCTURE = """c AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS s, l_linenumber AS p, l_partkey AS k FROM lineitem),
+    r AS (SELECT s, count(DISTINCT p) AS pages, count(*) AS chunks, count(DISTINCT CASE WHEN p % 4 = 0 THEN p END) AS repaired_pages, count(*) FILTER (WHERE k % 10 = 0) AS repaired_chunks FROM c GROUP BY 1),
+    o AS (SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS source_id, o_orderkey % 50 = 0 AS told FROM orders)"""
+
+
+def knowledge(spark, d):
+    """Orders as sources, lines as pages and their parts as chunks; every fourth page and each tenth part lacks its link, and every fiftieth order should have 99 pages."""
+    sources = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("source_id")).distinct()
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("source_id"), F.col("l_linenumber").alias("page"), "l_partkey", "l_returnflag").dropDuplicates(["source_id", "page", "l_partkey"])
+    page_id, chunk_id = F.concat("source_id", F.lit("-p"), "page"), F.concat("source_id", F.lit("-p"), "page", F.lit("-c"), "l_partkey")
+    chunks = rows.select(chunk_id.alias("chunk_id"), "source_id", F.when(F.col("l_partkey") % 2 == 0, page_id).alias("page_id"), "page", "l_partkey", F.col("l_partkey").alias("sequence"), F.concat(F.lit("Text of part "), "l_partkey").alias("text"))
+    pages = rows.select(page_id.alias("page_id"), "source_id", "page").distinct()
+    links = pages.where("page % 4 <> 0").select(F.col("source_id").alias("src"), F.col("page_id").alias("dst"), F.lit("HAS_PAGE").alias("type"))
+    links = links.unionByName(rows.where("l_partkey % 10 <> 0").select(page_id.alias("src"), chunk_id.alias("dst"), F.lit("HAS_CHUNK").alias("type")))
+    expected = sources.where("source_id % 50 = 0").select("source_id", F.lit(99).alias("pages"), F.lit(None).cast("long").alias("chunks"))
+    return sources, pages, chunks, links, expected
+
+
+@query(
+    "structure_verify",
+    f"""WITH {_STRUCTURE} SELECT source_id, coalesce(pages, 0) AS page_nodes, coalesce(chunks, 0) AS chunk_nodes, coalesce(pages, 0) AS linked_pages, coalesce(chunks, 0) AS linked_chunks, coalesce(repaired_pages, 0) AS repaired_pages, coalesce(repaired_chunks, 0) AS repaired_chunks, NOT told AS valid
+    FROM o LEFT JOIN r ON s = source_id""",
+)
+def structure_verify(spark, d):
+    return G.structure(*knowledge(spark, d))[1]
+
+
+@query(
+    "source_chunk_detail",
+    f"""WITH {_STRUCTURE}, f AS (SELECT s AS source_id, p AS page, k, row_number() OVER (PARTITION BY s ORDER BY k, concat(s, '-p', p, '-c', k)) AS nth FROM c JOIN o ON s = source_id WHERE NOT told AND contains(CAST(k AS VARCHAR), '1'))
+    SELECT source_id, CAST(page AS BIGINT) AS page, k AS sequence, CASE WHEN k % 3 = 0 THEN coalesce(p_name, '') ELSE '' END AS entities FROM f LEFT JOIN (SELECT p_partkey, min(p_name) AS p_name FROM part GROUP BY 1) ON p_partkey = k WHERE nth <= 3""",
+)
+def source_chunk_detail(spark, d):
+    """The first chunks of each valid source that hold "Part 1" somewhere; only every third part is mentioned by name."""
+    sources, pages, chunks, links, expected = knowledge(spark, d)
+    report = G.structure(sources, pages, chunks, links, expected)[1]
+    named = table(spark, d, "part").groupBy("p_partkey").agg(F.min("p_name").alias("name"))
+    mentions = chunks.where("l_partkey % 3 = 0").join(named, F.col("l_partkey") == F.col("p_partkey")).select("chunk_id", "name")
+    found = G.source_chunks(chunks.withColumn("text", F.concat(F.lit("No. "), "l_partkey")), mentions, report, spellings=["1"], limit=3)
+    return found.select("source_id", F.col("page").cast("long").alias("page"), F.col("sequence"), F.array_join("entities", "|").alias("entities"))
+
+
+@query("graph_orphans", "SELECT concat('c', c_custkey) AS id, 'customer' AS label FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')")
 def graph_orphans(spark, d):
-    return G.orphans(graph_nodes(spark, d), graph_edges(spark, d)).select("id", "label")
+    """Customers at no edge, edges being their urgent filled orders."""
+    urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'")
+    edges = urgent.select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("o"), "o_orderkey").alias("dst"), F.lit("ORDERED").alias("type"))
+    return G.orphans(graph_nodes(spark, d).where("label = 'customer'"), edges).select("id", "label")
 
 
 @query("graph_missing_links", "SELECT concat('n', c_nationkey) AS src, concat('c', c_custkey) AS dst, 'HAS_CHUNK' AS type FROM customer WHERE c_custkey % 10 = 0")

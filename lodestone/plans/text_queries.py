@@ -70,7 +70,7 @@ def text_metadata(spark, d):
     f AS (SELECT doc_id, lines[1] AS s, len(lines) AS n FROM l),
     m AS (SELECT *, len(regexp_extract_all(s, '\\p{L}')) AS letters, len(regexp_extract_all(s, '\\p{Lu}')) AS uppers FROM f)
     SELECT doc_id, CASE WHEN n >= 2 AND length(s) BETWEEN 3 AND 120 AND len(regexp_extract_all(s, '\\S+')) <= 18 AND NOT regexp_matches(s, '[.,;?!]$')
-      AND (regexp_matches(s, '(?i)^(chương|chapter|phần|part|mục|section|bài|[ivxlcdm]+\\.|\\d+(\\.\\d+)*\\.?)\\s') OR (letters > 0 AND uppers >= 0.65 * letters)) THEN s ELSE '' END AS heading FROM m""",
+      AND (regexp_matches(s, '(?i)^(?:chương|phần|mục|tiết|[IVXLC]+[.)]|[0-9]+(?:\\.[0-9]+)*[.)])\\s*') OR (letters > 0 AND uppers >= 0.65 * letters)) THEN s ELSE '' END AS heading FROM m""",
 )
 def text_heading(spark, d):
     return table(spark, d, "documents").select("doc_id", X.heading(F.col("text")).alias("heading"))
@@ -211,7 +211,7 @@ _STARTS = " ".join("WHEN " + " OR ".join(f"starts_with(k, '{p}')" for p in ps) +
     "entity_surfaces",
     f"""WITH e AS (SELECT p_name AS name FROM part UNION SELECT c_name FROM customer UNION SELECT n_name FROM nation UNION SELECT CAST(o_totalprice AS VARCHAR) FROM orders UNION SELECT CAST(year(o_orderdate) AS VARCHAR) FROM orders),
     k AS (SELECT name, {fold_sql('name')} AS k FROM e), t AS (SELECT *, CASE {_STARTS} ELSE '' END AS inferred FROM k)
-    SELECT name, inferred, (k <> '' AND k NOT IN ('nation', 'order', 'part') AND NOT regexp_matches(k, '^[0-9][0-9 .,/-]*(nguoi|quan|nam|thang|ngay)?$') AND NOT regexp_matches(k, '^(nam )?(1[0-9]{{3}}|20[0-9]{{2}})$')
+    SELECT name, inferred, (k <> '' AND k NOT IN ('nation', 'order', 'part') AND NOT regexp_matches(k, '^[0-9][0-9 .,/-]*(nguoi|quan|binh si|chien si|nam|thang|ngay)?$') AND NOT regexp_matches(k, '^(nam )?(1[0-9]{{3}}|20[0-9]{{2}})$')
       AND (regexp_matches(name, '[A-Z]') OR inferred <> '')) AS valid FROM t""",
 )
 def entity_surfaces(spark, d):

@@ -66,7 +66,7 @@ def test_content_suggestions_of_all_questions(spark, folder):
     for i, text in QUESTIONS:
         asked = set(text.split())
         shared = {p: round(2 * len(t & asked) / (len(t) + len(asked)), 6) for p, _, _ in PAGES for t in [{f"amber{p % 4}", f"kettle{p % 3}", "page"}]}
-        for n, p in enumerate(sorted(shared, key=lambda p: (-shared[p], p))[:3]):
+        for n, p in enumerate(sorted((p for p in shared if shared[p]), key=lambda p: (-shared[p], p))[:3]):
             want[i, p] = (shared[p], n + 1)
     got = QUERIES["content_suggestions"](spark, folder(benchmark=(BENCHMARK, QUESTIONS), pages=(PAGE, PAGES))).collect()
     assert {(r.item_id, r.page_id): (r.dice, r["rank"]) for r in got} == want
