@@ -33,19 +33,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Computed once into the shared folder: later reads don't depend on any executor or on the plan above."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: How tables are written where the shared folder is a mounted one: without Hadoop's file of checksums beside each file and, above all, without the helper process
+#: that its local file system starts, twice a file, to set permissions. Other file systems take no notice.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """As settled(), for wide rows: a compressed columnar table in the shared folder, read again."""
+    """A compressed columnar table in the shared folder, written once and read again: later reads don't depend on any executor or on the plan above."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**PLAIN_FILES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """As stored(), for rows of few bytes."""
+    return stored(df, "settled")
+
+
 _shipped: set[str] = set()
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import new_path, settled
+from lodestone.llm.common import PLAIN_FILES, new_path, settled
 
 SHARDS = 24
 SEED = 20_240_229
@@ -87,7 +87,7 @@ def write_shards(df: DataFrame, path: str, shards: int = SHARDS, seed: int = SEE
     shard = F.expr(f"cast(__place * {shards} div {max(1, n)} as int)")  # whole numbers: a quotient in floating point may be one too small
     slot = F.expr(f"__place - (cast(__place * {shards} div {max(1, n)} as bigint) * {n} + {shards - 1}) div {shards}")
     flat = placed.select(shard.alias("shard"), slot.cast("long").alias("slot"), *[F.col(f"`{c}`") for c in names])
-    flat.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path, compression="zstd")
+    flat.sortWithinPartitions("shard", "slot").write.options(**PLAIN_FILES).partitionBy("shard").parquet(path, compression="zstd")
 
 
 def sharded(df: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import mapped, new_path
+from lodestone.llm.common import PLAIN_FILES, mapped, new_path
 
 FILE_IDS = 4 << 20
 FILE_SCHEMA = "part int, number int, first long, n_docs long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
@@ -67,7 +67,7 @@ def write_tokens(df: DataFrame, path: str, vocabulary: str, id_col: str = "doc_i
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, "doc_id", "th").sortWithinPartitions("doc_id", "th", "text").select("doc_id", "text")
-    mapped(ordered, _encoder(vocabulary), FILE_SCHEMA).write.parquet(path)
+    mapped(ordered, _encoder(vocabulary), FILE_SCHEMA).write.options(**PLAIN_FILES).parquet(path)
 
 
 def _decoder(batches):
