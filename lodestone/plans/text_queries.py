@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import facets as D
 from lodestone.functions import text as X
 from lodestone.functions.ontology import canonical_relation, canonical_relation_sql
 from lodestone.operators import ingest as I
@@ -246,15 +247,28 @@ def display_dates(spark, d):
     return table(spark, d, "orders").select("o_orderkey", X.display_date(iso).alias("shown"), F.get(X.years(iso), F.lit(0)).alias("year"))
 
 
-@query(
-    "question_domain",
-    f"""SELECT item_id, CASE WHEN contains(k, 'tion') AND contains(k, 'the ') THEN 'economic_policy' WHEN contains(k, 'st') THEN 'military_strategy' WHEN contains(k, 'ou') THEN 'diplomacy' ELSE 'historical_event' END AS domain
-    FROM (SELECT item_id, {fold_sql('text')} AS k FROM benchmark)""",
-)
+#: A marker of each domain in turn, and two of which the first domain counts, before the questions' texts.
+_MARKED = [*(words[i % len(words)] for i, words in enumerate(D.DOMAIN_MARKERS.values())), "", "nhà Lê và Hiệp định"]
+_DOMAIN = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(k, '{w}')" for w in words) + f" THEN '{name}'" for name, words in D.DOMAIN_MARKERS.items()) + " ELSE 'historical_event' END"
+_ASKED = f"(SELECT item_id, {fold_sql('concat([' + ', '.join(repr(m) for m in _MARKED) + f'][1 + item_id % {len(_MARKED)}], chr(32), text)')} AS k FROM benchmark)"
+_FACETS_OF = lambda table: "CASE d " + " ".join(f"WHEN '{n}' THEN '{','.join(fs)}'" for n, fs in table.items()) + f" ELSE '{','.join(table['historical_event'])}' END"
+_EVOLVING = {n: list(dict.fromkeys(D.EVOLVING_CORE + fs)) for n, fs in D.EVOLVING.items()}
+
+
+def _marked(spark, d):
+    marker = F.get(F.array(*[F.lit(m) for m in _MARKED]), (F.col("item_id") % len(_MARKED)).cast("int"))
+    return table(spark, d, "benchmark").select("item_id", F.concat(marker, F.lit(" "), "text").alias("text"))
+
+
+@query("question_domain", f"SELECT item_id, {_DOMAIN} AS domain FROM {_ASKED}")
 def question_domain(spark, d):
-    k = X.fold_key(F.col("text"))
-    domain = F.when(F.contains(k, F.lit("tion")) & F.contains(k, F.lit("the ")), "economic_policy").when(F.contains(k, F.lit("st")), "military_strategy").when(F.contains(k, F.lit("ou")), "diplomacy").otherwise("historical_event")
-    return table(spark, d, "benchmark").select("item_id", domain.alias("domain"))
+    return _marked(spark, d).select("item_id", D.question_domain(F.col("text")).alias("domain"))
+
+
+@query("facet_domain_lists", f"SELECT item_id, {_FACETS_OF(D.COMPARED)} AS compared, {_FACETS_OF(_EVOLVING)} AS evolving FROM (SELECT item_id, {_DOMAIN} AS d FROM {_ASKED})")
+def facet_domain_lists(spark, d):
+    rows = _marked(spark, d).select("item_id", D.question_domain(F.col("text")).alias("domain"))
+    return rows.select("item_id", F.array_join(D.comparison_facets(F.col("domain")), ",").alias("compared"), F.array_join(D.evolution_facets(F.col("domain")), ",").alias("evolving"))
 
 
 @query(
