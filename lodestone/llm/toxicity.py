@@ -137,7 +137,7 @@ class Restorer:
     #: A letter or sign by itself, which may be one of a word whose letters are set apart.
     ALONE = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!])(?![^\W_])")
     PLAIN, DISGUISED, APART = range(3)
-    MOST = 60_000
+    MOST = 150_000
 
     def __init__(self, model: np.ndarray):
         self.model, self.known, self.kinds = model, {}, {}
