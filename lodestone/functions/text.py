@@ -95,13 +95,13 @@ def years(x: Column) -> Column:
 
 def heading(x: Column) -> Column:
     """The first line that isn't blank, where it reads like a heading of the lines below; else empty."""
-    lines = F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), "\n"), collapsed), lambda s: s != "")
-    first = F.get(lines, F.lit(0))
-    letters = F.regexp_count(first, F.lit(r"\p{L}"))
-    upper = F.regexp_count(first, F.lit(r"\p{Lu}"))
-    marked = first.rlike(SECTION)
-    fits = (F.size(lines) >= 2) & F.length(first).between(3, 120) & (word_count(first) <= 18) & ~first.rlike("[.,;?!]$")
-    return F.when(fits & (marked | ((letters > 0) & (upper >= 0.65 * letters))), first).otherwise("")
+    def told(found):
+        first = F.get(found, F.lit(0))
+        letters, upper = F.regexp_count(first, F.lit(r"\p{L}")), F.regexp_count(first, F.lit(r"\p{Lu}"))
+        fits = (F.size(found) >= 2) & F.length(first).between(3, 120) & (word_count(first) <= 18) & ~first.rlike("[.,;?!]$")
+        return F.when(fits & (first.rlike(SECTION) | ((letters > 0) & (upper >= 0.65 * letters))), first).otherwise("")
+
+    return once(F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), "\n"), collapsed), lambda s: s != ""), told)
 
 
 def canonical_id(kind: Column, name: Column) -> Column:
