@@ -97,7 +97,9 @@ def published_record_text(spark, d):
     more = F.array(F.struct(F.lit(None).cast("struct<content:string>").alias("diadiem"), F.lit("line two").alias("detail")))
     content = F.struct(F.concat(steps, more).alias("acts"), F.array(F.lit("x.png")).alias("images"), F.lit("").alias("warCause"))
     record = F.struct(F.concat(F.lit("o"), key).alias("id"), F.lit("published").alias("status"), F.concat(F.lit("Order "), key).alias("title"), F.concat(F.lit("state "), "o_orderstatus", F.lit(" .")).alias("summary"), F.date_format("o_orderdate", "yyyy-MM-dd'T'00:00:00'Z'").alias("startDate"), content.alias("content"), (key % 1000).alias("sortOrder"))
-    rows = table(spark, d, "orders").select(F.lit("periods/p/events.json").alias("path"), F.parse_json(F.to_json(record)).alias("record"))
+    # a record costs far more than the bytes of its order, so orders are dealt over all tasks first
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
+    rows = orders.select(F.lit("periods/p/events.json").alias("path"), F.parse_json(F.to_json(record)).alias("record"))
     return record_rows(rows).select("id", "heading", "sequence", "year_start", "text")
 
 

@@ -1,6 +1,9 @@
 """Resolution of names, structure of sources, search, timelines, unions and edits of edges, on small cases."""
 
+import json
+
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.operators import admin as A
 from lodestone.operators import graph as G
@@ -8,6 +11,7 @@ from lodestone.operators import ingest as I
 from lodestone.operators import joins as J
 from lodestone.operators import retrieval as R
 from lodestone.operators import state as S
+from lodestone.sources.records import record_rows
 
 REGISTRY = "ord int, kind string, canonical_name string, aliases array<string>, forced boolean, year_start int, year_end int"
 
@@ -154,3 +158,11 @@ def test_reuse(spark):
     items = spark.createDataFrame([("r", "a"), ("r", "a"), ("r", "b"), ("t", "c")], "run_id string, content_hash string")
     got = {r.run_id: (r.rows, r.distinct_rows, r.reused) for r in S.reuse_counts(items, spark.createDataFrame([("a",), ("a",)], "content_hash string")).collect()}
     assert got == {"r": (3, 2, 1), "t": (1, 1, 0)}
+
+
+def test_records_are_read_at_any_depth_without_a_shuffle(spark):
+    deep = {"id": "a", "status": "published", "title": "T", "content": {"b": {"c": [1, {"d [{": [[{"detail": 'say "[{" \\\\'}], None, "end"]}], "images": [{"detail": "no"}]}, "a": ["x", "", "x"]}}
+    rows = spark.createDataFrame([("periods/p/events.json", json.dumps(deep))] * 2, "path string, json string").select("path", F.parse_json("json").alias("record"))
+    found = record_rows(rows)
+    assert [r.text.split("\n") for r in found.collect()] == [["Bản ghi sự kiện: T.", "Sự kiện: T", "x", "1", 'Chi tiết: say "[{" \\\\', "end"]] * 2
+    assert "Exchange" not in found._jdf.queryExecution().toString()
