@@ -166,3 +166,16 @@ def test_records_are_read_at_any_depth_without_a_shuffle(spark):
     found = record_rows(rows)
     assert [r.text.split("\n") for r in found.collect()] == [["Bản ghi sự kiện: T.", "Sự kiện: T", "x", "1", 'Chi tiết: say "[{" \\\\', "end"]] * 2
     assert "Exchange" not in found._jdf.queryExecution().toString()
+
+
+def test_documents_are_scored_where_they_are_read(spark, monkeypatch):
+    texts = ["red fort red", "red", "blue fort of stone", "", None, "of of of stone", "Réd FORT!", "a b c"] + ["red fort"] * 30
+    docs = spark.createDataFrame([(100 - i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    asked = spark.createDataFrame([("x", "red fort"), ("y", "stone of nothing"), ("z", "absent")], "query_id string, text string")
+    rows = lambda: sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in R.bm25(docs, asked, 4).collect())
+    monkeypatch.setattr(R, "MOST_FOUND", 5)
+    got, plan = rows(), R.bm25(docs, asked, 4)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "SortMergeJoin" not in plan
+    monkeypatch.setattr(R, "MOST_CELLS", 0)
+    assert got == rows() and len(got) == 6
+
