@@ -179,3 +179,10 @@ def test_documents_are_scored_where_they_are_read(spark, monkeypatch):
     monkeypatch.setattr(R, "MOST_CELLS", 0)
     assert got == rows() and len(got) == 6
 
+
+def test_a_key_sends_only_its_first_rows_to_questions(spark):
+    entities = spark.createDataFrame([(i, "k") for i in range(500)] * 2, "doc_id long, search_key string")
+    wanted = spark.createDataFrame([(q, "k") for q in range(20)], "query_id long, search_key string")
+    found = R.key_hits(entities, wanted, 3)
+    assert {(r.query_id, r["rank"], r.doc_id) for r in found.collect()} == {(q, n + 1, n) for q in range(20) for n in range(3)}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("row_number") == 4  # each with its limit before the shuffle
