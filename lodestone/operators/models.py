@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import collapsed, fold_key, grams, once, words
+from lodestone.operators.joins import is_small
 
 WIDTH = 64
 LONGEST_NAME = 5
@@ -33,10 +34,22 @@ def embedded(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def known_names(chunks: DataFrame, aliases: DataFrame) -> DataFrame:
     """Findings (chunk_id, name, kind) of alias keys (kind, search_key, canonical_name) among runs of up to LONGEST_NAME words; an equi-join, so names are never tried one by one."""
-    tokens = F.split(fold_key(F.col("text")), " ")
-    runs = F.array_distinct(F.flatten(F.array(*[grams(F.col("w"), n) for n in range(1, LONGEST_NAME + 1)])))
-    spread = chunks.select("chunk_id", tokens.alias("w")).select("chunk_id", F.explode(runs).alias("search_key"))
-    return spread.join(aliases.select("kind", "search_key", "canonical_name"), "search_key").select("chunk_id", F.col("canonical_name").alias("name"), "kind").distinct()
+    keys = aliases.select("kind", "search_key", "canonical_name")
+    spread = chunks.select("chunk_id", F.split(fold_key(F.col("text")), " ").alias("w"))
+    if is_small(keys):  # runs are put together only where a name may begin, and only those that are names leave a chunk
+        names = sorted({r["search_key"] for r in keys.select("search_key").distinct().collect() if r["search_key"] is not None})
+        firsts: dict[int, set[str]] = {}
+        for name in names:
+            firsts.setdefault(len(name.split(" ")), set()).add(name.split(" ")[0])
+        at = lambda n: F.filter(F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)), lambda i: F.element_at("w", i).isin(sorted(firsts[n])))
+        run = lambda n: F.coalesce(F.transform(at(n), lambda i: F.array_join(F.slice("w", i, n), " ")), F.array().cast("array<string>"))
+        sizes = [n for n in sorted(firsts) if n <= LONGEST_NAME]
+        found = F.filter(F.array_distinct(F.flatten(F.array(*map(run, sizes)))), lambda x: x.isin(names)) if sizes else F.array().cast("array<string>")
+        met = spread.select("chunk_id", F.explode(found).alias("search_key")).join(F.broadcast(keys), "search_key")
+    else:
+        runs = F.array_distinct(F.flatten(F.array(*[grams(F.col("w"), n) for n in range(1, LONGEST_NAME + 1)])))
+        met = spread.select("chunk_id", F.explode(runs).alias("search_key")).join(keys, "search_key")
+    return met.select("chunk_id", F.col("canonical_name").alias("name"), "kind").distinct()
 
 
 def lexical_selection(requirements: DataFrame, candidates: DataFrame, most: int = 3) -> DataFrame:

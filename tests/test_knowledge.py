@@ -9,6 +9,7 @@ from lodestone.operators import admin as A
 from lodestone.operators import graph as G
 from lodestone.operators import ingest as I
 from lodestone.operators import joins as J
+from lodestone.operators import models as M
 from lodestone.operators import retrieval as R
 from lodestone.operators import state as S
 from lodestone.sources.records import record_rows
@@ -186,3 +187,11 @@ def test_a_key_sends_only_its_first_rows_to_questions(spark):
     found = R.key_hits(entities, wanted, 3)
     assert {(r.query_id, r["rank"], r.doc_id) for r in found.collect()} == {(q, n + 1, n) for q in range(20) for n in range(3)}
     assert found._jdf.queryExecution().optimizedPlan().toString().count("row_number") == 4  # each with its limit before the shuffle
+
+
+def test_names_alone_leave_a_chunk(spark):
+    chunks = spark.createDataFrame([(1, "the red fort of the red fort"), (2, "red"), (3, None), (4, "a b c d e f")], "chunk_id long, text string")
+    aliases = spark.createDataFrame([("N", "red fort", "Fort"), ("N", "the red", "Red"), ("M", "red fort", "Fort"), ("N", "b c d e f", "five"), ("N", "a b c d e f", "six"), ("N", "red", "Red")], "kind string, search_key string, canonical_name string")
+    found = M.known_names(chunks, aliases)
+    assert {(r.chunk_id, r.name, r.kind) for r in found.collect()} == {(1, "Fort", "N"), (1, "Fort", "M"), (1, "Red", "N"), (2, "Red", "N"), (4, "five", "N")} and found.count() == 5
+    assert "SortMergeJoin" not in found._jdf.queryExecution().toString()
