@@ -127,7 +127,9 @@ def footnote_strip(spark, d):
     SELECT CAST(k AS VARCHAR) AS source, CASE WHEN y - x + 1 < 3 THEN 1 ELSE x END AS first, CASE WHEN y - x + 1 < 3 THEN 9 ELSE y END AS last, CASE WHEN y - x + 1 < 3 OR a IS NULL THEN 'full_document' WHEN b IS NOT NULL THEN 'chapter_1_to_references' ELSE 'chapter_1_to_end' END AS detection FROM f""",
 )
 def content_page_range(spark, d):
-    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("k")).distinct().withColumn("page", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(9).cast("long"))))
+    # keys are few bytes and their pages are work: they stay dealt over all tasks
+    keys = table(spark, d, "orders").select(F.col("o_orderkey").alias("k")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k").distinct()
+    rows = keys.withColumn("page", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(9).cast("long"))))
     refers = ((F.col("page") == 8) & (F.col("k") % 3 == 0)) | ((F.col("page") == 4) & (F.col("k") % 7 == 0))
     text = F.when((F.col("page") == 3) & (F.col("k") % 2 == 0), "Chương  I\nthe first things").when(refers, "Tài liệu tham khảo\n[1] a book").otherwise("a page of text")
     return I.body_range(rows.select(F.col("k").cast("string").alias("source"), "page", text.alias("text")))
