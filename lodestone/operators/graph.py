@@ -100,12 +100,12 @@ def source_chunks(chunks: DataFrame, mentions: DataFrame, report: DataFrame, pag
 
 
 def neighbours(nodes: DataFrame, edges: DataFrame, cap: int = 12) -> DataFrame:
-    """(id, other, type, direction) of edges at the given nodes in either direction, at most cap a node by (type, other, direction)."""
-    ids = nodes.select("id")
-    out = edges.join(ids, edges["src"] == ids["id"]).select("id", F.col("dst").alias("other"), "type", F.lit("out").alias("direction"))
-    into = edges.join(ids, edges["dst"] == ids["id"]).select("id", F.col("src").alias("other"), "type", F.lit("in").alias("direction"))
+    """(id, other, type, direction) of edges at the given nodes in either direction, at most cap a node by (type, other, direction). Edges are read once, and meet the nodes when each end has its first cap."""
+    way = lambda at, other, name: F.struct(F.col(at).alias("id"), F.col(other).alias("other"), "type", F.lit(name).alias("direction"))
+    both = edges.select(F.explode(F.array(way("src", "dst", "out"), way("dst", "src", "in"))).alias("e")).select("e.*").where("id IS NOT NULL")
     order = Window.partitionBy("id").orderBy("type", "other", "direction")
-    return out.unionByName(into).withColumn("at", F.row_number().over(order)).where(F.col("at") <= cap)
+    first = both.withColumn("at", F.row_number().over(order)).where(F.col("at") <= cap)
+    return first.join(nodes.select("id").distinct(), "id", "left_semi")
 
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -195,3 +195,13 @@ def test_names_alone_leave_a_chunk(spark):
     found = M.known_names(chunks, aliases)
     assert {(r.chunk_id, r.name, r.kind) for r in found.collect()} == {(1, "Fort", "N"), (1, "Fort", "M"), (1, "Red", "N"), (2, "Red", "N"), (4, "five", "N")} and found.count() == 5
     assert "SortMergeJoin" not in found._jdf.queryExecution().toString()
+
+
+def test_neighbours_read_edges_once(spark):
+    nodes = spark.createDataFrame([("a",), ("b",)], "id string")
+    edges = spark.createDataFrame([("a", "b", "T"), ("b", "a", "S"), ("a", "a", "T"), ("c", "a", "R"), ("d", "c", "R"), (None, "b", "R")], "src string, dst string, type string")
+    found = G.neighbours(nodes, edges, 3)
+    assert {(r.id, r.other, r.type, r.direction, r["at"]) for r in found.collect()} == {
+        ("a", "c", "R", "in", 1), ("a", "b", "S", "in", 2), ("a", "a", "T", "in", 3), ("b", None, "R", "in", 1), ("b", "a", "S", "out", 2), ("b", "a", "T", "in", 3),
+    }
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD [src") == 1
