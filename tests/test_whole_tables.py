@@ -117,3 +117,22 @@ def test_detail_hits_of_whole_passages_in_all_documents(spark, folder):
             want[i, d] = (round(max(0.5, min(0.97, 0.70 + found[d] / 20)), 6), n + 1)
     got = QUERIES["detail_hits"](spark, folder(benchmark=(BENCHMARK, passages), documents=("doc_id long, text string", docs))).collect()
     assert {(r.ord, r.doc_id): (r.score, r["rank"]) for r in got} == want
+
+
+def test_published_search_shuffles_no_index_of_records(spark, folder):
+    d = folder(benchmark=(BENCHMARK, QUESTIONS), pages=(PAGE, [(p, "", f"<html><title>Amber{p % 4} page{p}</title><p>story of window{p} and kettle{p % 3}</p></html>") for p in range(400)]))
+    plan = QUERIES["published_search"](spark, d)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan and "MapInArrow" in plan
+
+
+def test_published_scores_are_the_same_by_rows_and_by_index(spark, monkeypatch):
+    from lodestone.operators import retrieval as R
+
+    names = ["rose", "rosehip", "hip", "iron", "ironwood", "wood", "oak", "oaken", "fern"]
+    records = [(i, " ".join(names[(i * j) % 9] for j in range(1, 4)), " ".join(names[(i + j * j) % 9] for j in range(i % 7)) or None, names[i % 9] if i % 3 else None) for i in range(60)]
+    records = spark.createDataFrame(records, "doc_id long, title string, body string, context string")
+    asked = spark.createDataFrame([(q, " ".join(names[(q + j * (1 + q % 3)) % 9] for j in range(2 + q % 7))) for q in range(20)], "query_id long, text string")
+    rows = lambda: sorted(map(tuple, R.published_top(records, asked, 6, []).collect()))
+    by_rows = rows()
+    monkeypatch.setattr(R, "MOST_CELLS", 0)
+    assert len(by_rows) > 60 and rows() == by_rows
