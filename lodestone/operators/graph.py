@@ -64,20 +64,13 @@ def structure(sources: DataFrame, pages: DataFrame, chunks: DataFrame, links: Da
     that of its page number, if there is one. A source is valid when all its pages and chunks are linked, and are as many as expected (source_id, pages, chunks).
     """
     own = chunks.select("chunk_id", "source_id", F.coalesce("page_id", F.concat("source_id", F.lit("-p"), "page")).alias("page_id"))
-    page_wanted = pages.join(sources, "source_id", "left_semi").select(F.col("source_id").alias("src"), F.col("page_id").alias("dst"), F.lit("HAS_PAGE").alias("type"), "source_id")
-    chunk_wanted = own.join(pages.select("page_id"), "page_id", "left_semi").select(F.col("page_id").alias("src"), F.col("chunk_id").alias("dst"), F.lit("HAS_CHUNK").alias("type"), "source_id")
+    page_wanted = pages.join(sources, "source_id", "left_semi").select(F.col("source_id").alias("src"), F.col("page_id").alias("dst"), F.lit("HAS_PAGE").alias("type"))
+    chunk_wanted = own.join(pages.select("page_id"), "page_id", "left_semi").select(F.col("page_id").alias("src"), F.col("chunk_id").alias("dst"), F.lit("HAS_CHUNK").alias("type"))
     linked_chunks = links.where("type = 'HAS_CHUNK'").select("dst").distinct()  # a chunk that hangs on any page isn't moved
     page_missing = page_wanted.join(links, ["src", "dst", "type"], "left_anti")
-    chunk_missing = chunk_wanted.join(linked_chunks, "dst", "left_anti")
-    whole = links.select("src", "dst", "type").unionByName(page_missing.drop("source_id")).unionByName(chunk_missing.drop("source_id")).distinct()
-    count = lambda df, name, *by: df.groupBy("source_id").agg(F.count_distinct(*by).alias(name))
-    page_links = whole.where("type = 'HAS_PAGE'").select(F.col("src").alias("source_id"), F.col("dst").alias("page_id")).join(pages.select("page_id"), "page_id", "left_semi")
-    chunk_links = whole.where("type = 'HAS_CHUNK'").select(F.col("src").alias("page_id"), F.col("dst").alias("chunk_id")).join(page_links, "page_id")
-    parts = [count(pages, "page_nodes", "page_id"), count(chunks, "chunk_nodes", "chunk_id"), count(page_links, "linked_pages", "page_id"), count(chunk_links, "linked_chunks", "chunk_id"), count(page_missing, "repaired_pages", "dst"), count(chunk_missing, "repaired_chunks", "dst")]
-    report = sources.select("source_id").distinct()
-    for part in parts:
-        report = report.join(part, "source_id", "left")
-    report = report.fillna(0)
+    chunk_missing = chunk_wanted.join(linked_chunks, "dst", "left_anti").select("src", "dst", "type")
+    whole = links.select("src", "dst", "type").unionByName(page_missing).unionByName(chunk_missing).distinct()
+    report = _structure_counts(sources, pages, own, links)
     valid = (F.col("linked_pages") == F.col("page_nodes")) & (F.col("linked_chunks") == F.col("chunk_nodes"))
     if expected is not None:
         report = report.join(expected.select("source_id", F.col("pages").alias("__p"), F.col("chunks").alias("__c")), "source_id", "left")
@@ -85,6 +78,54 @@ def structure(sources: DataFrame, pages: DataFrame, chunks: DataFrame, links: Da
     return whole, report.withColumn("valid", valid).drop("__p", "__c")
 
 
+_COUNTS = ["page_nodes", "chunk_nodes", "linked_pages", "linked_chunks", "repaired_pages", "repaired_chunks"]
+
+
+def _structure_counts(sources: DataFrame, pages: DataFrame, own: DataFrame, links: DataFrame) -> DataFrame:
+    """The counts of structure()'s report. Every row is dealt three times at most, by its chunk, its page and its source, and repeated rows count once.
+
+    A chunk that has one place is a number from then on; one with several keeps its id as far as the source, so that no source counts it twice.
+    """
+    one, none = F.lit(1), F.lit(0)
+    place = lambda page_id, source_id, chunk_id=F.lit(None), page=none, link=none, n=none, repaired=none, nodes=none: F.struct(
+        page_id.alias("page_id"), source_id.alias("source_id"), chunk_id.cast(own.schema["chunk_id"].dataType).alias("chunk_id"), page.alias("page"), link.alias("link"), n.alias("n"), repaired.alias("repaired"), nodes.alias("nodes")
+    )
+    # by chunk: where it hangs, or else where it should
+    said = own.select("chunk_id", F.struct("page_id", "source_id").alias("own"), F.lit(False).alias("hangs"))
+    hung = links.where("type = 'HAS_CHUNK'").select(F.col("dst").alias("chunk_id"), F.struct(F.col("src").alias("page_id"), F.lit(None).cast(own.schema["source_id"].dataType).alias("source_id")).alias("own"), F.lit(True).alias("hangs"))
+    met = said.unionByName(hung).where("chunk_id IS NOT NULL").repartition("chunk_id").groupBy("chunk_id")
+    met = met.agg(F.collect_set(F.when(F.col("hangs"), F.col("own"))).alias("at"), F.collect_set(F.when(~F.col("hangs"), F.col("own"))).alias("own"))
+    hangs, has = F.size("at") > 0, F.size("own")
+    first = lambda name: F.get(name, none)
+    single = place(F.when(hangs, first("at")["page_id"]).otherwise(first("own")["page_id"]), first("own")["source_id"], n=one, repaired=F.when(hangs, none).otherwise(one), nodes=has)
+    several = F.concat(
+        F.transform(F.when(hangs, F.col("at")).otherwise(F.col("own")), lambda x: place(x["page_id"], x["source_id"], F.col("chunk_id"), repaired=F.when(hangs, none).otherwise(one))),
+        F.transform(F.array_distinct(F.transform("own", lambda x: x["source_id"])), lambda x: place(first("own")["page_id"], x, nodes=one)),
+    )
+    chunk_rows = met.select(F.explode(F.when((F.size("at") <= 1) & (has <= 1), F.array(single)).otherwise(several)).alias("x")).select("x.*")
+    # by page: whether there is one, and the sources that it hangs on when all is repaired
+    page_rows = pages.select(place(F.col("page_id"), F.col("source_id"), page=one).alias("x")).select("x.*")
+    link_rows = links.where("type = 'HAS_PAGE'").select(place(F.col("dst"), F.col("src"), link=one).alias("x")).select("x.*")
+    rows = page_rows.unionByName(link_rows).unionByName(chunk_rows).withColumn("lone", F.when(F.col("page_id").isNull(), F.xxhash64("source_id")))
+    rows = rows.repartition("page_id", "lone").groupBy("page_id", "lone", "source_id", "chunk_id")
+    rows = rows.agg(F.max("page").alias("page"), F.max("link").alias("link"), F.sum("n").alias("n"), F.sum("repaired").alias("repaired"), F.sum("nodes").alias("nodes"))
+    at, known = Window.partitionBy("page_id", "lone"), F.col("page_id").isNotNull()
+    rows = rows.withColumns({"there": F.when(known, F.max("page").over(at)).otherwise(none), "total": F.sum("n").over(at), "several": F.max(F.col("chunk_id").isNotNull()).over(at)})
+    held = F.greatest("page", "link") * F.col("there")
+    rows = rows.withColumn("by", F.collect_set(F.when(F.col("several") & (held > 0), F.col("source_id"))).over(at))
+    told = lambda source_id, chunk_id=F.lit(None), **counts: F.struct(source_id.alias("source_id"), chunk_id.cast(own.schema["chunk_id"].dataType).alias("chunk_id"), *[counts.get(c, none).cast("long").alias(c) for c in _COUNTS])
+    page = F.when(known, F.col("page")).otherwise(none)
+    plain = told(F.col("source_id"), page_nodes=page, chunk_nodes=F.col("nodes"), linked_pages=held, linked_chunks=held * F.col("total"), repaired_pages=page * (1 - F.col("link")), repaired_chunks=F.col("there") * F.col("repaired"))
+    twice = F.concat(F.array(told(F.col("source_id"), F.col("chunk_id"), repaired_chunks=F.col("there") * F.col("repaired"))), F.transform("by", lambda s: told(s, F.col("chunk_id"), linked_chunks=one)))
+    counts = rows.select(F.explode(F.when(F.col("chunk_id").isNull(), F.array(plain)).otherwise(twice)).alias("x")).select("x.*").where("source_id IS NOT NULL")
+    # by source
+    every = sources.select(told(F.col("source_id")).alias("x")).select("x.*").withColumn("asked", F.lit(True))
+    every = every.unionByName(counts.withColumn("asked", F.lit(False))).repartition("source_id").groupBy("source_id", "chunk_id")
+    once = lambda c: F.when(F.col("chunk_id").isNull(), F.sum(c)).otherwise(F.least(F.sum(c), one)).alias(c)
+    every = every.agg(F.max("asked").alias("asked"), *[once(c) for c in _COUNTS]).groupBy("source_id").agg(F.max("asked").alias("asked"), *[F.sum(c).alias(c) for c in _COUNTS])
+    return every.where("asked").select("source_id", *_COUNTS)
+
+
 def source_chunks(chunks: DataFrame, mentions: DataFrame, report: DataFrame, page: int | None = None, spellings: list[str] | None = None, limit: int = 80) -> DataFrame:
     """The first chunks (source_id, chunk_id, page, sequence, text) of each valid source with the names of their entities (mentions: chunk_id, name), an empty list without any.
 

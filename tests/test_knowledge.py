@@ -56,6 +56,39 @@ def test_structure_is_repaired_and_verified(spark):
     assert not structure(spark, [], expected)[1].where("source_id = 'empty'").first()["valid"]
 
 
+def test_structure_counts_what_hangs_on_several_ends(spark):
+    """Against sets: repeated rows, chunks of several sources, on several pages or on none, pages of several sources, and ids that are null."""
+    import random
+
+    for seed in range(3):
+        draw = random.Random(seed)
+        ids = lambda *names: draw.choice([*names, None]) if draw.random() < 0.1 else draw.choice(names)
+        sources = [(ids("s", "t", "u"),) for _ in range(4)]
+        pages = [(ids("s-p1", "s-p2", "t-p1", "x", "y"), ids("s", "t", "u")) for _ in range(6)]
+        chunks = [(ids("c1", "c2", "c3", "c4", "c5", "c6"), ids("s", "t"), ids("s-p1", "x", "gone") if draw.random() < 0.5 else None, ids(1, 2)) for _ in range(9)]
+        links = [(ids("s", "t", "u"), ids("s-p1", "t-p1", "x", "gone"), "HAS_PAGE") for _ in range(3)] + [(ids("s-p1", "x", "y", "gone"), ids("c1", "c2", "c7"), "HAS_CHUNK") for _ in range(4)]
+        own = [(c, s, p or (f"{s}-p{n}" if s and n else None)) for c, s, p, n in chunks]
+        there = {p for p, _ in pages if p}
+        page_missing = {(s, p) for p, s in pages if (s, p, "HAS_PAGE") not in links and s and p}
+        hung = {c for _, c, kind in links if kind == "HAS_CHUNK" and c}
+        chunk_missing = [(p, c, s) for c, s, p in own if p in there and c and c not in hung]
+        on_pages = {(s, p) for s, p, kind in links if kind == "HAS_PAGE" and p in there} | page_missing
+        on_chunks = {(p, c) for p, c, kind in links if kind == "HAS_CHUNK" and c} | {(p, c) for p, c, _ in chunk_missing}
+        want = {}
+        for (s,) in sources:
+            some = [{p for p, x in pages if x == s and p}, {c for c, x, _ in own if x == s and c}, {p for x, p in on_pages if x == s}, {c for x, p in on_pages if x == s for q, c in on_chunks if p == q}, {p for x, p in page_missing if x == s}, {c for _, c, x in chunk_missing if x == s}]
+            want[s] = [len(x) for x in some] if s else [0] * 6
+        tables = [(sources, "source_id string"), (pages, "page_id string, source_id string"), (chunks, "chunk_id string, source_id string, page_id string, page int"), (links, "src string, dst string, type string")]
+        report = G.structure(*[spark.createDataFrame(*t) for t in tables])[1]
+        assert {r[0]: list(r[1:7]) for r in report.select("source_id", "page_nodes", "chunk_nodes", "linked_pages", "linked_chunks", "repaired_pages", "repaired_chunks").collect()} == want
+
+
+def test_structure_deals_its_rows_three_times(spark):
+    none = lambda schema: spark.createDataFrame([], schema)
+    report = G.structure(none("source_id string"), none("page_id string, source_id string"), none("chunk_id string, source_id string, page_id string, page int"), none("src string, dst string, type string"))[1]
+    assert report._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 3
+
+
 def test_chunks_of_sources(spark):
     chunks = spark.createDataFrame([("c1", "s", 1, 1, "About Red"), ("c2", "s", 2, 2, "blue"), ("c3", "t", 1, 1, "red")], "chunk_id string, source_id string, page int, sequence int, text string")
     mentions = spark.createDataFrame([("c1", "B"), ("c1", "A"), ("c1", "A")], "chunk_id string, name string")
