@@ -136,3 +136,13 @@ def test_published_scores_are_the_same_by_rows_and_by_index(spark, monkeypatch):
     by_rows = rows()
     monkeypatch.setattr(R, "MOST_CELLS", 0)
     assert len(by_rows) > 60 and rows() == by_rows
+
+
+def test_source_chunk_detail_of_repeated_lines(spark, folder):
+    lines = [(o, 1 + p % 4, p, "A") for o in (1, 2, 50, 77) for p in (8, 10, 12, 21, 30, 31) for _ in range(1 + p % 3)]
+    parts = [(p, f"part {p}") for p in (10, 12, 21, 31)]
+    d = folder(orders=("o_orderkey long", [(o,) for o in (1, 2, 50, 77, 1)]), lineitem=("l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string", lines), part=("p_partkey long, p_name string", parts))
+    found = QUERIES["source_chunk_detail"](spark, d)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 8
+    got = sorted((r.source_id, r.sequence, r.page, r.entities) for r in found.collect())
+    assert got == sorted((str(o), p, 1 + p % 4, "" if p % 3 else f"part {p}") for o in (1, 2, 77) for p in (10, 12, 21))  # 50 isn't valid
