@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.ontology import CANONICAL, canonical_relation
 from lodestone.functions.text import fold_key
+from lodestone.operators.joins import is_small
 
 
 def label_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -178,9 +179,21 @@ def type_conflicts(entities: DataFrame) -> DataFrame:
     return entities.groupBy("search_key").agg(F.countDistinct("kind").alias("n_kinds"), F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("kinds"), F.countDistinct("id").alias("n_ids")).where("n_kinds >= 2")
 
 
+#: Edges of a task that meets a mapping.
+EDGES_OF_TASK = 1_000_000
+
+
 def rewired(edges: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Edges with both ends mapped (old, new) where a mapping exists; loops that arise go, and equal edges are one."""
+    """Edges with both ends mapped (old, new) where a mapping exists; loops that arise go, and equal edges are one, as are those that come repeated.
+
+    A small mapping is sent to every task. For a larger one edges are dealt over as many tasks as their number asks for, so that what a task sorts doesn't grow with the table.
+    """
+    dealt = lambda df, by: df
+    if is_small(mapping):
+        mapping = F.broadcast(mapping)
+    elif (tasks := -(-edges.count() // EDGES_OF_TASK)) > int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        dealt = lambda df, by: df.repartition(tasks, by)
     a, b = mapping.toDF("src", "new_src"), mapping.toDF("dst", "new_dst")
-    out = edges.join(a, "src", "left").join(b, "dst", "left")
+    out = dealt(dealt(edges, "src").join(a, "src", "left"), "dst").join(b, "dst", "left")
     out = out.select(F.coalesce("new_src", "src").alias("src"), F.coalesce("new_dst", "dst").alias("dst"), "type")
     return out.where("src <> dst").distinct()

@@ -108,3 +108,15 @@ def test_usage_stream(spark, tmp_path):
     want = logs.groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").count()
     assert got.count() > 0
     assert got.join(want, ["hour", "event_type"]).where("n = count").count() == got.count()
+
+
+def test_rewired_is_dealt_by_the_number_of_edges(spark, monkeypatch):
+    monkeypatch.setattr(G, "EDGES_OF_TASK", 50, raising=False)
+    monkeypatch.setattr(G, "is_small", lambda df: False, raising=False)
+    rows = [(f"n{i % 40}" if i % 11 else None, f"n{i * i % 23}", "AB"[i % 2]) for i in range(400)]
+    mapping = {f"n{i}": f"n{i % 7}" for i in range(5, 30)}
+    found = G.rewired(spark.createDataFrame(rows, "src string, dst string, type string"), spark.createDataFrame(list(mapping.items()), "old string, new string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    new = {(mapping.get(a, a), mapping.get(b, b), t) for a, b, t in rows if a}
+    assert sorted(map(tuple, found.collect())) == sorted(e for e in new if e[0] != e[1])
+    assert ", 8), REPARTITION_BY_NUM" in plan  # 400 edges, 50 a task
