@@ -146,3 +146,8 @@ def test_source_chunk_detail_of_repeated_lines(spark, folder):
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 8
     got = sorted((r.source_id, r.sequence, r.page, r.entities) for r in found.collect())
     assert got == sorted((str(o), p, 1 + p % 4, "" if p % 3 else f"part {p}") for o in (1, 2, 77) for p in (10, 12, 21))  # 50 isn't valid
+
+
+def test_evidence_budget_scores_documents_where_they_are_read(spark):
+    plan = QUERIES["evidence_budget"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and " tf#" not in plan  # no posting is joined to the questions
