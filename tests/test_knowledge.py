@@ -238,3 +238,36 @@ def test_neighbours_read_edges_once(spark):
         ("a", "c", "R", "in", 1), ("a", "b", "S", "in", 2), ("a", "a", "T", "in", 3), ("b", None, "R", "in", 1), ("b", "a", "S", "out", 2), ("b", "a", "T", "in", 3),
     }
     assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD [src") == 1
+
+
+def test_texts_are_read_once_for_words_and_phrases(spark, monkeypatch):
+    texts = ["red fort red", "red", "a blue fort of stone", "", None, "of of of stone", "Réd FORT!", "a b c", "the red forty", "of a blue fort"] + ["red fort"] * 30
+    docs = spark.createDataFrame([(100 - i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    asked = spark.createDataFrame([("x", "red fort"), ("y", "stone of nothing"), ("z", "absent")], "query_id string, text string")
+    phrases = spark.createDataFrame([("x", "Red Fort", 0), ("x", "red", 1), ("y", "a blue", 0), ("y", "stone", 1), ("z", "!", 0), ("z", "b c", 1)], "query_id string, phrase string, ord int")
+    rows = lambda found: {name: sorted(((r.query_id, r["rank"], r.doc_id, r.score) for r in df.collect()), key=str) for name, df in found.items()}
+    both = R.text_channels(docs, asked, phrases, 4)
+    assert all("translate" not in df._jdf.queryExecution().toString() for df in both.values())  # texts aren't folded again
+    got = rows(both)
+    assert got == rows({"exact": R.phrase_hits(docs, phrases, 4), "lexical": R.bm25(docs, asked, 4)}) and [len(x) for x in got.values()] == [13, 7]
+    unnamed = docs.unionByName(spark.createDataFrame([(None, "b c")], docs.schema))
+    exact = lambda found: sorted(((r.query_id, r["rank"], r.doc_id) for r in found.collect()), key=str)
+    assert exact(R.text_channels(unnamed, asked, phrases, 4)["exact"]) == exact(R.phrase_hits(unnamed, phrases, 4))
+    monkeypatch.setattr(R, "MOST_CELLS", 0)
+    assert rows(R.text_channels(docs, asked, phrases, 4)) == got
+
+
+def test_vectors_are_scored_where_they_are_read(spark, monkeypatch):
+    import random
+
+    draw = random.Random(7)
+    vectors = [(i, [draw.choice([-1.0, 0.25, 0.5, 3.0]) + draw.random() * (i % 3) for _ in range(3 + i % 2)]) for i in range(300)] + [(300 + i, [1.0, 2.0, 3.0]) for i in range(40)]
+    vectors += [(400, None), (401, []), (402, [1.0, None, 2.0]), (403, [float("nan"), 1.0, 1.0]), (404, [1e200, 1.0, 1.0]), (None, [1.0, 2.0, 3.0]), (7, [1.0, 2.0, 3.0])]
+    corpus = spark.createDataFrame(vectors, "doc_id long, v array<float>").repartition(3)
+    asked = spark.createDataFrame([("a", [1.0, 2.0, 3.0]), ("b", [1.0, -1.0, 0.5, 0.25]), ("b", [2.0, 0.5, 1.0]), ("c", [1.0, 1.0])], "query_id string, q array<float>")
+    rows = lambda: sorted(((r.query_id, r["rank"], r.doc_id, str(r.score)) for r in R.vector_top(corpus, asked, 6).collect()), key=str)
+    monkeypatch.setattr(R, "MOST_FOUND", 5)
+    got, plan = rows(), R.vector_top(corpus, asked, 6)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan
+    monkeypatch.setattr(R, "_vectors_by_rows", lambda *_: None)
+    assert got == rows() and len(got) == 12
